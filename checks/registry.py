@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import board_queries, board_sql
+from checks import board_queries, board_sql, publication_queries
 
-QUERIES = {**board_queries.QUERIES}
+QUERIES = {**board_queries.QUERIES, **publication_queries.QUERIES}
 SQL = {**board_sql.SQL}
