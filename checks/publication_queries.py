@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import bench_views as B
 from tidemark import schema as S
 from tidemark.functions import canonical, dates, text
-from tidemark.functions.facts import fact_group, fact_text
+from tidemark.functions.facts import with_fact_groups
 from tidemark.operators import diff as diffs
 from tidemark.operators import digest, documents, identity, quality
 from tidemark.operators.positions import repeated
@@ -167,8 +167,8 @@ def iso_checks(spark, sf_dir):
 
 def deadline_normalised(spark, sf_dir):
     parsed = importing.parse_rows(B.scouting_rows(spark, sf_dir))
-    return parsed.select(F.col("pos").alias("id"), F.col("due.value").alias("deadline"), F.col("due.original").alias("original"),
-                         F.col("due.epochMs").alias("ms"), F.col("due.valid").alias("valid"))
+    return parsed.select(F.col("pos").alias("id"), F.col("due").alias("deadline"), F.col("dueOriginal").alias("original"),
+                         F.col("dueMs").alias("ms"), F.col("dueValid").alias("valid"))
 
 
 def key_parts(spark, sf_dir):
@@ -191,13 +191,11 @@ def cycle_texts(spark, sf_dir):
 
 
 def fact_groups(spark, sf_dir):
-    row = F.col("row")
-    logistics = fact_group(row, importing.FACT_FIELDS["logistics"])
-    recommendation = fact_group(row, importing.FACT_FIELDS["recommendation"])
-    return B.scouting_rows(spark, sf_dir).select(
-        F.col("pos").alias("id"), fact_text(row, "recommendationLetters").alias("letters"),
-        logistics["status"].alias("logistics_status"), logistics["summary"].alias("logistics_summary"),
-        recommendation["status"].alias("letters_status"), recommendation["summary"].alias("letters_summary"))
+    parsed = importing.parse_rows(B.scouting_rows(spark, sf_dir))
+    return with_fact_groups(parsed, importing.FACT_FIELDS).select(
+        F.col("pos").alias("id"), F.col("recommendationLetters").alias("letters"),
+        F.col("logistics.status").alias("logistics_status"), F.col("logistics.summary").alias("logistics_summary"),
+        F.col("recommendation.status").alias("letters_status"), F.col("recommendation.summary").alias("letters_summary"))
 
 
 def _identity_inputs(spark, sf_dir):
@@ -211,13 +209,15 @@ def _identity_inputs(spark, sf_dir):
 
 def identity_resolution(spark, sf_dir):
     parsed, known, names = _identity_inputs(spark, sf_dir)
-    return identity.resolve(parsed, known, names.where(F.col("problem").isNull())).select(
+    good = names.where(F.col("problem").isNull())
+    return identity.resolve(parsed, identity.url_ids(parsed, known, good), good).select(
         F.col("inputId").alias("input_id"), F.col("resolvedId").alias("resolved_id"), F.col("identityError").alias("error"))
 
 
 def alias_coverage(spark, sf_dir):
     parsed, known, names = _identity_inputs(spark, sf_dir)
-    return identity.coverage_violations(parsed, known, names.where(F.col("problem").isNull())).select(
+    ids = identity.url_ids(parsed, known, names.where(F.col("problem").isNull()))
+    return identity.coverage_violations(ids).select(
         F.col("missingId").alias("missing_id"), F.col("hits").cast("bigint").alias("hits"))
 
 

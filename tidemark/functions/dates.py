@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import non_blank, trim_u
 from tidemark.schema import MS_PER_DAY, MS_PER_HOUR, MS_PER_MINUTE, MS_PER_SECOND
 
 BOARD_ZONE = "Asia/Shanghai"
@@ -18,12 +19,10 @@ PUBLICATION_OFFSET = "+08:00"
 
 # Patterns and texts of the deadline contract.
 ISO_TIMESTAMP = (
-    r"^(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,3}))?(?:Z|([+-])(\d{2}):(\d{2}))$"
+    r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,3})?(?:Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 )
 INPUT_DATE = r"^\d{4}-\d{2}-\d{2}$"
-INPUT_TIMESTAMP = (
-    r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}):(\d{2})(?::(\d{2})(?:\.\d{1,3})?)?(Z|[+-]\d{2}:\d{2})?$"
-)
+INPUT_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,3})?)?(?:Z|[+-]\d{2}:\d{2})?$"
 COLON_TIME = r"(?:^|[^\d])([01]?\d|2[0-3]|24)\s*[:：]\s*([0-5]\d)(?!\d)"
 CHINESE_TIME = (
     r"(?:^|[^\d])(?:(凌晨|早上|上午|中午|下午|晚上|晚间)\s*)?([01]?\d|2[0-3]|24)\s*[点时]"
@@ -50,32 +49,25 @@ def ntz_to_ms(wall: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), wall)
 
 
-def _offset_ms(sign: Column, hours: Column, minutes: Column) -> Column:
-    size = hours.cast("bigint") * MS_PER_HOUR + minutes.cast("bigint") * MS_PER_MINUTE
-    return F.when(sign == "-", -size).otherwise(size)
-
-
 def _day_ms(day_text: Column) -> Column:
     return F.unix_date(day_text.try_cast("date")).cast("bigint") * MS_PER_DAY
 
 
 def iso_to_ms(text: Column) -> Column:
-    """Epoch milliseconds of a strict ISO timestamp with offset; NULL for any other text."""
-    part = lambda group: F.regexp_extract(text, ISO_TIMESTAMP, group)
-    number = lambda group: F.nullif(part(group), F.lit("")).cast("bigint")
-    fraction = F.rpad(part(5), 3, "0").cast("bigint")
-    offset = F.when(part(6) == "", F.lit(0).cast("bigint")).otherwise(_offset_ms(part(6), number(7), number(8)))
-    in_range = (number(2) <= 23) & (number(3) <= 59) & (number(4) <= 59)
-    offset_in_range = (part(6) == "") | ((number(7) <= 23) & (number(8) <= 59))
-    value = (
-        _day_ms(part(1))
-        + number(2) * MS_PER_HOUR
-        + number(3) * MS_PER_MINUTE
-        + number(4) * MS_PER_SECOND
-        + fraction
-        - offset
+    """Epoch milliseconds of a strict ISO timestamp with offset; NULL for any other text.
+
+    The pattern checks shape and ranges, the cast checks the calendar; offsets up to 23:59 are taken off by hand since a
+    Spark zone offset ends at 18:00.
+    """
+    wall = F.unix_millis(F.concat(F.substring(text, 1, 19), F.lit("Z")).try_cast("timestamp"))
+    fraction = F.rpad(F.regexp_extract(text, r"\.(\d{1,3})", 1), 3, "0").cast("bigint")
+    minutes = F.substring(text, -5, 2).cast("bigint") * 60 + F.substring(text, -2, 2).cast("bigint")
+    offset = (
+        F.when(F.endswith(text, F.lit("Z")), F.lit(0).cast("bigint"))
+        .when(F.substring(text, -6, 1) == "-", -minutes * MS_PER_MINUTE)
+        .otherwise(minutes * MS_PER_MINUTE)
     )
-    return F.when(text.rlike(ISO_TIMESTAMP) & in_range & offset_in_range, value)
+    return F.when(text.rlike(ISO_TIMESTAMP), wall + fraction - offset)
 
 
 def is_iso_timestamp(text: Column) -> Column:
@@ -88,38 +80,34 @@ def publication_timestamp(ms: Column) -> Column:
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(PUBLICATION_OFFSET))
 
 
-def normalise_deadline(deadline: Column, original: Column) -> Column:
-    """Struct(value, original, epochMs, valid).
+def with_deadline(rows: DataFrame, deadline: str, original: str) -> DataFrame:
+    """Add ``due`` (text in +08:00), ``dueOriginal``, ``dueMs`` and ``dueValid``.
 
-    Blank deadline stays empty; a bare date means the end of that day and notes once that no clock time is
-    published; a clock time without offset is +08:00; every other offset is rendered in +08:00.
+    A blank deadline stays empty; a bare date means the end of that day and notes once that no clock time is
+    published; a clock time without offset is +08:00; every other offset is rendered in +08:00 to the second.
     """
-    from tidemark.functions.text import non_blank, trim_u
-
-    stated = F.coalesce(non_blank(original), F.lit(NOT_PUBLISHED))
-    value = trim_u(deadline)
-    date_ms = _day_ms(value) + 23 * MS_PER_HOUR + 59 * MS_PER_MINUTE - 8 * MS_PER_HOUR
-    noted = F.when(F.contains(stated, F.lit(NO_CLOCK_TIME_NOTE)), stated).otherwise(
-        F.concat(stated, F.lit("；"), F.lit(NO_CLOCK_TIME_NOTE))
-    )
-    part = lambda group: F.regexp_extract(value, INPUT_TIMESTAMP, group)
-    seconds = F.when(part(4) == "", "00").otherwise(part(4))
-    zone = F.when(part(5) == "", PUBLICATION_OFFSET).otherwise(part(5))
-    time_ms = iso_to_ms(F.concat(part(1), F.lit("T"), part(2), F.lit(":"), part(3), F.lit(":"), seconds, zone))
-    empty = deadline.isNull() | (deadline == "")
-    is_date = value.rlike(INPUT_DATE)
-    epoch = F.when(empty, F.lit(None).cast("bigint")).when(is_date, date_ms).otherwise(time_ms)
-    text = (
-        F.when(epoch.isNull(), F.lit(None).cast("string"))
-        .when(is_date, F.concat(value, F.lit("T23:59:00+08:00")))
-        .otherwise(publication_timestamp(epoch))
-    )
-    return F.struct(
-        text.alias("value"),
-        F.when(~empty & is_date, noted).otherwise(stated).alias("original"),
-        epoch.alias("epochMs"),
-        (empty | epoch.isNotNull()).alias("valid"),
+    value, stated = trim_u(F.col(deadline)), F.coalesce(non_blank(F.col(original)), F.lit(NOT_PUBLISHED))
+    rows = rows.withColumns({"_value": value, "dueOriginal": stated})
+    value, empty = F.col("_value"), F.coalesce(F.col(deadline) == "", F.lit(True))
+    seconds = F.when(F.substring(value, 17, 1) == ":", F.substring(value, 17, 3)).otherwise(":00")
+    zone = F.regexp_extract(F.concat(value, F.lit(PUBLICATION_OFFSET)), r"(Z|[+-]\d{2}:\d{2})\+08:00$|(\+08:00)$", 0)
+    spelled = (
+        F.when(empty, F.lit(None).cast("string"))
+        .when(value.rlike(INPUT_DATE), F.concat(value, F.lit("T23:59:00+08:00")))
+        .when(value.rlike(INPUT_TIMESTAMP), F.concat(
+            F.translate(F.substring(value, 1, 16), " ", "T"), seconds, F.regexp_replace(zone, r"(.)\+08:00$", "$1")))
+        .otherwise("")
     )
+    rows = rows.withColumn("_spelled", spelled)
+    rows = rows.withColumn("dueMs", iso_to_ms(F.col("_spelled")))
+    noted = F.concat("dueOriginal", F.lit("；"), F.lit(NO_CLOCK_TIME_NOTE))
+    bare = value.rlike(INPUT_DATE) & ~F.contains("dueOriginal", F.lit(NO_CLOCK_TIME_NOTE))
+    return rows.withColumns({
+        "due": F.when(value.rlike(INPUT_DATE) & F.col("dueMs").isNotNull(), F.col("_spelled"))
+        .otherwise(publication_timestamp(F.col("dueMs"))),
+        "dueOriginal": F.when(bare, noted).otherwise(F.col("dueOriginal")),
+        "dueValid": empty | F.col("dueMs").isNotNull(),
+    }).drop("_value", "_spelled")
 
 
 def lenient_ms(text: Column) -> Column:

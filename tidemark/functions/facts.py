@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import non_blank, trim_u
@@ -92,29 +92,39 @@ def fact_text(row: Column, key: str) -> Column:
     )
 
 
-def fact_group(row: Column, fields: list[tuple[str, str]]) -> Column:
-    """Struct(status, summary) of the labelled fields.
+def with_fact_groups(rows: DataFrame, groups: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """Add one struct(status, summary) for each group of (text column, label).
 
     Private text or an unproven phrase anywhere makes the group unverified; unpublished values are left out; labels
     are shown only in groups of more than one field.
     """
-    stated = F.filter(
-        F.array(*[F.struct(F.lit(label).alias("label"), fact_text(row, key).alias("value")) for key, label in fields]),
-        lambda fact: fact["value"].isNotNull(),
-    )
-    doubtful = F.exists(stated, lambda fact: has_private_free_text(fact["value"]) | is_unverified(fact["value"]))
-    proven = F.filter(stated, lambda fact: ~is_not_published(fact["value"]))
-    shown = F.transform(
-        proven,
-        lambda fact: fact["value"] if len(fields) == 1 else F.concat(fact["label"], F.lit("："), fact["value"]),
-    )
-    status = F.when(doubtful, "unverified").when(F.size(proven) == 0, "not-published").otherwise("confirmed")
-    summary = (
-        F.when(doubtful, UNVERIFIED_SUMMARY)
-        .when(F.size(proven) == 0, NOT_PUBLISHED_SUMMARY)
-        .otherwise(F.array_join(shown, "；"))
-    )
-    return F.struct(status.alias("status"), summary.alias("summary"))
+    def graded(column: str, label: str) -> Column:
+        value = F.col(column)
+        grade = (
+            F.when(has_private_free_text(value) | is_unverified(value), 2).when(is_not_published(value), 1).otherwise(0)
+        )
+        return F.when(value.isNotNull(), F.struct(grade.alias("grade"), F.lit(label).alias("label"), value.alias("value")))
+
+    rows = rows.withColumns({
+        f"_facts_{name}": F.array_compact(F.array(*[graded(column, label) for column, label in fields]))
+        for name, fields in groups.items()
+    })
+
+    def group(name: str, labelled: bool) -> Column:
+        facts = F.col(f"_facts_{name}")
+        worst = F.coalesce(F.array_max(F.transform(facts, lambda fact: fact["grade"])), F.lit(1))
+        shown = F.array_join(F.transform(
+            F.filter(facts, lambda fact: fact["grade"] == 0),
+            lambda fact: F.concat(fact["label"], F.lit("："), fact["value"]) if labelled else fact["value"]), "；")
+        proven = F.exists(facts, lambda fact: fact["grade"] == 0)
+        return (
+            F.when(worst == 2, fixed_fact("unverified", UNVERIFIED_SUMMARY))
+            .when(proven, F.struct(F.lit("confirmed").alias("status"), shown.alias("summary")))
+            .otherwise(fixed_fact("not-published", NOT_PUBLISHED_SUMMARY))
+        )
+
+    return rows.withColumns({name: group(name, len(fields) > 1) for name, fields in groups.items()}).drop(
+        *[f"_facts_{name}" for name in groups])
 
 
 def fixed_fact(status: str, summary: str) -> Column:

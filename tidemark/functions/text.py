@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The code points which count as white space (Spark's own trim only knows U+0020).
 SPACE_CLASS = r"[\t\n\x0B\f\r\u00A0\uFEFF\p{Zs}\u2028\u2029]"
+FOUR_PARTS = r"^[^|]*[^|S][^|]*(?:\|[^|]*[^|S][^|]*){3}$".replace("S", SPACE_CLASS[1:-1])
 IDENTIFIER_PATTERN = "(?i)^[a-z_$][a-z0-9_$]*$"
 CJK_BLOCK_PATTERN = r"^[一-龥（）()·—\-\s]+"
 BRACKET_SUFFIX_PATTERN = r"[（(].*?[）)]$"
@@ -42,27 +43,26 @@ def label_of(labels: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def key_parts(project_id: Column) -> Column:
-    """The trimmed pipe-separated parts of a project key."""
-    return F.transform(F.split(project_id, r"\|", -1), trim_u)
+def has_four_parts(project_id: Column) -> Column:
+    """Four non-blank pipe-separated parts."""
+    return project_id.rlike(FOUR_PARTS)
 
 
-def key_is_valid(project_id: Column) -> Column:
-    """Four non-empty parts, the first of them four digits."""
-    parts = key_parts(project_id)
-    return (
-        (F.size(parts) == 4)
-        & ~F.exists(parts, lambda part: part == "")
-        & F.get(parts, F.lit(0)).rlike(CYCLE_PATTERN)
-    )
+def first_part(project_id: Column) -> Column:
+    return F.substring_index(project_id, "|", 1)
 
 
 def key_cycle(project_id: Column) -> Column:
-    return F.get(key_parts(project_id), F.lit(0))
+    return trim_u(first_part(project_id))
+
+
+def key_is_valid(project_id: Column) -> Column:
+    """Four non-blank parts, the first of them four digits."""
+    return has_four_parts(project_id) & key_cycle(project_id).rlike(CYCLE_PATTERN)
 
 
 def key_institute(project_id: Column) -> Column:
-    return F.get(key_parts(project_id), F.lit(2))
+    return trim_u(F.regexp_extract(project_id, r"^[^|]*\|[^|]*\|([^|]*)", 1))
 
 
 def cycle_of(cycle_text: Column, id_cycle: Column, is_expired: Column) -> Column:
@@ -71,7 +71,7 @@ def cycle_of(cycle_text: Column, id_cycle: Column, is_expired: Column) -> Column
     Expired rows may leave the text out; NULL marks an ambiguous, absent or differing cycle.
     """
     runs = F.array_distinct(F.regexp_extract_all(cycle_text, F.lit(FOUR_DIGIT_RUN), F.lit(0)))
-    stated = F.when((F.size(runs) == 1) & (F.get(runs, F.lit(0)) == id_cycle), id_cycle)
+    stated = F.when(runs == F.array(id_cycle), id_cycle)
     return F.when(non_blank(cycle_text).isNotNull(), stated).when(is_expired, id_cycle)
 
 

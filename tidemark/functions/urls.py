@@ -6,37 +6,35 @@ path; both sides of every join pass the same expression, so identities stay cons
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Groups are scheme, user info, host, port, path, query.
-HTTP_URL = (
-    r"^(?i)(https?)://(?:([^/?#@\s]*)@)?([^/?#@:\s\[\]<>^|%\\]+|\[[0-9a-f:.]+\])(?::([0-9]{0,5}))?(/[^?#]*)?"
-    r"(\?[^#]*)?(?:#.*)?$"
-)
-
-
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(F.trim(url), HTTP_URL, group)
+_HOST = r"(?:[^/?#@:\s\[\]<>^|%\\]+|\[[0-9a-f:.]+\])"
+_PORT = r"(?::0*(?:[0-5]?\d{1,4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5])?)?"
+HTTP_URL = rf"(?i)^\s*https?://(?:[^/?#@\s]*@)?{_HOST}{_PORT}(?:[/?#].*)?$"
+PUBLIC_URL = rf"(?i)^\s*https?://(?::?@)?{_HOST}{_PORT}(?:[/?#].*)?$"
+# Groups: scheme, host, port, path, query.
+PARTS = rf"(?i)^\s*(https?)://(?:[^/?#@\s]*@)?({_HOST})(?::(\d*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without a trailing dot; NULL when the text is no http(s) URL."""
-    return F.nullif(F.regexp_replace(F.lower(_part(url, 3)), r"\.$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 2)), r"\.$", ""), F.lit(""))
 
 
 def is_http_url(url: Column) -> Column:
-    port = F.coalesce(F.nullif(_part(url, 4), F.lit("")).cast("int"), F.lit(0))
-    return F.coalesce((_part(url, 3) != "") & (port <= 65535), F.lit(False))
+    return F.coalesce(url.rlike(HTTP_URL), F.lit(False))
 
 
-def has_credentials(url: Column) -> Column:
-    """User name or password present (a lone ``@`` or ``:@`` carries none)."""
-    return F.coalesce(~_part(url, 2).isin("", ":"), F.lit(False))
+def is_public_url(url: Column) -> Column:
+    """An http(s) URL without credentials (a lone ``@`` or ``:@`` carries none)."""
+    return F.coalesce(url.rlike(PUBLIC_URL), F.lit(False))
 
 
-def is_public_url(url: Column) -> Column:
-    return is_http_url(url) & ~has_credentials(url)
+def has_credentials(url: Column) -> Column:
+    return is_http_url(url) & ~is_public_url(url)
 
 
 def _form_text(text: Column) -> Column:
@@ -45,21 +43,17 @@ def _form_text(text: Column) -> Column:
 
 def _sorted_query(query: Column) -> Column:
     """Parameters in form encoding, sorted by name, stable."""
-    pairs = F.filter(F.split(F.substring(query, 2, 1_000_000), "&"), lambda pair: pair != "")
+    name = lambda pair: F.substring_index(pair, "=", 1)
     keyed = F.transform(
-        pairs,
+        F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda pair: pair != ""),
         lambda pair, pos: F.struct(
-            F.coalesce(F.try_url_decode(F.substring_index(pair, "=", 1)), F.substring_index(pair, "=", 1)).alias("name"),
+            F.coalesce(F.try_url_decode(name(pair)), name(pair)).alias("name"),
             pos.alias("pos"),
-            F.concat(
-                _form_text(F.substring_index(pair, "=", 1)),
-                F.lit("="),
-                _form_text(F.when(F.contains(pair, F.lit("=")), F.regexp_replace(pair, "^[^=]*=", "")).otherwise("")),
-            ).alias("text"),
+            F.concat(_form_text(name(pair)), F.lit("="), _form_text(F.regexp_replace(pair, "^[^=]*=?", ""))).alias("text"),
         ),
     )
     text = F.array_join(F.transform(F.array_sort(keyed), lambda pair: pair["text"]), "&")
-    return F.when(text != "", F.concat(F.lit("?"), text)).otherwise("")
+    return F.regexp_replace(text, "^(?=.)", "?")
 
 
 def normalise_url(url: Column) -> Column:
@@ -67,14 +61,12 @@ def normalise_url(url: Column) -> Column:
 
     Lower-case host without trailing dot, no default port, no fragment, no trailing slashes, sorted query.
     """
-    scheme = F.lower(_part(url, 1))
-    port = F.regexp_replace(_part(url, 4), "^0+(?=[0-9])", "")
-    default_port = F.when(scheme == "http", "80").otherwise("443")
-    port_text = F.when((port == "") | (port == default_port), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(_part(url, 5), "/+$", "")
-    path_text = F.when(path == "", "/").otherwise(path)
-    whole = F.concat(scheme, F.lit("://"), host_of(url), port_text, path_text, _sorted_query(_part(url, 6)))
-    return F.when(is_public_url(url), whole)
+    origin = F.lower(F.regexp_replace(url, PARTS, "$1://$2:$3"))
+    origin = F.regexp_replace(origin, r"\.?:0*(\d*)$", ":$1")
+    origin = F.regexp_replace(origin, r"^(http://.*):80$|^(https://.*):443$|^(.*):$", "$1$2$3")
+    path = F.regexp_replace(F.regexp_extract(url, PARTS, 4), "/+$", "")
+    path = F.regexp_replace(path, "^$", "/")
+    return F.when(is_public_url(url), F.concat(origin, path, _sorted_query(F.regexp_extract(url, PARTS, 5))))
 
 
 def host_suffixes(host: Column) -> Column:
@@ -87,10 +79,7 @@ def host_suffixes(host: Column) -> Column:
 
 
 def is_denied_host(url: Column, denied: tuple[str, ...]) -> Column:
-    """Host equals, or lies below, one of a short literal list of hosts."""
-    host = host_of(url)
-    tests = [(host == name) | F.endswith(host, F.lit(f".{name}")) for name in denied]
-    hit = tests[0]
-    for test in tests[1:]:
-        hit = hit | test
-    return F.coalesce(hit, F.lit(False))
+    """Host equals, or lies below, one of a short literal list of hosts; large lists join on ``host_suffixes``."""
+    names = "|".join(re.escape(name) for name in denied)
+    pattern = rf"(?i)^\s*https?://(?:[^/?#@\s]*@)?(?:[^/?#@:\s]*\.)?(?:{names})\.?(?::\d*)?(?:[/?#].*)?$"
+    return F.coalesce(url.rlike(pattern), F.lit(False))

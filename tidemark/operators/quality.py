@@ -89,11 +89,8 @@ def row_rules(as_of: Column) -> list[Rule]:
              "expired deadline fields must both be null or normalized"),
         rule("expired-past", (status == S.EXPIRED) & both & parsed.isNotNull() & (ms > as_of), _row_path(),
              "expired rows cannot carry a future active deadline"),
-        rule("key-parts", (F.size(text.key_parts(F.col("projectId"))) != 4)
-             | F.exists(text.key_parts(F.col("projectId")), lambda part: part == ""),
-             _row_path(".projectId"), "expected four non-empty parts"),
-        rule("key-cycle", ~text.key_cycle(F.col("projectId")).rlike(text.CYCLE_PATTERN)
-             & (F.size(text.key_parts(F.col("projectId"))) == 4),
+        rule("key-parts", ~text.has_four_parts(F.col("projectId")), _row_path(".projectId"), "expected four non-empty parts"),
+        rule("key-cycle", text.has_four_parts(F.col("projectId")) & ~text.first_part(F.col("projectId")).rlike(text.CYCLE_PATTERN),
              _row_path(".projectId"), "leading cycle must be exactly four digits"),
     ]
     facts = ("logistics", "recommendation", "materials", "eventArrangement.time", "eventArrangement.formatLocation")
@@ -126,8 +123,8 @@ def opportunity_violations(opportunities: DataFrame, headers: DataFrame, feeds:
     verified = dates.iso_to_ms(F.col("verifiedAt"))
     rules = row_rules(moment) + [
         rule("feed-known", F.col("feedId").isNotNull() & F.col("_known").isNull(), _row_path(".feedId"), "expected a known feed ID"),
-        rule("key-feed-cycle", (F.size(text.key_parts(F.col("projectId"))) == 4)
-             & (text.key_cycle(F.col("projectId")) != F.col("_cycle")),
+        rule("key-feed-cycle", text.has_four_parts(F.col("projectId"))
+             & (text.first_part(F.col("projectId")) != F.col("_cycle")),
              _row_path(".projectId"), "leading segment must match feed admissionCycle"),
         rule("verified-scan", verified > F.col("_scanMs"), _row_path(".verifiedAt"), "must not be after snapshot.scanAt"),
         rule("verified-approval", verified > F.col("_approvedMs"), _row_path(".verifiedAt"), "must not be after snapshot.approvedAt"),
