@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -234,11 +233,9 @@ def deadline_changes(spark, sf_dir):
 def expiry_stream(spark, sf_dir):
     """Each event's deadline, announced by timers when the stream's clock passes it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", timers.ROCKSDB)
-    root = ensure_checkpoint_dir(spark)
-    folder = tempfile.mkdtemp(prefix="expiry-") if root.startswith("file:") or root.startswith("/") else f"{root}/expiry-{spark.sparkContext.applicationId}"
+    folder = f"{ensure_checkpoint_dir(spark)}/expiry-{uuid.uuid4()}"
     schema = B.table(spark, sf_dir, "events").schema
-    source = glob.glob(f"{sf_dir}/events.parquet*")[0]
-    stream = _event_deadlines(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet") if source else None)
+    stream = _event_deadlines(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
     clocked = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
     board = clocked.select("ts", F.col("event_id").cast("string").alias("projectId"), F.lit(S.OPEN).alias("verificationStatus"),
                            F.col("deadline_ms").alias("deadlineEpochMs"))

@@ -17,6 +17,8 @@ from tidemark import schema as S
 from tidemark.functions import privacy, text
 from tidemark.functions.facts import variant_type
 
+BATCH_NODES = 50_000
+LEAF_COLUMNS = ["doc_id", "path", "key", "value", "depth", "nodes"]
 _LEAVES = "doc_id bigint, path string, key string, value string, depth int, nodes bigint"
 
 
@@ -145,27 +147,54 @@ def _walk(root: object) -> Iterator[tuple[str, str | None, str | None, int]]:
             yield path, key, value if isinstance(value, str) else json.dumps(value), depth
 
 
+def is_strict_json(body: Column) -> Column:
+    """One JSON value and nothing else, no key twice in any spelling, nesting within the bound.
+
+    A parser alone ignores what follows the first value.  Text that would close an enclosing array early breaks an
+    enclosing object and the other way round, so a value which is whole inside both stands alone.
+    """
+    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    return F.coalesce((F.size(in_array) == 1) & in_object.isNotNull() & (json_depth(body) <= S.MAX_JSON_DEPTH), F.lit(False))
+
+
+def json_depth(body: Column) -> Column:
+    """Nesting depth; only texts with very many brackets are looked at bracket by bracket."""
+    brackets = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    opening = F.length(F.regexp_replace(brackets, r"[\]}]+", ""))
+    level = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda state, mark: F.struct(
+            (state["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(state["top"], state["now"] + F.when(mark.isin("[", "{"), 1).otherwise(0)).alias("top")),
+        lambda state: state["top"])
+    return F.when(opening <= S.MAX_JSON_DEPTH, F.least(opening, F.lit(S.MAX_JSON_DEPTH))).otherwise(level)
+
+
 def json_leaves(docs: DataFrame) -> DataFrame:
     """(doc_id, json) -> one row for each node with path, key, scalar text, depth and the node count of its document.
 
-    Documents which are no JSON are left out here; ``loose_json`` reports them.
+    Documents which are no strict JSON are left out here; ``loose_json`` reports them.
     """
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for doc_id, body in zip(batch["doc_id"], batch["json"]):
                 nodes = list(_walk(json.loads(body)))
-                frame = pd.DataFrame(nodes, columns=["path", "key", "value", "depth"])
-                frame.insert(0, "doc_id", doc_id)
-                frame["nodes"] = len(nodes)
-                yield frame
+                rows.extend((doc_id, *node, len(nodes)) for node in nodes)
+                if len(rows) >= BATCH_NODES:
+                    yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
+                    rows = []
+            yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
 
-    strict = docs.where(F.try_parse_json("json").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "json")
+    strict = docs.where(is_strict_json(F.col("json"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "json")
     return strict.mapInPandas(walk, _LEAVES)
 
 
 def loose_json(docs: DataFrame) -> DataFrame:
-    """Documents which a strict reader refuses: no JSON, trailing text, or a repeated key in any spelling."""
-    return docs.where(F.try_parse_json("json").isNull()).select("doc_id", F.lit("not strict JSON").alias("message"))
+    """Documents which a strict reader refuses: no JSON, trailing text, a repeated key in any spelling, too deep."""
+    return docs.where(~is_strict_json(F.col("json"))).select("doc_id", F.lit("not strict JSON").alias("message"))
 
 
 def budget_violations(leaves: DataFrame, max_nodes: int = S.MAX_SCAN_NODES, max_depth: int = S.MAX_SCAN_DEPTH) -> DataFrame:

@@ -13,32 +13,32 @@ WORD_RUN = 3
 CHAR_RUN = 8
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, r"[ \t\n\x0B\f\r]+", -1)
+def _split_words(rows: DataFrame, text: str) -> DataFrame:
+    """Add the array ``units`` of whitespace-separated words (a column of its own, so it is split once per row)."""
+    return rows.withColumn("units", F.split(text, r"[ \t\n\x0B\f\r]+", -1))
 
 
-def _word_runs(words: Column) -> Column:
-    return F.when(F.size(words) >= WORD_RUN, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(words) - WORD_RUN + 1),
-        lambda start: F.xxhash64(F.array_join(F.slice(words, start, WORD_RUN), " ")))))
+def _split_characters(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("units", F.split(text, ""))
 
 
-def _char_runs(text: Column, length: int) -> Column:
-    return F.when(F.length(text) >= length, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - length + 1),
-        lambda start: F.xxhash64(F.substring(text, start, length)))))
+def _runs(units: Column, length: int) -> Column:
+    """Distinct hashes of all runs of so many neighbouring units."""
+    starts = F.slice(units, F.lit(1), F.greatest(F.size(units) - (length - 1), F.lit(0)))
+    return F.array_distinct(F.transform(
+        starts, lambda _, i: F.xxhash64(*[F.get(units, i + step) for step in range(length)])))
 
 
-def _anchored(markers: DataFrame, runs: Column) -> DataFrame:
+def _anchored(markers: DataFrame, length: int) -> DataFrame:
     """One run for each marker: the one which the fewest markers share."""
-    exploded = markers.select("marker_id", F.explode(runs).alias("run"))
+    exploded = markers.select("marker_id", F.explode(_runs(F.col("units"), length)).alias("run"))
     shared = exploded.groupBy("run").agg(F.count("*").alias("n"))
     ranked = exploded.join(shared, "run").groupBy("marker_id").agg(F.min(F.struct("n", "run")).alias("best"))
     return ranked.select("marker_id", F.col("best.run").alias("run"))
 
 
-def _candidates(documents: DataFrame, runs: Column, anchors: DataFrame) -> DataFrame:
-    found = documents.select("doc_id", F.explode(runs).alias("run")).join(anchors, "run")
+def _candidates(documents: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    found = documents.select("doc_id", F.explode(_runs(F.col("units"), length)).alias("run")).join(anchors, "run")
     return found.select("doc_id", "marker_id")
 
 
@@ -48,18 +48,18 @@ def occurrences(documents: DataFrame, markers: DataFrame) -> DataFrame:
     Markers are split by word count: the first and the last word of an occurrence may be parts of longer words in the
     document, so a word anchor only uses the words between them.
     """
-    filled = markers.where(F.length("marker") > 0)
-    inner = F.slice(_words(F.col("marker")), 2, F.greatest(F.size(_words(F.col("marker"))) - 2, F.lit(0)))
-    long = F.size(inner) >= WORD_RUN
-    candidates = _candidates(documents, _word_runs(_words(F.col("text"))), _anchored(filled.where(long), _word_runs(inner)))
-    # At most CHAR_RUN different lengths: short markers are anchored by all their characters.
-    short = filled.where(~long).withColumn("run_length", F.least(F.length("marker"), F.lit(CHAR_RUN)))
-    lengths = [row["run_length"] for row in short.select("run_length").distinct().collect()]
-    for length in sorted(lengths):
-        anchors = _anchored(short.where(F.col("run_length") == length), _char_runs(F.col("marker"), length))
-        candidates = candidates.unionAll(_candidates(documents, _char_runs(F.col("text"), length), anchors))
+    filled = _split_words(markers.where(F.length("marker") > 0), "marker")
+    inner = F.slice("units", 2, F.greatest(F.size("units") - 2, F.lit(0)))
+    long = filled.where(F.size("units") >= WORD_RUN + 2).withColumn("units", inner)
+    candidates = _candidates(_split_words(documents, "text"), _anchored(long, WORD_RUN), WORD_RUN)
+    # Short markers are anchored by a run of characters; at most CHAR_RUN different lengths.
+    short = filled.where(F.size("units") < WORD_RUN + 2).withColumn("run_length", F.least(F.length("marker"), F.lit(CHAR_RUN)))
+    lengths = sorted(row["run_length"] for row in short.select("run_length").distinct().collect())
+    for length in lengths:
+        anchors = _anchored(_split_characters(short.where(F.col("run_length") == length), "marker"), length)
+        candidates = candidates.unionAll(_candidates(_split_characters(documents, "text"), anchors, length))
     return (
-        candidates.join(filled, "marker_id").join(documents.select("doc_id", "text"), "doc_id")
+        candidates.join(markers, "marker_id").join(documents.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", "marker")).select("doc_id", "marker_id")
     )
 
