@@ -234,10 +234,24 @@ def text_leaves() -> Column:
     return F.filter(F.concat(F.array(*fixed), present(tags), present(links)), lambda item: item["text"].isNotNull())
 
 
+def _private_leaves_of(rows: DataFrame, leaves: Column, root: Column) -> DataFrame:
+    found = rows.select("snapshotKey", root.alias("root"), F.explode(leaves).alias("leaf"))
+    kind = privacy.first_private_kind(privacy.text_variants(F.col("leaf.text")))
+    return found.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
+        "snapshotKey", F.concat("root", "leaf.path").alias("path"), F.lit("private-value").alias("rule"),
+        F.concat(F.lit("contains a "), "kind").alias("message"))
+
+
 def private_row_values(opportunities: DataFrame) -> DataFrame:
     """Violations for private values in any text of a typed row."""
-    leaves = opportunities.select("snapshotKey", "pos", F.explode(text_leaves()).alias("leaf"))
-    kind = privacy.first_private_kind(privacy.text_variants(F.col("leaf.text")))
-    return leaves.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        "snapshotKey", F.concat(text.index_path("snapshot.opportunities", F.col("pos")), "leaf.path").alias("path"),
-        F.lit("private-value").alias("rule"), F.concat(F.lit("contains a "), "kind").alias("message"))
+    return _private_leaves_of(opportunities, text_leaves(), text.index_path("snapshot.opportunities", F.col("pos")))
+
+
+def private_values(headers: DataFrame, feeds: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Violations for private values anywhere in a snapshot."""
+    named = lambda columns: F.filter(F.array(*[
+        F.struct(F.lit(f".{name}").alias("path"), F.col(name).cast("string").alias("text")) for name in columns]),
+        lambda item: item["text"].isNotNull())
+    head = _private_leaves_of(headers, named(("scanAt", "defaultFeedId") + S.APPROVAL_KEYS), F.lit("snapshot"))
+    feed = _private_leaves_of(feeds, named(S.FEED_KEYS), text.index_path("snapshot.feeds", F.col("pos")))
+    return head.unionAll(feed).unionAll(private_row_values(opportunities))

@@ -206,7 +206,7 @@ def header_violations(headers: DataFrame, feeds: DataFrame, approved: bool) -> D
             rule("approval-after-scan", approval < scan, F.lit("snapshot.approvedAt"), "must not be before snapshot.scanAt"),
             rule("snapshot-id", F.col("snapshotId") == "", F.lit("snapshot.snapshotId"), "expected a non-empty string"),
             rule("hash-format", ~F.col("dataHash").rlike(HASH_PATTERN), F.lit("snapshot.dataHash"), "expected exactly 64 hexadecimal characters"),
-            rule("previous-format", ~is_snapshot_id(F.col("previousSnapshotId")), F.lit("snapshot.previousSnapshotId"),
+            rule("previous-format", F.col("previousSnapshotId").isNotNull() & ~is_snapshot_id(F.col("previousSnapshotId")), F.lit("snapshot.previousSnapshotId"),
                  "expected the repository snapshot ID format"),
         ]
     return violations(rows, rules)

@@ -11,7 +11,7 @@ from tidemark.operators.positions import first_wins
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def read_provinces(spark: SparkSession, path: str) -> DataFrame:
@@ -46,5 +46,5 @@ def corpus_lines(documents: DataFrame, file: str = "doc_id", body: str = "text")
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole files of a folder as (file, text)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))

@@ -21,7 +21,7 @@ class SnapshotTables:
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(snapshotKey, doc VARIANT) of all files within the size bound, and the refused files with the reason."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("snapshotKey"), F.col("_metadata.file_size").alias("size"),
         F.try_parse_json("value").alias("doc"))
     too_big = F.col("size") > S.MAX_SNAPSHOT_BYTES
