@@ -12,10 +12,14 @@ from tidemark.functions import facts, privacy, text, urls
 from tidemark.operators import board as ops
 from tidemark.operators import catalog, documents, facets, leaks, positions
 from tidemark.plans import privacy_gate
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, spread
 from tidemark.streaming import timers
 
 
+def _documents(spark, sf_dir):
+    return spread(B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 # ------------------------------------------------------------------ addresses
 def url_normalize(spark, sf_dir):
     """Page addresses in shouting spelling with ports and extra slashes."""
@@ -54,12 +58,12 @@ def url_rules(spark, sf_dir):
 # ------------------------------------------------------------------ texts
 def collapsed_texts(spark, sf_dir):
     padded = F.concat(F.lit("\u3000\u00a0 "), F.col("text"), F.lit("\u2028\ufeff"))
-    return B.table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", F.sha2(text.collapse_spaces(padded), 256).alias("h"), F.length(text.trim_u(padded)).cast("bigint").alias("n"))
 
 
 def diagnostic_texts(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", text.diagnostic_text(F.col("text")).alias("message"))
+    return _documents(spark, sf_dir).select("doc_id", text.diagnostic_text(F.col("text")).alias("message"))
 
 
 def private_free_text(spark, sf_dir):
@@ -88,11 +92,11 @@ def child_paths(spark, sf_dir):
 # ------------------------------------------------------------------ privacy
 def privacy_findings(spark, sf_dir):
     """Lines of documents with private data; one mail domain counts as reviewed."""
-    return privacy_gate.corpus_findings(B.table(spark, sf_dir, "documents")).select(F.col("file").alias("doc_id"), "line_no", "kind")
+    return privacy_gate.corpus_findings(_documents(spark, sf_dir)).select(F.col("file").alias("doc_id"), "line_no", "kind")
 
 
 def reviewed_contacts(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "@mail[0-3]", "@mail0").alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "@mail[0-3]", "@mail0").alias("text"))
     with_known = docs.withColumn("text", F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@mail0\.example\.com", "team@mail0.example.com"))
     return privacy_gate.corpus_findings(with_known, contacts=("team@mail0.example.com",)).select(
         F.col("file").alias("doc_id"), "line_no", "kind")
@@ -100,14 +104,14 @@ def reviewed_contacts(spark, sf_dir):
 
 def private_texts(spark, sf_dir):
     """First private value of whole texts whose addresses are disguised by width or by double percent-encoding."""
-    docs = B.table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     disguised = F.when(F.contains("text", F.lit("%")), F.col("text")).when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "@", "＠")).otherwise(
         F.regexp_replace("text", "@", "%2540"))
     return privacy_gate.text_findings(docs.select("doc_id", disguised.alias("text"))).select(F.col("file").alias("doc_id"), "kind")
 
 
 def benchmark_leaks(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     markers = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("marker_id"), F.col("text").alias("marker"))
     return leaks.occurrences(docs, markers).select("doc_id", F.col("marker_id").alias("item_id"))
 
@@ -122,7 +126,7 @@ def short_marker_leaks(spark, sf_dir):
 
 
 def corpus_isolation(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("corpus"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("corpus"))
     markers = B.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("marker_id"), F.col("text").alias("marker"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("home"))
     return leaks.isolation_findings(docs, markers).select("corpus", F.col("marker_id").alias("item_id"), "problem")

@@ -8,10 +8,12 @@ from tidemark import bench_views as B
 from tidemark import schema as S
 from tidemark.functions import canonical, dates, text
 from tidemark.functions.facts import with_fact_groups
+from tidemark.functions.urls import normalise_url
 from tidemark.operators import diff as diffs
 from tidemark.operators import digest, documents, identity, quality
 from tidemark.operators.positions import repeated
 from tidemark.plans import importing, publishing
+from tidemark.session import materialise, spread
 from tidemark.sources.scouting import ScoutingBatch
 
 
@@ -199,9 +201,7 @@ def fact_groups(spark, sf_dir):
 
 
 def _identity_inputs(spark, sf_dir):
-    parsed = importing.parse_rows(B.scouting_rows(spark, sf_dir))
-    from tidemark.functions.urls import normalise_url
-
+    parsed = materialise(importing.parse_rows(B.scouting_rows(spark, sf_dir)).select("urlNorm", "inputId"))
     known = B.previous_ids(spark, sf_dir).select("projectId", normalise_url(F.col("website")).alias("urlNorm"))
     names = identity.parse_aliases(B.alias_entries(spark, sf_dir))
     return parsed, known, names
@@ -266,7 +266,9 @@ def import_gate(spark, sf_dir):
 
 def repeated_documents(spark, sf_dir):
     """Later copies of a text with the same words."""
-    rows = B.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.collapse_spaces(F.col("text")), 256).alias("h"))
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The hashes are read twice and the texts are long, so the narrow table is written once.
+    rows = materialise(docs.select("doc_id", F.sha2(text.collapse_spaces(F.col("text")), 256).alias("h")))
     return repeated(rows, ["h"], "doc_id").select("doc_id", "h")
 
 

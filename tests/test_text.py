@@ -77,8 +77,10 @@ def test_private_kinds_under_all_spellings(spark):
         "C:\\Users\\Alice\\private.json": path, "file:///Users/alice/private.json": uri, "x welfareScore y": marker, "targets/submitted/x": marker,
         "99138001380001234": None, "mywelfareScores": None, "100% 免费 %zz": None, "plain": None,
     }
-    got = values(spark, list(cases), lambda t: privacy.first_private_kind(privacy.text_variants(t)))
-    assert dict(zip(cases, got)) == cases
+    frame = spark.createDataFrame([(case,) for case in cases], "t string")
+    assert {row["t"]: row["kind"] for row in privacy.with_private_kind(frame, "t").collect()} == cases
+    spelled = values(spark, ["a％41", "plain", "%zz"], privacy.text_variants)
+    assert spelled == [["a％41", "a%41", "aA"], ["plain"], ["%zz"]]
 
 
 def test_reviewed_contacts(spark):

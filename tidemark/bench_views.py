@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions.facts import fixed_fact
 from tidemark.functions.text import literal_array
+from tidemark.session import spread
 
 AS_OF_MS = 899_251_200_000
 ZONE = "UTC"
@@ -43,11 +44,11 @@ def _deadline_text(key: Column, minutes: Column) -> Column:
 
 def orders_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the customer's segment, nation and region; only the needed columns are read."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint").alias("day"),
         F.year("o_orderdate").cast("string").alias("cycle"),
-    )
+    ))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")

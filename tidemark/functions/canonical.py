@@ -33,7 +33,7 @@ def _lower_escapes(text: Column) -> Column:
     fixed = text
     for code in _LETTER_ESCAPES:
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
-    return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
+    return F.when(F.contains(text, F.lit("\\u00")), fixed).otherwise(text)
 
 
 def canonical_json(schema: T.StructType, columns: Mapping[str, Column] | None = None,
@@ -42,25 +42,20 @@ def canonical_json(schema: T.StructType, columns: Mapping[str, Column] | None =
     left_out = set(without)
     may_miss = set(optional)
     fields = sorted((field for field in schema.fields if field.name not in left_out), key=lambda field: field.name)
-    value = lambda field: sort_keys((columns or {}).get(field.name, F.col(field.name)), field.dataType)
-    body = lambda run: F.expr("1") if not run else F.regexp_extract(
-        F.to_json(F.struct(*[value(field).alias(field.name) for field in run]), _JSON_OPTIONS), r"(?s)^\{(.*)\}$", 1)
-
-    pieces: list[Column] = []
-    run: list[T.StructField] = []
-    for field in fields:
-        if field.name in may_miss:
-            if run:
-                pieces.append(body(run))
-                run = []
-            present = (columns or {}).get(field.name, F.col(field.name)).isNotNull()
-            pieces.append(F.when(present, body([field])))
-        else:
-            run.append(field)
-    if run:
-        pieces.append(body(run))
-    joined = F.concat_ws(",", *pieces)
-    return _lower_escapes(F.concat(F.lit("{"), joined, F.lit("}")))
+    value = lambda name: (columns or {}).get(name, F.col(name))
+
+    def text(kept: list[T.StructField]) -> Column:
+        return F.to_json(F.struct(*[sort_keys(value(field.name), field.dataType).alias(field.name) for field in kept]), _JSON_OPTIONS)
+
+    def without_nulls(kept: list[T.StructField], open_keys: list[str]) -> Column:
+        """One text for each combination of absent optional keys; a row evaluates only its own."""
+        if not open_keys:
+            return text(kept)
+        name, rest = open_keys[0], open_keys[1:]
+        absent = without_nulls([field for field in kept if field.name != name], rest)
+        return F.when(value(name).isNull(), absent).otherwise(without_nulls(kept, rest))
+
+    return _lower_escapes(without_nulls(fields, [field.name for field in fields if field.name in may_miss]))
 
 
 def publication_fingerprint(schema: T.StructType) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points which count as white space (Spark's own trim only knows U+0020).
-SPACE_CLASS = r"[\t\n\x0B\f\r\u00A0\uFEFF\p{Zs}\u2028\u2029]"
+SPACE_CLASS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 FOUR_PARTS = r"^[^|]*[^|S][^|]*(?:\|[^|]*[^|S][^|]*){3}$".replace("S", SPACE_CLASS[1:-1])
 IDENTIFIER_PATTERN = "(?i)^[a-z_$][a-z0-9_$]*$"
 CJK_BLOCK_PATTERN = r"^[一-龥（）()·—\-\s]+"

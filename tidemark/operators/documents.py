@@ -208,11 +208,10 @@ def budget_violations(leaves: DataFrame, max_nodes: int = S.MAX_SCAN_NODES, max_
 
 def private_leaves(leaves: DataFrame) -> DataFrame:
     """(doc_id, path, message): private keys and private values under all their spellings."""
-    kind = privacy.first_private_kind(privacy.text_variants(F.col("value")))
     found = F.array_compact(F.array(
-        F.when(F.coalesce(privacy.is_private_key(F.col("key")), F.lit(False)), "private publication marker"),
-        F.when(F.col("value").isNotNull(), kind)))
-    return leaves.select("doc_id", "path", F.explode(found).alias("kind")).select(
+        F.when(F.coalesce(privacy.is_private_key(F.col("key")), F.lit(False)), "private publication marker"), F.col("kind")))
+    composed = privacy.with_nfkc(leaves, "key")
+    return privacy.with_private_kind(composed, "value").select("doc_id", "path", F.explode(found).alias("kind")).select(
         "doc_id", "path", F.concat(F.lit("contains a "), "kind").alias("message"))
 
 
@@ -235,10 +234,10 @@ def text_leaves() -> Column:
 
 
 def _private_leaves_of(rows: DataFrame, leaves: Column, root: Column) -> DataFrame:
-    found = rows.select("snapshotKey", root.alias("root"), F.explode(leaves).alias("leaf"))
-    kind = privacy.first_private_kind(privacy.text_variants(F.col("leaf.text")))
-    return found.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        "snapshotKey", F.concat("root", "leaf.path").alias("path"), F.lit("private-value").alias("rule"),
+    found = rows.select("snapshotKey", root.alias("root"), F.explode(leaves).alias("leaf")).select(
+        "snapshotKey", "root", "leaf.path", "leaf.text")
+    return privacy.with_private_kind(found, "text").where(F.col("kind").isNotNull()).select(
+        "snapshotKey", F.concat("root", "path").alias("path"), F.lit("private-value").alias("rule"),
         F.concat(F.lit("contains a "), "kind").alias("message"))
 
 

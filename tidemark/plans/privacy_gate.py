@@ -12,12 +12,12 @@ from tidemark.sources.dimensions import corpus_lines
 def corpus_findings(documents: DataFrame, file: str = "doc_id", body: str = "text",
                     contacts: tuple[str, ...] = privacy.REVIEWED_CONTACTS) -> DataFrame:
     """(file, line_no, kind) for every line with private data; reviewed public contacts pass."""
-    composed = documents.select(F.col(file), privacy.nfkc(F.col(body)).alias(body))
+    composed = privacy.with_nfkc(documents.select(file, body), body)
     return corpus_lines(composed, file, body).select(
         "file", "line_no", F.explode(privacy.corpus_kinds(F.col("line"), contacts)).alias("kind"))
 
 
 def text_findings(documents: DataFrame, file: str = "doc_id", body: str = "text") -> DataFrame:
     """(file, kind): the first private value of each whole text under all its spellings."""
-    kind = privacy.first_private_kind(privacy.text_variants(F.col(body)))
-    return documents.select(F.col(file).alias("file"), kind.alias("kind")).where(F.col("kind").isNotNull())
+    return privacy.with_private_kind(documents.select(F.col(file).alias("file"), body), body).where(
+        F.col("kind").isNotNull()).select("file", "kind")
