@@ -223,8 +223,11 @@ def logos_resolved(spark, sf_dir):
 # ------------------------------------------------------------------ deadlines over events
 def _event_deadlines(events):
     """Events as announcements: the deadline lies ``value`` tenths of an hour after the event."""
-    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
-    return events.withColumn("deadline_ms", (F.floor(ms) + F.floor(F.col("value") * 360_000)).cast("bigint"))
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
+    return events.withColumns({
+        "deadline_ms": (F.floor(micros / 1000) + F.floor(F.col("value") * 360_000)).cast("bigint"),
+        "ts": F.timestamp_micros(micros),  # the instant, whatever the session's zone
+    })
 
 
 def deadline_changes(spark, sf_dir):
@@ -240,7 +243,7 @@ def expiry_stream(spark, sf_dir):
     folder = f"{ensure_checkpoint_dir(spark)}/expiry-{uuid.uuid4()}"
     schema = B.table(spark, sf_dir, "events").schema
     stream = _event_deadlines(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
-    clocked = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    clocked = stream.withWatermark("ts", "0 seconds")
     board = clocked.select("ts", F.col("event_id").cast("string").alias("projectId"), F.lit(S.OPEN).alias("verificationStatus"),
                            F.col("deadline_ms").alias("deadlineEpochMs"))
     announced = timers.expiries(board, F.lit(1))

@@ -44,6 +44,15 @@ def wall_clock(ms: Column, zone: str = BOARD_ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
+def _chars(wall: Column, start: int, length: int) -> Column:
+    """Characters of ``yyyy-MM-dd HH:mm:ss``; a cast keeps the wall clock, formatting would pass through the session zone."""
+    return F.substring(wall.cast("string"), start, length)
+
+
+def _day(wall: Column) -> Column:
+    return _chars(wall, 1, 10)
+
+
 def ntz_to_ms(wall: Column) -> Column:
     """Epoch milliseconds of a wall clock read as UTC."""
     return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), wall)
@@ -77,7 +86,7 @@ def is_iso_timestamp(text: Column) -> Column:
 def publication_timestamp(ms: Column) -> Column:
     """The instant in +08:00 to the second."""
     wall = F.timestamp_add("MILLISECOND", ms + 8 * MS_PER_HOUR, F.expr(_EPOCH))
-    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(PUBLICATION_OFFSET))
+    return F.concat(F.translate(_chars(wall, 1, 19), " ", "T"), F.lit(PUBLICATION_OFFSET))
 
 
 def with_deadline(rows: DataFrame, deadline: str, original: str) -> DataFrame:
@@ -177,7 +186,7 @@ def official_deadline(original: Column, ms: Column, zone: str = BOARD_ZONE) -> C
         .when(~states_clock_time(original, ms, zone), F.concat(chinese_date(wall), F.lit("（官网未公布具体时刻）")))
         .when(midnight & original.rlike(MIDNIGHT_24),
               F.concat(chinese_date(F.date_sub(wall.cast("date"), 1)), F.lit(" 24:00")))
-        .otherwise(F.concat(chinese_date(wall), F.lit(" "), F.date_format(wall, "HH:mm")))
+        .otherwise(F.concat(chinese_date(wall), F.lit(" "), _chars(wall, 12, 5)))
     )
 
 
@@ -241,12 +250,12 @@ def progress(remaining: Column, window_days: int = 90) -> Column:
 
 
 def date_key(ms: Column, zone: str = BOARD_ZONE) -> Column:
-    return F.date_format(wall_clock(ms, zone), "yyyy-MM-dd")
+    return _day(wall_clock(ms, zone))
 
 
 def start_of_day_ms(ms: Column, zone: str = BOARD_ZONE) -> Column:
     """The instant at which the zoned day of ``ms`` begins."""
-    day = F.date_trunc("day", wall_clock(ms, zone)).cast("timestamp_ntz")
+    day = wall_clock(ms, zone).cast("date").cast("timestamp_ntz")
     return ntz_to_ms(F.convert_timezone(F.lit(zone), F.lit("UTC"), day))
 
 
@@ -267,11 +276,11 @@ def date_short(ms: Column, zone: str = BOARD_ZONE) -> Column:
 
 
 def date_time(ms: Column, zone: str = BOARD_ZONE) -> Column:
-    return F.when(ms.isNull(), "—").otherwise(F.date_format(wall_clock(ms, zone), "yyyy-MM-dd HH:mm"))
+    return F.when(ms.isNull(), "—").otherwise(_chars(wall_clock(ms, zone), 1, 16))
 
 
 def beijing_date(ms: Column) -> Column:
-    return F.date_format(wall_clock(ms + 8 * MS_PER_HOUR, "UTC"), "yyyy-MM-dd")
+    return _day(wall_clock(ms + 8 * MS_PER_HOUR, "UTC"))
 
 
 def beijing_year(ms: Column) -> Column:
@@ -279,11 +288,14 @@ def beijing_year(ms: Column) -> Column:
 
 
 def compact_utc(ms: Column) -> Column:
-    return F.date_format(wall_clock(ms, "UTC"), "yyyyMMdd-HHmmss")
+    wall = wall_clock(ms, "UTC")
+    return F.concat(F.translate(_day(wall), "-", ""), F.lit("-"), F.translate(_chars(wall, 12, 8), ":", ""))
 
 
 def utc_iso_millis(ms: Column) -> Column:
-    return F.date_format(wall_clock(ms, "UTC"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    wall = wall_clock(ms, "UTC")
+    millis = F.lpad(F.pmod(ms, F.lit(MS_PER_SECOND)).cast("string"), 3, "0")
+    return F.concat(_day(wall), F.lit("T"), _chars(wall, 12, 8), F.lit("."), millis, F.lit("Z"))
 
 
 def snapshot_id(approved_ms: Column, data_hash: Column) -> Column:
