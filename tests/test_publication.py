@@ -25,6 +25,14 @@ def test_known_hash(spark):
     assert got.first()["computedHash"] == "2d1ac6c1deeea7e7fb4a5864af63dbeda7b876780a03872ea75c1a51fdbc36d0"
 
 
+def test_no_text_is_gathered_beyond_the_size_bound(spark, monkeypatch):
+    rows = opportunities(spark, [opportunity(projectId=f"2027|a|b|{i}") for i in range(3)])
+    monkeypatch.setattr(S, "MAX_SNAPSHOT_BYTES", 1000)
+    tables = SnapshotTables(header(spark), feeds(spark), rows)
+    assert digest.canonical_hashes(tables.headers, tables.feeds, tables.opportunities).first()["computedHash"] is None
+    assert ("snapshot", "size") in found(publishing.stored_violations(tables))
+
+
 def test_canonical_json_tells_absent_from_null(spark):
     rows = [opportunity(province=None, deadline=None, description='a"\u0001\u001f\u000b\\u001F/中')]
     text = opportunities(spark, rows).select(canonical.canonical_json(S.OPPORTUNITY).alias("j")).first()["j"]
