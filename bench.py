@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3, median after
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1, median after
 one warm-up run), BENCH_QUERIES (comma list, default the headline set).
 """
 
@@ -29,7 +29,7 @@ def main() -> None:
 
     cpus = os.environ.get("BENCH_CPUS", "8")
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or list(HEADLINE)
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="tidemark-bench")
     spark.sparkContext.setLogLevel("OFF")
