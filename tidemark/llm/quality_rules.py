@@ -89,11 +89,12 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Struct ``row`` of the input and the measures, the cleaned text and the verdicts beside it."""
     base = boxed(docs, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     split = base.select("row", "text", _words(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"), has_phrase(F.col("text")).alias("phrases"))
-    hashed = split.withColumn("word_hashes", F.transform("words", lambda word: F.xxhash64(word)))
     starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
-    parts = hashed.select(
+    parts = split.select(
         "row", "text", "words", "lines",
-        F.when(F.size("words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("word_hashes", i, WINDOW))))
+        F.when(F.size("words") >= WINDOW, let(
+            F.transform("words", lambda word: F.xxhash64(word)),
+            lambda hashes: F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))))
         .otherwise(F.array().cast("array<bigint>")).alias("hashes"),
         F.transform("lines", lambda line: F.struct(line.alias("line"), line_verdict(line, F.col("phrases")).alias("fails"))).alias("judged"),
         F.filter("lines", lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("filled"),
