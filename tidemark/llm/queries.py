@@ -2,13 +2,70 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tidemark.llm import packing, quality_rules, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Hosts of gambling, pills, trackers, spam and adult pages: a production list comes as a table of the same form.
+BLOCKED_HOSTS = (
+    "ads-track.example.com/", "adult-x.example.com/", "adult-x.example.net/", "adult-x.example.org/", "casino-win.example.com/",
+    "cheap-pills.example.com/", "free-bets.example.com/", "spam-farm.example.com/",
+)
+
 
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-SQL = {}
+def op2_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.filter_urls(pages, url_filter.entry_table(spark, URL_RULES, BLOCKED_HOSTS))
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op4_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = token_counts.token_counts(docs.select("doc_id", "text"), PIECE_BPE)
+    return counts.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
+    "op9_token_files": op9_token_files,
+}
+
+_A, _a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL = {
+    "op2_url_filters": f"""
+        WITH rules(rule, action) AS (VALUES {", ".join(f"('{r}', '{a}')" for r, a in URL_RULES.items())}),
+        listed(entry) AS (VALUES {", ".join(f"('{e}')" for e in BLOCKED_HOSTS)}),
+        parts AS (SELECT page_id, row_number() OVER () AS at,
+            translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_A}', '{_a}') AS host,
+            regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        fits AS (SELECT p.at, r.rule, r.action, row_number() OVER (PARTITION BY p.at ORDER BY length(r.rule) DESC) AS n
+            FROM parts p JOIN rules r ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))
+            AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/')))),
+        hits AS (SELECT DISTINCT p.at FROM parts p JOIN listed l
+            ON (p.host = split_part(l.entry, '/', 1) OR ends_with(p.host, '.' || split_part(l.entry, '/', 1)))
+            AND starts_with(p.path, substr(l.entry, strpos(l.entry, '/'))))
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, CASE WHEN h.at IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM parts p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.at = f.at LEFT JOIN hits h ON p.at = h.at""",
+}
