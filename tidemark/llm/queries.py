@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality_rules, token_counts, token_files, url_filter
+from tidemark.llm import decontamination, packing, quality_rules, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op4_token_counts(spark, sf_dir):
     return counts.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
 }
 
