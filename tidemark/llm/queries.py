@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, quality_rules, token_counts, token_files, url_filter
+from tidemark.llm import decontamination, ngram_join, packing, quality_rules, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ def op9_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _A, _a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
