@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, ngram_join, packing, quality_rules, token_counts, token_files, url_filter
+from tidemark.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,10 @@ def op7_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_ngram_join": op10_ngram_join,
 }
