@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup
 from tidemark.llm.common import table, written
+from tidemark.llm.queries import BYTE_BPE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failed lines go; documents that fail or lose too much text go."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: the one with the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in repeated 400-byte strings go."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs, BYTE_BPE)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_join", near_copies),
+    ("suffix_dedup", repeats),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
 #: The stages look for repeats in bytes and tokens, which SQL cannot express.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files, url_filter
+from tidemark.llm import decontamination, language_id, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files, url_filter
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,23 @@ def op4_token_counts(spark, sf_dir):
     return counts.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs, ~held_out)
+    found = language_id.identify(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_license_scans(spark, sf_dir):
+    """The documents as files: the source is the repository, with a folder for each thousand of ids."""
+    number = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(number / 1000), F.concat(number, F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = license_scan.scan(files)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("row.path").alias("path"), "own_licence", F.round("cosine", 6).alias("cosine"), "licence_file", "licence", "licence_from")
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +77,8 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
+    "op6_license_scans": op6_license_scans,
     "op7_decontamination": op7_decontamination,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
