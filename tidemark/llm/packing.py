@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.bpe import encoder
 from tidemark.llm.common import boxed, slices
@@ -134,8 +135,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     names = ["doc_id", *NUMBERS] + ["ids"] * with_ids
     schema = StructType([parts.schema["doc_id"], *[StructField(name, LongType()) for name in NUMBERS]])
     if with_ids:
-        schema = schema.add("ids", "array<int>")
-    from pyspark.sql.pandas.types import to_arrow_type
-
+        schema = schema.add("ids", ArrayType(IntegerType()))
     types = [to_arrow_type(f.dataType) for f in schema.fields]
     return parts.mapInArrow(run, schema)

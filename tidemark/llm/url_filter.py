@@ -79,7 +79,7 @@ def write_index(entries: DataFrame) -> list[tuple]:
             with fs.open_output_stream(f"{place}/{name}") as out:
                 out.write(data)
         lengths = sorted({len(p) for t in texts if not (p := t[t.find(b"/"):]).endswith(b"/")})
-        yield pa.RecordBatch.from_pydict({"place": [place], "low": [f"{key[0]:020d}"], "high": [f"{key[-1]:020d}"], "n": [len(texts)], "lengths": [lengths]})
+        yield pa.RecordBatch.from_pydict({"place": [place], "low": [f"{key[0]:020d}"], "high": [f"{key[-1]:020d}"], "n": [len(texts)], "lengths": pa.array([lengths], pa.list_(pa.int32()))})
 
     rows = ordered.mapInArrow(write, "place string, low string, high string, n long, lengths array<int>").collect()
     return [(folder, r.place, int(r.low), int(r.high), r.n, tuple(r.lengths)) for r in rows]
