@@ -10,7 +10,8 @@ of those first fifths that they share, and the partial overlaps are summed for e
 3. First round: neighbours in each list, sorted by size, are counted; every node is compared with its best neighbour only.  That
    links groups of near copies into components without looking at their pairs.
 4. Second round: of the lists that still hold several components, the pairs from different components are counted; those whose sum
-   can still reach the threshold are compared.  No link between components is lost; links inside a component change nothing.
+   can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
+   none of its first shingles but listed ones, so heavily edited copies, whose first shingles are their own, meet nobody.  No link between components is lost; links inside a component change nothing.
 
 A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts of
 a centre and of those compared with it meet in chunks of bounded size, whatever the number of partners.
@@ -26,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import boxed, slices, written
@@ -131,12 +132,14 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 
 def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFrame:
     """(shingle, a, n, a_before, n_before): the nodes that have a shingle among their first ones, for shingles with several nodes, each
-    with the node before it in the list by size."""
+    with the node before it in the list by size.  And a row for each node without a shingle, where ``a_before`` is the place in the
+    order of the last of its first shingles."""
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches):
         held: list[np.ndarray] = []
         nodes: dict[tuple[int, int], int] = {}
+        lasts: list[int] = []
         size = 0
 
         def hand_on():
@@ -147,6 +150,8 @@ def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFra
             fragment = ((token >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(fragment, kind="stable")
             cuts = np.searchsorted(fragment[by], np.arange(fragments + 1))
+            yield pa.RecordBatch.from_pydict({"fragment": pa.array([fragments + len(held) % fragments], pa.int32()), "token": pa.array([np.array(lasts, dtype=np.int64).tobytes()], pa.binary()),
+                                              "a": pa.array([signs.tobytes()], pa.binary()), "n": pa.array([sizes.tobytes()], pa.binary())})
             for f in range(fragments):
                 mine = by[cuts[f]:cuts[f + 1]]
                 if len(mine):
@@ -161,11 +166,13 @@ def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFra
                 key = signature(s)[0], len(s)
                 if key not in nodes:
                     nodes[key] = len(nodes)
-                    first = np.lexsort((s, order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]))[:prefix_length(len(s))]
+                    often = order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]
+                    first = np.lexsort((s, often))[:prefix_length(len(s))]
                     held.append(s[first])
+                    lasts.append((min(int(often[first[-1]]), 0x7FFFFF) << 40) + (int(s[first[-1]]) >> 24 if often[first[-1]] < 0x7FFFFF else 0))
             if size > BATCH:
                 yield from hand_on()
-                held, nodes, size = [], {}, 0
+                held, nodes, lasts, size = [], {}, [], 0
         if held:
             yield from hand_on()
 
@@ -175,6 +182,11 @@ def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFra
         current, parts = None, []
 
         def shared():
+            if current >= fragments:
+                for last, a, n in ((np.frombuffer(t, np.int64), np.frombuffer(x, np.int64), np.frombuffer(y, np.int32)) for t, x, y in parts):
+                    nothing = np.ones(len(a), dtype=bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(last, mask=nothing), pa.array(a), pa.array(n), pa.array(last), pa.array(n, mask=nothing)], names=names)
+                return
             token = np.concatenate([np.frombuffer(t, np.uint64) for t, _, _ in parts])
             a = np.concatenate([np.frombuffer(x, np.int64) for _, x, _ in parts])
             n = np.concatenate([np.frombuffer(x, np.int32) for _, _, x in parts])
@@ -243,7 +255,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = written(shared_lists(docs, shingle_counts(docs, counters), fragments), "join-lists")
 
     # texts of every representative that shares a shingle with another one
-    wanted = lists.select("a", "n").distinct().join(ids, ["a", "n"]).select(F.col("rep").alias("doc_id")).distinct()
+    lasts = lists.filter("shingle is null").groupBy("a", "n").agg(F.min("a_before").alias("last"))
+    lists = lists.filter("shingle is not null")
+    listed = written(lists.groupBy("a", "n").agg(F.count(F.lit(1)).alias("listed")), "join-listed")
+    wanted = listed.select("a", "n").join(ids, ["a", "n"]).select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "join-texts")
 
     # first round: neighbours in the lists, each node with its best one
@@ -257,16 +272,24 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = components(linked)
 
     # second round: pairs from different components in lists that hold several
-    homes = ids.join(known, F.col("rep") == F.col("node"), "left").select("a", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = lists.select("shingle", "a", "n").join(homes, ["a", "n"]).select("shingle", "n", "rep", "component")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    open_lists = written(placed.join(mixed, "shingle", "left_semi"), "join-open-lists")
-    left, right = (open_lists.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "rep", "component")]) for side in "xy")
+    # "most": shingles that a node can share with one whose first shingles reach as far in the order: all but its unlisted first ones
+    homes = ids.join(listed, ["a", "n"]).join(lasts, ["a", "n"]).join(known, F.col("rep") == F.col("node"), "left").select(
+        "a", "n", "rep", F.coalesce("component", "rep").alias("component"), "last", (F.col("n") - prefix_length_column("n") + F.col("listed")).alias("most"))
+    placed = lists.select("shingle", "a", "n").join(homes, ["a", "n"]).select("shingle", "n", "rep", "component", "last", "most")
+    whole = Window.partitionBy("shingle")
+    mixed = placed.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).filter("low < high")
+    open_lists = written(mixed.drop("low", "high"), "join-open-lists")
+    left, right = (open_lists.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "rep", "component", "last", "most")]) for side in "xy")
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
-    across = left.join(right, "shingle").filter(smaller & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_x") >= PERCENT * F.col("n_y")))
-    summed = across.groupBy(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"), "n_x", "n_y").agg(F.count(F.lit(1)).alias("overlap"))
-    rest = F.greatest(F.col("n_x") - prefix_length_column("n_x"), F.col("n_y") - prefix_length_column("n_y"))
-    hopeful = _ordered(summed.filter((F.col("overlap") + rest) * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y"))))
+
+    def reaches(number: Column) -> Column:
+        return number * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y"))
+
+    possible = ((F.col("last_x") <= F.col("last_y")) & reaches(F.col("most_x"))) | ((F.col("last_y") <= F.col("last_x")) & reaches(F.col("most_y")))
+    across = left.join(right, "shingle").filter(smaller & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_x") >= PERCENT * F.col("n_y")) & possible)
+    summed = across.groupBy(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"), "n_x", "n_y", "last_x", "last_y").agg(F.count(F.lit(1)).alias("overlap"))
+    rest_x, rest_y = (F.col("overlap") + F.col(f"n_{side}") - prefix_length_column(f"n_{side}") for side in "xy")
+    hopeful = _ordered(summed.filter(((F.col("last_x") <= F.col("last_y")) & reaches(rest_x)) | ((F.col("last_y") <= F.col("last_x")) & reaches(rest_y))))
     second = written(hopeful.join(tried, ["u", "v"], "left_anti").select("u", "v"), "join-second")
     more = compared(second, texts)
     final = components(linked.union(more))
