@@ -157,7 +157,7 @@ def test_anchors_do_not_depend_on_tiles(monkeypatch):
     whole = list(suffix_dedup.anchor_runs(raw))
     monkeypatch.setattr(suffix_dedup, "TILE", 1000)
     parts = list(suffix_dedup.anchor_runs(raw))
-    by = lambda runs: {s + k: a for a, s, n in runs for k in range(n)}
+    by = lambda runs: {s + k: (a, lead - k) for a, s, n, lead in runs for k in range(n)}
     assert by(whole) == by(parts) and len(by(whole)) == len(raw) - suffix_dedup.LENGTH + 1
 
 

@@ -4,8 +4,8 @@ Every window of ``LENGTH`` bytes has one anchor: its smallest ``ANCHOR``-byte st
 anchors, so windows may be dealt out by anchor.  Neighbouring windows with one anchor are a fragment: their bytes, cut once.
 
 1. Anchors of one fragment are dropped where they lie.  An anchor whose fragments are all equal needs no sorting: all are repeats.
-2. Of the other anchors each distinct fragment is sent once, by anchor, to a shard.  The shard's suffixes are sorted by external
-   induction; a window whose common prefix with a neighbour reaches ``LENGTH`` is a repeat.  Shards may be larger than memory.
+2. Of the other anchors each distinct fragment is sent once, by anchor, to a shard.  Parts that can have no equal there are left
+   out; the suffixes of the rest are sorted by external induction; a window whose common prefix with a neighbour reaches ``LENGTH`` is a repeat.  Shards may be larger than memory.
 3. The repeats found for a fragment hold for all places where it lies; a document's covered bytes are united and cut out.
 
 A fragment found thousands of times is one row after the first partial aggregate, so copies meet in no task.
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -29,6 +30,8 @@ from tidemark.llm.shingles import mix
 from tidemark.llm.suffix_sort import Store, sort_suffixes
 
 LENGTH, ANCHOR = 400, 64
+#: Distances to the anchor that are looked at together before sorting.
+BLOCK = 16
 #: Window starts handled at once; longer documents are taken in parts that overlap.
 TILE = 1 << 20
 #: Bytes of fragments of a shard, on average.
@@ -49,7 +52,7 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 def anchor_runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(fingerprint of the anchor, first window start, number of windows) of each fragment of a text."""
+    """(fingerprint of the anchor, first window start, number of windows, bytes from that start to the anchor) of each fragment."""
     for tile in range(0, len(raw) - length + 1, TILE):
         part = raw[tile:tile + TILE + length - 1]
         n = len(part)
@@ -65,7 +68,7 @@ def anchor_runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         place = (np.minimum(back[:windows], ahead[width - 1:width - 1 + windows]) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        yield from zip(grams[place[first]].view(np.int64).tolist(), (first + tile).tolist(), np.diff(np.append(first, windows)).tolist())
+        yield from zip(grams[place[first]].view(np.int64).tolist(), (first + tile).tolist(), np.diff(np.append(first, windows)).tolist(), (place[first] - first).tolist())
 
 
 def fragments_of(docs: DataFrame) -> DataFrame:
@@ -78,13 +81,13 @@ def fragments_of(docs: DataFrame) -> DataFrame:
                 data = text.encode()
                 if len(data) < LENGTH:
                     continue
-                for key, start, count in anchor_runs(np.frombuffer(data, dtype=np.uint8)):
+                for key, start, count, lead in anchor_runs(np.frombuffer(data, dtype=np.uint8)):
                     digest = hashlib.blake2b(data[start:start + count - 1 + LENGTH], digest_size=16).digest()
-                    out.append((key, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, own, start, count))
+                    out.append((key, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, own, start, count, lead))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
-    names = ["anchor", "a", "b", "doc_id", "own", "start", "windows"]
+    names = ["anchor", "a", "b", "doc_id", "own", "start", "windows", "lead"]
     return docs.select("doc_id", "own", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -113,22 +116,44 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[list[tup
     return out
 
 
+def shared_parts(pieces: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """Of fragments (anchor, windows, lead, bytes), the runs of windows (fragment, first, number) that can have an equal one.
+
+    Equal windows lie equally far before equal anchors.  Windows of one block of such distances have all bytes but a few in common;
+    a block whose common bytes no other fragment has is left out.
+    """
+    owners: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+    for i, (anchor, windows, lead, data) in enumerate(pieces):
+        for block in range((lead - windows + 1) // BLOCK, lead // BLOCK + 1):
+            at = lead - block * BLOCK
+            core = xxhash.xxh3_64_intdigest(data[at:at + LENGTH - BLOCK + 1])
+            owners.setdefault((anchor, block, core), []).append((i, max(0, at - BLOCK + 1), min(windows, at + 1)))
+    runs: list[tuple[int, int, int]] = []
+    for i, begin, end in sorted(x for group in owners.values() if len(group) > 1 for x in group):
+        if runs and runs[-1][0] == i and runs[-1][1] + runs[-1][2] == begin:
+            runs[-1] = (i, runs[-1][1], end - runs[-1][1])
+        else:
+            runs.append((i, begin, end - begin))
+    return runs
+
+
 def sorted_shards(pieces: DataFrame) -> DataFrame:
-    """For fragments (anchor, a, b, copies, windows, bytes): the ranges of their repeated windows."""
+    """For fragments (anchor, a, b, copies, windows, lead, bytes): the ranges of their repeated windows."""
 
     def run(batches):
         rows, data = [], []
         for batch in batches:
-            rows += list(zip(*(batch.column(c).to_pylist() for c in ("anchor", "a", "b", "copies", "windows"))))
+            rows += list(zip(*(batch.column(c).to_pylist() for c in ("anchor", "a", "b", "copies", "windows", "lead"))))
             data += batch.column("bytes").to_pylist()
         if not rows:
             return
-        found = repeated_windows(data)
-        out = []
-        for (anchor, a, b, copies, windows), ranges in zip(rows, found):
-            ranges = [(0, windows)] if copies > 1 else ranges
-            if ranges:
-                out.append((anchor, a, b, [x for x, _ in ranges], [y for _, y in ranges]))
+        runs = shared_parts([(r[0], r[4], r[5], d) for r, d in zip(rows, data)])
+        ranges: dict[int, list[tuple[int, int]]] = {i: [(0, r[4])] for i, r in enumerate(rows) if r[3] > 1}
+        if runs:
+            for (i, first, _), found in zip(runs, repeated_windows([data[i][first:first + n - 1 + LENGTH] for i, first, n in runs])):
+                if rows[i][3] == 1:
+                    ranges.setdefault(i, []).extend((first + x, first + y) for x, y in found)
+        out = [(*rows[i][:3], [x for x, _ in own], [y for _, y in own]) for i, own in ranges.items() if own]
         if out:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "a", "b", "begins", "ends"])
@@ -145,9 +170,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = written(everywhere.join(anchors.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchor"), "dedup-shared")
     whole = shared.filter("not mixed").select("doc_id", "own", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
     mixed = shared.filter("mixed")
-    distinct = mixed.groupBy("anchor", "a", "b", "windows").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "own", "start")).alias("place"))
+    distinct = mixed.groupBy("anchor", "a", "b", "windows", "lead").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "own", "start")).alias("place"))
     wanted = distinct.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.own").alias("own")).agg(
-        F.collect_list(F.struct("anchor", "a", "b", "copies", "windows", F.col("place.start").alias("start"))).alias("cuts"))
+        F.collect_list(F.struct("anchor", "a", "b", "copies", "windows", "lead", F.col("place.start").alias("start"))).alias("cuts"))
     owners = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.own") == F.col("w.own"))).select("text", "cuts")
 
     def cut(batches):
@@ -156,12 +181,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
                 data = text.encode()
                 for c in cuts:
-                    out.append((c["anchor"], c["a"], c["b"], c["copies"], c["windows"], data[c["start"]:c["start"] + c["windows"] - 1 + LENGTH]))
+                    out.append((c["anchor"], c["a"], c["b"], c["copies"], c["windows"], c["lead"], data[c["start"]:c["start"] + c["windows"] - 1 + LENGTH]))
             if out:
-                kinds = (pa.int64(),) * 5 + (pa.binary(),)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "a", "b", "copies", "windows", "bytes"])
+                kinds = (pa.int64(),) * 6 + (pa.binary(),)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "a", "b", "copies", "windows", "lead", "bytes"])
 
-    pieces = written(owners.mapInArrow(cut, "anchor long, a long, b long, copies long, windows long, bytes binary"), "dedup-pieces")
+    pieces = written(owners.mapInArrow(cut, "anchor long, a long, b long, copies long, windows long, lead long, bytes binary"), "dedup-pieces")
     ranges = written(sorted_shards(pieces.dropDuplicates(["anchor", "a", "b"])), "dedup-ranges")
     partly = mixed.join(ranges, ["anchor", "a", "b"]).select("doc_id", "own", "start", F.explode(F.arrays_zip("begins", "ends")).alias("r")).select(
         "doc_id", "own", (F.col("start") + F.col("r.begins")).alias("begin"), (F.col("start") + F.col("r.ends") + (LENGTH - 1)).alias("end"))
