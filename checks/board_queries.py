@@ -139,8 +139,7 @@ def visible_counts(spark, sf_dir):
 
 def tag_presence(spark, sf_dir):
     rows = B.board(spark, sf_dir)
-    return rows.groupBy(F.col("feedId").alias("feed_id")).agg(
-        F.bool_or(F.arrays_overlap("tags", text.literal_array(S.TIER_TAGS))).alias("has_tags"))
+    return facets.has_tags(rows, by=["feedId"]).withColumnRenamed("feedId", "feed_id")
 
 
 def newest_active_cycle(spark, sf_dir):
@@ -192,7 +191,8 @@ def feed_board(spark, sf_dir):
 
 def point_lookup(spark, sf_dir):
     visible = ops.apply_filter(derived(spark, sf_dir), ops.BoardFilter(status=[S.LABEL_OPEN, S.LABEL_ENDED]))
-    rows = visible.withColumn("suffix", F.substring_index("projectId", "|", -1)).where("suffix = 'o7'")
+    first = visible.agg(F.min("projectId").alias("id")).head()["id"]
+    rows = ops.point_lookup(visible, first)
     return rows.select(F.col("projectId").alias("project_id"), "urgency")
 
 

@@ -152,7 +152,7 @@ select project_id, strftime(w, '%Y-%m-%d') as day_key,
     "board_by_mode": BOARD + "select project_id from board where mode = 'unknown'",
     "board_by_province": BOARD + "select project_id from board where r_name = 'AFRICA'",
     "feed_board": BOARD + "select project_id, row_group from board where feed_id = 'camp1998'",
-    "point_lookup": BOARD + "select project_id, urgency from board where k = 7",
+    "point_lookup": BOARD + "select project_id, urgency from board where project_id = (select min(project_id) from board)",
     "publication_order": BOARD + """select feed_id, project_id, row_number() over (partition by feed_id order by
   case status when 'confirmed-open' then 0 when 'confirmed-unknown-deadline' then 1 else 2 end,
   case when status = 'confirmed-open' then ms end nulls last, project_id) as pos from board""",

@@ -33,8 +33,7 @@ def url_normalize(spark, sf_dir):
 
 def url_identity(spark, sf_dir):
     pages = B.table(spark, sf_dir, "pages")
-    site = F.concat(F.lit("https://"), urls.host_of(F.col("url")), F.lit("/"))
-    return pages.select(urls.normalise_url(site).alias("url_norm"), "page_id").groupBy("url_norm").agg(
+    return pages.select(urls.normalise_url(F.col("url")).alias("url_norm"), "page_id").groupBy("url_norm").agg(
         F.count("*").alias("n_rows"), F.count_distinct("page_id").alias("n_ids"), F.min("page_id").alias("first_id"))
 
 
@@ -71,9 +70,8 @@ def private_free_text(spark, sf_dir):
     tail = F.get(F.array(*[F.lit(item) for item in (
         " /etc/hosts", " https://a.example/etc/x.txt", " see a/b and/or c", " /srv", " C:\\Users\\me", " /work/notes.md", " profile_space",
         " https://me@a.example/home/x/y", " //cdn/x/y.js", " Targets/x")]), (F.col("conv_id") % 10).cast("int"))
-    # Plain words only: the generated text holds no slash, backslash or marker.
     return B.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", facts.has_private_free_text(F.concat(F.regexp_replace("text", r"[/\\]", " "), tail)).alias("is_private"))
+        "conv_id", "turn", facts.has_private_free_text(F.concat("text", tail)).alias("is_private"))
 
 
 def evidence_phrases(spark, sf_dir):
@@ -117,12 +115,13 @@ def benchmark_leaks(spark, sf_dir):
 
 
 def short_marker_leaks(spark, sf_dir):
-    """Markers without inner words: the domains of all pages inside the documents and the pages."""
+    """Markers without inner words: the domains of all pages inside the addresses of pages and the texts of documents."""
     pages = B.table(spark, sf_dir, "pages")
     markers = pages.select(urls.host_of(F.col("url")).alias("marker")).groupBy("marker").agg(F.count("*").alias("n")).select(
         F.col("marker").alias("marker_id"), "marker")
-    docs = pages.select(F.col("page_id").alias("doc_id"), "url").select("doc_id", F.col("url").alias("text"))
-    return leaks.occurrences(docs, markers).select(F.col("doc_id").alias("page_id"), F.col("marker_id").alias("host"))
+    docs = pages.select(F.concat(F.lit("page "), "page_id").alias("doc_id"), F.col("url").alias("text")).unionAll(
+        _documents(spark, sf_dir).select(F.concat(F.lit("document "), "doc_id").alias("doc_id"), "text"))
+    return leaks.occurrences(docs, markers).select(F.col("doc_id").alias("place"), F.col("marker_id").alias("host"))
 
 
 def corpus_isolation(spark, sf_dir):
@@ -159,7 +158,7 @@ def json_budgets(spark, sf_dir):
 
 
 def exact_keys(spark, sf_dir):
-    rows = _event_documents(spark, sf_dir).where(F.col("doc_id") % 5 != 3).select(F.col("doc_id").alias("snapshotKey"), F.lit("event").alias("path"), "json")
+    rows = _event_documents(spark, sf_dir).select(F.col("doc_id").alias("snapshotKey"), F.lit("event").alias("path"), "json")
     return documents.key_violations(rows, ("k",), ("k", "v")).select(F.col("snapshotKey").alias("doc_id"), "path", "message")
 
 

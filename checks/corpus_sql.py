@@ -43,7 +43,7 @@ SQL = {
    regexp_extract(url, '\\?([^#]*)', 1) as q from pages)
 select page_id, case when page_id % 11 = 0 or page_id % 13 = 0 then null else scheme || '://' || lower(host) || case when page_id % 3 = 2 then ':8080' else '' end
   || path || case when q = '' then '' else '?' || array_to_string(list_sort(string_split(q, '&')), '&') end end as url_norm from p""",
-    "url_identity": """with p as (select page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/]*)', 1)) || '/' as u from pages)
+    "url_identity": """with p as (select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') as u from pages)
 select u as url_norm, count(*) as n_rows, count(distinct page_id) as n_ids, min(page_id) as first_id from p group by 1""",
     "denied_hosts": """with p as (select page_id, lower(regexp_extract(url, '^https?://([^/]*)', 1)) as h from pages),
  d(denied) as (values ('example.org'), ('cheap-pills.example.com'), ('ample.net'))
@@ -66,7 +66,8 @@ select page_id, denied from p join d on h = denied or ends_with(h, '.' || denied
     + " then 'user-local path' when " + _hit("text", MARKERS) + " then 'private publication marker' end as kind from documents) where kind is not null",
     "benchmark_leaks": "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)",
     "short_marker_leaks": """with h as (select distinct lower(regexp_extract(url, '^https?://([^/]*)', 1)) as host from pages)
-select page_id, host from pages join h on contains(url, host)""",
+select 'page ' || page_id as place, host from pages join h on contains(url, host)
+union all select 'document ' || doc_id, host from documents join h on contains(text, host)""",
     "corpus_isolation": """with hit as (select distinct lang, item_id from documents d join benchmark b on contains(d.text, b.text)),
  m as (select item_id, case when item_id % 2 = 0 then 'en' else 'de' end as home from benchmark)
 select lang as corpus, item_id, 'leaked' as problem from hit join m using (item_id) where lang <> home
@@ -78,7 +79,7 @@ union all select event_id, '$.k', json_extract_string(props, '$.k'), 1, 2 from e
 union all select id, '$["a b"].to', 'contains a email address' from ev where m = 4""",
     "json_budgets": _EVENT_DOCS + """select id as doc_id, 'privacy scan exceeded node budget' as message from ev where m = 4
 union all select id, 'privacy scan exceeded depth budget' from ev where m = 4""",
-    "exact_keys": _EVENT_DOCS + """select id as doc_id, 'event.v' as path, 'missing property' as message from ev where m <> 3
+    "exact_keys": _EVENT_DOCS + """select id as doc_id, 'event.v' as path, 'missing property' as message from ev
 union all select id, 'event.a b', 'unknown property' from ev where m = 4""",
     "field_types": """select o_orderkey as id, 'row.name' as path, 'expected a string' as message from orders where o_orderkey % 4 in (0, 1)
 union all select o_orderkey, 'row.deadlineEpochMs', 'expected a finite number or null' from orders where o_orderkey % 3 = 1

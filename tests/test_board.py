@@ -60,7 +60,7 @@ def test_filters(spark):
         unknown(projectId="b", tags=["985", "C9"], name="清华大学", province=None),
         expired(projectId="c", tags=["已开营"], name="某大学", province=None, project="Deep LEARNING", eventType="Camp"),
     ]
-    provinces = spark.createDataFrame([("清华大学", "北京"), ("测试大学", "错")], "name string, province string")
+    provinces = spark.createDataFrame([("清华大学", "北京"), ("青石大学", "错")], "name string, province string")
     derived = board.derive(opportunities(spark, rows), NOW)
     chosen = lambda **kw: sorted(ids(board.apply_filter(derived, board.BoardFilter(**kw), provinces)))
     assert chosen() == ["a", "b", "c"]
@@ -78,7 +78,7 @@ def test_saved_filters_equal_single_filters(spark):
     rows = [opportunity(projectId=f"p{i}", tags=[S.TIER_TAGS[i % 10], S.TIER_TAGS[(i * 3 + 1) % 10]] if i % 4 else [], deadlineEpochMs=at(1 + i % 28),
                         eventArrangement=(S.EVENT_MODES[i % 4], ("confirmed", "x"), ("confirmed", "x")), province=S.PROVINCES[i % 5] if i % 3 else None,
                         project=f"project {i % 6}", verificationStatus=S.VERIFICATION_STATUSES[i % 3]) for i in range(60)]
-    provinces = spark.createDataFrame([("测试大学", "新疆")], "name string, province string")
+    provinces = spark.createDataFrame([("青石大学", "新疆")], "name string, province string")
     located = board.resolve_province(board.derive(opportunities(spark, rows), NOW), provinces)
     links = [
         (1, "camp2027", "list", "", None, None, None, None), (2, "camp2027", "x", "project 3", "985,C9,211", None, None, None),
@@ -100,10 +100,10 @@ def test_saved_filters_equal_single_filters(spark):
 def test_facets_show_zeros(spark):
     rows = [opportunity(projectId=str(i), tags=["985", "C9"] if i else []) for i in range(3)]
     derived = board.derive(opportunities(spark, rows), NOW)
-    located = board.resolve_province(derived, spark.createDataFrame([("测试大学", "浙江")], "name string, province string"))
+    located = board.resolve_province(derived, spark.createDataFrame([("青石大学", "浙江")], "name string, province string"))
     assert {r["tag"]: r["n"] for r in facets.tag_facet(derived).collect()} == {t: 2 if t in ("985", "C9") else 0 for t in S.TIER_TAGS}
     provinces = {r["province"]: r["n"] for r in facets.province_facet(located).collect()}
-    assert len(provinces) == 31 and provinces["北京"] == 3 and sum(provinces.values()) == 3
+    assert len(provinces) == 31 and provinces["山东"] == 3 and sum(provinces.values()) == 3
     panel = {(r["facet"], r["value"]): r["n"] for r in facets.all_facets(located).collect()}
     assert len(panel) == 2 + 4 + 31 + 10 and panel[("mode", "offline")] == 3 and panel[("tag", "C9")] == 2
     assert [tuple(r) for r in facets.group_sizes(derived).orderBy("row_group").collect()] == [
@@ -129,9 +129,9 @@ def test_calendar(spark):
 
 
 def test_labels_and_detail(spark):
-    rows = [opportunity(projectId="a", description=" 2026年优秀大学生夏令营 "), opportunity(projectId="b", description=" own text ", discoverySources=[("other-discovery", "x", "u")])]
+    rows = [opportunity(projectId="a", description=" 海岸带观测研习周 "), opportunity(projectId="b", description=" own text ", discoverySources=[("other-discovery", "x", "u")])]
     shown = {row["projectId"]: row for row in board.detail(opportunities(spark, rows)).collect()}
-    assert shown["a"]["description"] == S.NO_DESCRIPTION and shown["a"]["officialUrl"] == "https://cs.example.edu.cn/notice/1"
+    assert shown["a"]["description"] == S.NO_DESCRIPTION and shown["a"]["officialUrl"] == "https://ocean.qingshi.example/notice/8"
     assert shown["b"]["description"] == "own text" and shown["b"]["officialUrl"] is None and shown["b"]["sourceLabel"] == S.HISTORICAL_SOURCE_LABEL
 
 

@@ -14,9 +14,9 @@ def at(day, hour, minute):
 
 def test_official_deadline_keeps_stated_precision(spark):
     cases = [
-        ("2026年7月1日10:00-2026年7月28日15:00；邮件须同步发送", at(28, 15, 0), "2026年7月28日 15:00"),
-        ("2026年7月10日—7月18日；官方未公布具体时刻", at(18, 23, 59), "2026年7月18日（官网未公布具体时刻）"),
-        ("推免平台预报名至2026年7月18日24:00；电子材料至7月20日24:00", at(19, 0, 0), "2026年7月18日 24:00"),
+        ("2026年6月3日8:15-2026年7月28日15:00；纸质件另寄", at(28, 15, 0), "2026年7月28日 15:00"),
+        ("2026年7月2日—7月18日；官方未公布具体时刻", at(18, 23, 59), "2026年7月18日（官网未公布具体时刻）"),
+        ("登记至2026年7月18日24:00；照片至7月20日24:00", at(19, 0, 0), "2026年7月18日 24:00"),
         ("", None, "未公布"),
     ]
     frame = spark.createDataFrame(cases, "t string, ms bigint, want string")
@@ -26,14 +26,14 @@ def test_official_deadline_keeps_stated_precision(spark):
 
 def test_stated_clock_time(spark):
     cases = [
-        ("2026年7月28日15:00关闭", at(28, 15, 0), True), ("2026年7月28日15：00关闭", at(28, 15, 0), True),
-        ("2026年7月28日18点30分截止", at(28, 18, 30), True), ("2026年7月28日18时30分截止", at(28, 18, 30), True),
+        ("2026年7月28日15:00止", at(28, 15, 0), True), ("2026年7月28日15：00止", at(28, 15, 0), True),
+        ("2026年7月28日18点30分收件", at(28, 18, 30), True), ("2026年7月28日18时30分收件", at(28, 18, 30), True),
         ("2026年7月28日下午5点截止", at(28, 17, 0), True), ("2026年7月28日20时截止", at(28, 20, 0), True),
         ("2026年7月28日中午12点截止", at(28, 12, 0), True), ("2026年7月28日24:00截止", at(29, 0, 0), True),
-        ("10:00 开放，7月28日15:00关闭", at(28, 15, 0), True), ("10:00 开放，7月28日截止", at(28, 23, 59), False),
+        ("10:00 开放，7月28日15:00止", at(28, 15, 0), True), ("10:00 开放，7月28日截止", at(28, 23, 59), False),
         ("2026年7月28日截止", at(28, 23, 59), False), ("2026年7月28日23:59截止；官方未公布具体时刻", at(28, 23, 59), False),
         ("2026年7月28日下午5点截止", at(28, 5, 0), False), ("2026年7月28日晚上8点截止", at(28, 8, 0), False),
-        ("2026年7月28日24:01截止", at(29, 0, 1), False), ("2026年7月28日15:00关闭", None, False),
+        ("2026年7月28日24:01截止", at(29, 0, 1), False), ("2026年7月28日15:00止", None, False),
     ]
     frame = spark.createDataFrame(cases, "t string, ms bigint, want boolean")
     for row in frame.withColumn("got", dates.states_clock_time(F.col("t"), F.col("ms"))).collect():

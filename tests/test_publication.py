@@ -88,6 +88,56 @@ def test_one_mutation_breaks_its_rule(spark):
     assert not any(i in got for i in range(len(names), len(rows)))
 
 
+def test_null_in_a_required_column_is_a_violation(spark):
+    names = quality.REQUIRED
+    rows = [opportunity(projectId=f"2027|a|b|{i}") | {name: None} for i, name in enumerate(names)]
+    got = {}
+    for row in quality.opportunity_violations(opportunities(spark, rows), header(spark), feeds(spark)).where("rule = 'required'").collect():
+        got.setdefault(row["path"].split("]")[0].split("[")[1], []).append(row["path"].split("].")[1])
+    assert got == {str(i): [name] for i, name in enumerate(names)}
+    bad = header(spark).select("snapshotKey", "schemaVersion", *[F.lit(None).cast("string").alias(c) for c in ("scanAt", "defaultFeedId", "snapshotId", "approvedAt", "previousSnapshotId", "dataHash")], "counts")
+    assert {path for path, rule in found(quality.header_violations(bad, feeds(spark), True)) if rule == "required"} == {
+        f"snapshot.{c}" for c in ("scanAt", "defaultFeedId", "snapshotId", "approvedAt", "dataHash")}
+    facts = [opportunity(materials=(None, "x")), opportunity(eventArrangement=(None, FACT, FACT)), opportunity(eventArrangement=None)]
+    broken = found(quality.opportunity_violations(opportunities(spark, facts), header(spark), feeds(spark)))
+    assert [(p.split("].")[1], r) for p, r in broken] == [("materials.status", "fact-status"), ("eventArrangement.mode", "arrangement-mode")]
+
+
+def test_values_are_not_cast_with_a_loss(spark):
+    docs = spark.createDataFrame([("a", '{"schemaVersion": 2.9, "scanAt": 5, "counts": {"confirmedOpen": "1", "expired": 1.9, "pendingExcluded": 2.0}, "feeds": [], "opportunities": []}')],
+                                 "snapshotKey string, t string").select("snapshotKey", F.parse_json("t").alias("doc"))
+    row = as_tables(docs).headers.first()
+    assert (row["schemaVersion"], row["scanAt"]) == (None, None)
+    assert (row["counts"]["confirmedOpen"], row["counts"]["expired"], row["counts"]["pendingExcluded"]) == (None, None, 2)
+
+
+def test_a_failed_publication_can_be_repeated(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "again"))
+    tables = SnapshotTables(header(spark), feeds(spark), opportunities(spark, [opportunity()]))
+    with pytest.raises(MovedHead):
+        store.publish(tables, "someone else's head")
+    assert store.head() is None
+    published = store.publish(tables, None)
+    assert store.read(published).opportunities.count() == 1
+    with pytest.raises(LookupError):
+        store.read("unknown")
+
+
+def test_refused_files_are_not_lost(spark, tmp_path):
+    (tmp_path / "ok.json").write_text('{"schemaVersion": 2}', encoding="utf-8")
+    (tmp_path / "bad.json").write_text('{"schemaVersion": 2} trailing', encoding="utf-8")
+    with pytest.raises(ValueError, match="bad.json"):
+        read_snapshots(spark, str(tmp_path))
+
+
+def test_leaves_take_any_key_and_tags_their_elements(spark):
+    leaves = documents.json_leaves(spark.createDataFrame([("file:/a.json", '{"k": 1}')], "doc_id string, json string"))
+    assert rows_of(leaves, "doc_id", "path") == [("file:/a.json", "$"), ("file:/a.json", "$.k")]
+    rows = spark.createDataFrame([(1, '{"tags": [1, {"x": 2}]}'), (2, '{"tags": ["a"]}'), (3, '{"tags": []}'), (4, '{"tags": 1}')], "snapshotKey int, t string")
+    got = rows_of(documents.type_violations(rows.select("snapshotKey", F.lit("r").alias("path"), F.parse_json("t").alias("doc")), {"tags": "strings"}), "snapshotKey", "message")
+    assert got == [(1, "expected an array of strings"), (4, "expected an array")]
+
+
 def test_table_rules(spark):
     rows = [
         opportunity(projectId="2027|a|b|1", deadlineEpochMs=300), opportunity(projectId="2027|a|b|2", deadlineEpochMs=200),
@@ -160,7 +210,7 @@ def test_shapes_of_raw_documents(spark, tmp_path):
     tables = as_tables(docs)
     assert rows_of(tables.opportunities.where("snapshotKey = 'old'"), "projectId", "eventArrangement") == [(good["opportunities"][0]["projectId"], None)]
     (tmp_path / "a.json").write_text(json.dumps(good, indent=1, ensure_ascii=False), encoding="utf-8")
-    assert read_snapshots(spark, str(tmp_path)).opportunities.first()["deadlineEpochMs"] == 1784563140000
+    assert read_snapshots(spark, str(tmp_path)).opportunities.first()["deadlineEpochMs"] == 1784714700000
 
 
 def test_strict_json(spark):
@@ -188,7 +238,7 @@ def test_diff_classes(spark, tmp_path):
     one = opportunity
     before = [one(projectId=k) for k in ("same", "blank", "verified", "gone", "run", "changed", "reopened")]
     before[6].update(VALID["expired"])
-    after = [one(projectId="same"), one(projectId="blank", description=" 用于契约测试的记录　"), one(projectId="verified", verifiedAt="x"),
+    after = [one(projectId="same"), one(projectId="blank", description=" 一周的海上与实验室工作　"), one(projectId="verified", verifiedAt="x"),
              one(projectId="run") | VALID["expired"] | {"project": "also changed"}, one(projectId="changed", website="https://b.example/"),
              one(projectId="reopened"), one(projectId="new")]
     changes = diff.diff(opportunities(spark, before), opportunities(spark, after), "pos")

@@ -28,7 +28,7 @@ def test_catalog(spark, tmp_path):
     archive = {
         "camp2020": [{"name": "甲大学", "institute": "a", "description": "d", "deadline": "2020-07-01T00:00:00+08:00", "website": "https://x.example", "tags": ["已结营", "C9", "985"]},
                      {"name": "乙研究所", "institute": "b", "description": "d", "website": "", "tags": []}],
-        "camp2027": [{"name": "测试大学", "institute": "a", "description": "d", "deadline": "later", "website": "w", "tags": ["C9"], "province": "北京"}],
+        "camp2027": [{"name": "青石大学", "institute": "a", "description": "d", "deadline": "later", "website": "w", "tags": ["C9"], "province": "北京"}],
         "summer": [{"name": "丙", "institute": "c", "description": "d", "deadline": " ", "website": "w", "tags": ["x"]}]}
     legacy = dimensions.read_legacy(spark, write(tmp_path / "a.json", archive))
     feeds = spark.createDataFrame([("camp2027", "L", "2027", 2026)], "id string, label string, admissionCycle string, eventYear bigint")
@@ -38,7 +38,7 @@ def test_catalog(spark, tmp_path):
         ("camp2020", "夏令营 2020（历史归档）", 2020), ("camp2027", "L", 2026), ("summer", "summer（历史归档）", 0)]
     assert rows_of(counts) == [("camp2020", 2), ("camp2027", 1), ("summer", 1)]
     got = {row["projectId"]: row for row in rows.collect()}
-    assert got["2027|测试大学|计算机学院|夏令营"]["tags"] == ["C9"]
+    assert got["2027|青石大学|海洋学院|夏令营"]["tags"] == ["C9"]
     first, second = got["legacy|camp2020|甲大学|a|0"], got["legacy|camp2020|乙研究所|b|1"]
     assert (first["deadlineEpochMs"], first["tags"], len(first["discoverySources"])) == (1593532800000, ["C9"], 1)
     assert (second["deadlineOriginal"], second["tags"], second["discoverySources"]) == ("历史数据未提供", ["研究院"], [])
@@ -46,7 +46,7 @@ def test_catalog(spark, tmp_path):
 
 def test_board_page(spark):
     rows = opportunities(spark, [opportunity(projectId=str(i), deadlineEpochMs=1000 * i, province=None) for i in range(5)])
-    provinces = spark.createDataFrame([("测试大学", "北京")], "name string, province string")
+    provinces = spark.createDataFrame([("青石大学", "北京")], "name string, province string")
     page = pages.board_page(rows, provinces, BoardFilter(provinces=["北京"], status=["开放"]), 2000)
     assert [row["projectId"] for row in page.rows.collect()] == ["3", "4"]
     assert tuple(page.counts.first()) == (5, 2)

@@ -31,8 +31,8 @@ def test_paths_and_lists(spark):
 
 def test_url_normalisation(spark):
     cases = {
-        "HTTPS://CS.EXAMPLE.EDU.CN/admissions/summer-camp/": "https://cs.example.edu.cn/admissions/summer-camp",
-        "https://cs.example.edu.cn./a#frag": "https://cs.example.edu.cn/a",
+        "HTTPS://Ocean.QINGSHI.example/Recruit/week/": "https://ocean.qingshi.example/Recruit/week",
+        "https://ocean.qingshi.example./a#frag": "https://ocean.qingshi.example/a",
         "http://a.example:80": "http://a.example/", "https://a.example:443/": "https://a.example/",
         "http://a.example:443/x": "http://a.example:443/x", "https://a.example/?b=2&a=1&b=1": "https://a.example/?a=1&b=2&b=1",
         "https://a.example?": "https://a.example/", "https://a.example/?q": "https://a.example/?q=",
@@ -52,7 +52,7 @@ def test_denied_hosts(spark):
 
 
 def test_private_free_text(spark):
-    private = ["/Users/max/private/evidence.md", "see /home/max/x", "(/etc/hosts)", "C:\\Users\\x", "\\\\server\\share", "targets/submitted",
+    private = ["/Users/noor/kept/back.md", "look in /home/noor/q", "(/etc/hosts)", "C:\\Users\\x", "\\\\server\\share", "targets/submitted",
                "file:///x", "profile_space", "submittedIds", "PRIVATE_X", "/work/notes.md", "https://u@a.example/home/x/y", "//cdn/x/y.js"]
     public = ["https://a.example/home/x/notes.md", "a/b", "/srv", "and/or", "线下，北京", "2026/07/20", "/学院/通知"]
     assert values(spark, private, facts.has_private_free_text) == [True] * len(private)
@@ -60,8 +60,8 @@ def test_private_free_text(spark):
 
 
 def test_evidence_phrases(spark):
-    unverified = ["未确认官方模板", "待系统核实", "未明确要求推荐信", "以官方报名系统为准", "最终材料以学校官方报名系统要求为准", "是否使用模板请以系统为准"]
-    unpublished = ["未要求或未在通知中列出", "未在通知中要求推荐信", "未提及", "后续通知"]
+    unverified = ["未确认宿舍", "名额待核实", "未明确要求成绩单", "名额以官方报名系统为准", "清单以学院报名系统要求为准", "格式请以系统为准"]
+    unpublished = ["未要求或未在附件中列出", "未在官网要求成绩单", "未提及餐食", "后续通知为准"]
     assert values(spark, unverified, facts.is_unverified) == [True] * len(unverified)
     assert values(spark, unpublished, facts.is_not_published) == [True] * len(unpublished)
     assert values(spark, ["未要求推荐信", "官网下载"], facts.is_unverified) == [False, False]
@@ -71,11 +71,11 @@ def test_evidence_phrases(spark):
 def test_private_kinds_under_all_spellings(spark):
     mail, phone, uri, path, marker = [label for label, _ in privacy.DETECTORS]
     cases = {
-        "联系 student@example.com": mail, "联系 student＠example.com": mail, "a%2540example.com": mail, "a%40example.com": mail,
-        "咨询 138-0013-8000": phone, "咨询 １３８００１３８０００": phone, "咨询 +8613800138000": phone, "咨询 +86 138 0013 8000": phone,
-        "咨询 %2B8613800138000": phone, "/Users/alice/private.json": path, "/home/alice/private.json": path,
-        "C:\\Users\\Alice\\private.json": path, "file:///Users/alice/private.json": uri, "x welfareScore y": marker, "targets/submitted/x": marker,
-        "99138001380001234": None, "mywelfareScores": None, "100% 免费 %zz": None, "plain": None,
+        "写信到 rowan.elm@post.example": mail, "写信到 rowan.elm＠post.example": mail, "a%2540example.com": mail, "a%40example.com": mail,
+        "致电 159-2604-7713": phone, "致电 １５９２６０４７７１３": phone, "致电 +8615926047713": phone, "致电 +86 159 2604 7713": phone,
+        "致电 %2B8615926047713": phone, "/Users/noor/sheet.json": path, "/home/noor/sheet.json": path,
+        "D:\\Users\\Noor\\sheet.json": path, "file:///Users/noor/sheet.json": uri, "x welfareScore y": marker, "targets/submitted/x": marker,
+        "99159260477131234": None, "mywelfareScores": None, "100% 免费 %zz": None, "plain": None,
     }
     frame = spark.createDataFrame([(case,) for case in cases], "t string")
     assert {row["t"]: row["kind"] for row in privacy.with_private_kind(frame, "t").collect()} == cases

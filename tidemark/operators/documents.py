@@ -19,7 +19,7 @@ from tidemark.functions.facts import variant_type
 
 BATCH_NODES = 50_000
 LEAF_COLUMNS = ["doc_id", "path", "key", "value", "depth", "nodes"]
-_LEAVES = "doc_id bigint, path string, key string, value string, depth int, nodes bigint"
+_LEAVES = "path string, key string, value string, depth int, nodes bigint"
 
 
 def key_violations(objects: DataFrame, allowed: Sequence[str], required: Sequence[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def key_violations(objects: DataFrame, allowed: Sequence[str], required: Sequenc
 
 def type_violations(objects: DataFrame, expected: dict[str, str]) -> DataFrame:
     """(snapshotKey, path, doc VARIANT): each present key must have its type: string, string?, number, number?,
-    array."""
+    array, strings (an array of them)."""
     patterns = {
         "string": ("^STRING$", "expected a string"),
         "string?": ("^(STRING|VOID)$", "expected a string or null"),
@@ -47,10 +47,12 @@ def type_violations(objects: DataFrame, expected: dict[str, str]) -> DataFrame:
         "number?": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)", "expected a finite number or null"),
         "array": ("^ARRAY", "expected an array"),
     }
+    tests = [(key, *patterns["array" if kind == "strings" else kind]) for key, kind in expected.items()]
+    # only an array can have elements of a wrong type
+    tests += [(key, "^(ARRAY<(STRING|VOID)>|[^A].*)$", "expected an array of strings") for key, kind in expected.items() if kind == "strings"]
     found = F.array_compact(F.array(*[
-        F.when(~variant_type(F.col("doc"), key).rlike(patterns[kind][0]),
-               F.struct(F.lit(key).alias("key"), F.lit(patterns[kind][1]).alias("message")))
-        for key, kind in expected.items()
+        F.when(~variant_type(F.col("doc"), key).rlike(pattern), F.struct(F.lit(key).alias("key"), F.lit(message).alias("message")))
+        for key, pattern, message in tests
     ]))
     return objects.select("snapshotKey", "path", F.explode(found).alias("v")).select(
         "snapshotKey", F.concat("path", F.lit("."), "v.key").alias("path"), F.lit("field-type").alias("rule"),
@@ -60,7 +62,7 @@ def type_violations(objects: DataFrame, expected: dict[str, str]) -> DataFrame:
 OPPORTUNITY_TYPES = {
     **{name: "string" for name in ("projectId", "feedId", "name", "institute", "project", "eventType", "description",
                                    "verificationStatus", "deadlineOriginal", "website", "verifiedAt", "province")},
-    "deadline": "string?", "deadlineEpochMs": "number?", "tags": "array", "discoverySources": "array",
+    "deadline": "string?", "deadlineEpochMs": "number?", "tags": "strings", "discoverySources": "array",
 }
 FEED_TYPES = {"id": "string", "label": "string", "admissionCycle": "string", "eventYear": "number"}
 HEADER_TYPES = {"scanAt": "string", "defaultFeedId": "string", "feeds": "array", "opportunities": "array"}
@@ -188,8 +190,8 @@ def json_leaves(docs: DataFrame) -> DataFrame:
                     rows = []
             yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
 
-    strict = docs.where(is_strict_json(F.col("json"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "json")
-    return strict.mapInPandas(walk, _LEAVES)
+    strict = docs.where(is_strict_json(F.col("json"))).select("doc_id", "json")
+    return strict.mapInPandas(walk, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_LEAVES}")
 
 
 def loose_json(docs: DataFrame) -> DataFrame:

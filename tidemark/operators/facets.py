@@ -107,8 +107,9 @@ def visible_counts(rows: DataFrame, passes: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(passes).alias("visible"))
 
 
-def has_tags(rows: DataFrame, tags: Sequence[str] = S.TIER_TAGS) -> DataFrame:
-    return rows.agg(
+def has_tags(rows: DataFrame, tags: Sequence[str] = S.TIER_TAGS, by: Sequence[str] = ()) -> DataFrame:
+    """Whether any row, or any row of each group of ``by``, has one of the tags."""
+    return rows.groupBy(*by).agg(
         F.coalesce(F.bool_or(F.arrays_overlap("tags", text.literal_array(tags))), F.lit(False)).alias("has_tags")
     )
 

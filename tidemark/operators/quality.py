@@ -47,6 +47,17 @@ def _feed_path(suffix: str = "") -> Column:
     return text.index_path("snapshot.feeds", F.col("pos"), suffix)
 
 
+#: Row columns which are never null: all but the deadline, the optional province and what version 1 has not.
+REQUIRED = tuple(name for name in S.OPPORTUNITY_COLUMNS if name not in ("deadline", "deadlineEpochMs", "province", "eventArrangement"))
+FEED_REQUIRED = ("label", "admissionCycle", "eventYear")
+HEADER_REQUIRED, APPROVAL_REQUIRED = ("scanAt", "defaultFeedId"), ("approvedAt", "snapshotId", "dataHash")
+
+
+def required_rules(names: Sequence[str], path) -> list[Rule]:
+    """A null in a column which has to have a value."""
+    return [rule("required", F.col(name).isNull(), path(name), "missing value") for name in names]
+
+
 def row_rules(as_of: Column) -> list[Rule]:
     """Rules of one opportunity row which need no other table."""
     status, ms, deadline = F.col("verificationStatus"), F.col("deadlineEpochMs"), F.col("deadline")
@@ -75,7 +86,7 @@ def row_rules(as_of: Column) -> list[Rule]:
              F.exists("discoverySources", lambda source: (source["kind"] == "official")
                       & urls.is_denied_host(source["url"], S.DENIED_OFFICIAL_HOSTS)),
              _row_path(".discoverySources"), "denied discovery host cannot be an official source"),
-        rule("arrangement-mode", ~F.col("eventArrangement.mode").isin(*S.EVENT_MODES), _row_path(".eventArrangement.mode"),
+        rule("arrangement-mode", F.col("eventArrangement").isNotNull() & ~F.coalesce(F.col("eventArrangement.mode").isin(*S.EVENT_MODES), F.lit(False)), _row_path(".eventArrangement.mode"),
              "expected an allowed value"),
         rule("open-deadline", (status == S.OPEN) & ~both, _row_path(),
              "confirmed-open requires a finite future deadline and deadlineEpochMs"),
@@ -95,11 +106,11 @@ def row_rules(as_of: Column) -> list[Rule]:
     ]
     facts = ("logistics", "recommendation", "materials", "eventArrangement.time", "eventArrangement.formatLocation")
     rules += [
-        rule("fact-status", ~F.col(f"{name}.status").isin(*S.FACT_STATUSES), _row_path(f".{name}.status"),
-             "expected an allowed value")
+        rule("fact-status", F.col(name.split(".")[0]).isNotNull() & ~F.coalesce(F.col(f"{name}.status").isin(*S.FACT_STATUSES), F.lit(False)),
+             _row_path(f".{name}.status"), "expected an allowed value")
         for name in facts
     ]
-    return rules
+    return rules + required_rules(REQUIRED, lambda name: _row_path(f".{name}"))
 
 
 def header_columns(headers: DataFrame) -> DataFrame:
@@ -136,6 +147,7 @@ def feed_violations(feeds: DataFrame) -> DataFrame:
     rules = [
         rule("feed-id", F.coalesce(F.col("id"), F.lit("")) == "", _feed_path(".id"), "expected a non-empty string"),
         rule("feed-cycle", ~F.col("admissionCycle").rlike(text.CYCLE_PATTERN), _feed_path(".admissionCycle"), "expected exactly four digits"),
+        *required_rules(FEED_REQUIRED, lambda name: _feed_path(f".{name}")),
     ]
     again = repeated(feeds, ["snapshotKey", "id"], "pos").select(
         "snapshotKey", _feed_path(".id").alias("path"), F.lit("feed-unique").alias("rule"),
@@ -198,6 +210,7 @@ def header_violations(headers: DataFrame, feeds: DataFrame, approved: bool) -> D
         rule("scan-iso", F.col("scanAt").isNotNull() & scan.isNull(), F.lit("snapshot.scanAt"), "expected a valid ISO timestamp"),
         rule("default-feed", F.col("defaultFeedId").isNotNull() & F.col("_known").isNull(),
              F.lit("snapshot.defaultFeedId"), "expected a known feed ID"),
+        *required_rules(HEADER_REQUIRED + (APPROVAL_REQUIRED if approved else ()), lambda name: F.lit(f"snapshot.{name}")),
     ]
     if approved:
         approval = dates.iso_to_ms(F.col("approvedAt"))

@@ -65,7 +65,6 @@ MAX_SNAPSHOT_BYTES = 16 * 1024 * 1024
 MAX_SCAN_NODES = 50_000
 MAX_SCAN_DEPTH = 256
 MAX_JSON_DEPTH = 512
-MAX_ALIASES = 10_000
 
 MS_PER_SECOND = 1_000
 MS_PER_MINUTE = 60_000

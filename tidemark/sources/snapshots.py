@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
+from tidemark.operators.documents import is_strict_json
 
 
 @dataclass(frozen=True)
@@ -23,30 +24,47 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(snapshotKey, doc VARIANT) of all files within the size bound, and the refused files with the reason."""
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("snapshotKey"), F.col("_metadata.file_size").alias("size"),
-        F.try_parse_json("value").alias("doc"))
+        F.when(is_strict_json(F.col("value")), F.try_parse_json("value")).alias("doc"))
     too_big = F.col("size") > S.MAX_SNAPSHOT_BYTES
     refused = files.where(too_big | F.col("doc").isNull()).select(
         "snapshotKey", F.when(too_big, "exceeds the size limit").otherwise("not strict JSON").alias("message"))
     return files.where(~too_big & F.col("doc").isNotNull()).select("snapshotKey", "doc"), refused
 
 
+def typed(doc: str, name: str, kind: str) -> Column:
+    """A value of a document.  Whole numbers and texts are taken only from such, so a cast never loses anything: all else is null."""
+    value = F.try_variant_get(doc, f"$.{name}", kind)
+    if kind == "bigint":
+        exact = F.try_variant_get(doc, f"$.{name}", "double")
+        is_number = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.when(is_number & (exact == F.floor(exact)), value)
+    if kind == "string":
+        return F.when(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")) == "STRING", value)
+    return value
+
+
 def as_tables(documents: DataFrame) -> SnapshotTables:
     """Typed tables of parsed documents of either schema version."""
-    field = lambda name, kind: F.try_variant_get("doc", f"$.{name}", kind).alias(name)
+    field = lambda name, kind: typed("doc", name, kind).alias(name)
     headers = documents.select(
         "snapshotKey", field("schemaVersion", "bigint"), field("scanAt", "string"), field("defaultFeedId", "string"),
-        F.struct(*[F.try_variant_get("doc", f"$.counts.{name}", "bigint").alias(name) for name in S.COUNT_KEYS]).alias("counts"),
+        F.struct(*[typed("doc", f"counts.{name}", "bigint").alias(name) for name in S.COUNT_KEYS]).alias("counts"),
         *[field(name, "string") for name in S.APPROVAL_KEYS])
 
     def elements(name: str, schema) -> DataFrame:
         items = documents.select(
-            "snapshotKey", F.try_variant_get("doc", "$.schemaVersion", "bigint").alias("schemaVersion"),
+            "snapshotKey", typed("doc", "schemaVersion", "bigint").alias("schemaVersion"),
             F.posexplode(F.try_variant_get("doc", f"$.{name}", "array<variant>")).alias("pos", "item"))
-        typed = [F.try_variant_get("item", f"$.{part.name}", part.dataType.simpleString()).alias(part.name) for part in schema.fields]
-        return items.select("snapshotKey", "schemaVersion", F.col("pos").cast("bigint").alias("pos"), *typed)
+        parts = [typed("item", part.name, part.dataType.simpleString()).alias(part.name) for part in schema.fields]
+        return items.select("snapshotKey", "schemaVersion", F.col("pos").cast("bigint").alias("pos"), *parts)
 
     return SnapshotTables(headers, elements("feeds", S.FEED).drop("schemaVersion"), elements("opportunities", S.OPPORTUNITY))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> SnapshotTables:
-    return as_tables(read_documents(spark, path)[0])
+    """The tables of all files; a file that ``read_documents`` refuses is an error, not a gap."""
+    documents, refused = read_documents(spark, path)
+    first = refused.limit(20).collect()
+    if first:
+        raise ValueError("refused files, see read_documents for all:\n" + "\n".join(f"{r['snapshotKey']}: {r['message']}" for r in first))
+    return as_tables(documents)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from tidemark.functions.text import diagnostic_text
 from tidemark.sources.snapshots import SnapshotTables
 
 PARTS = ("headers", "feeds", "opportunities")
-MANIFEST = "seq bigint, snapshotId string, previousSnapshotId string, dataHash string, approvedAt string"
+MANIFEST = "seq bigint, snapshotId string, previousSnapshotId string, dataHash string, approvedAt string, folder string"
 SNAPSHOT_FILES = "snapshot"
 
 
@@ -28,16 +31,17 @@ def read_tables(spark: SparkSession, folder: str) -> SnapshotTables:
 
 
 class SnapshotStore:
-    """Folder layout: ``snapshots/<key>/{headers,feeds,opportunities}`` and an append-only ``manifest``.
+    """Folder layout: ``snapshot/<key>-<attempt>/{headers,feeds,opportunities}`` and an append-only ``manifest`` which names the folder.
 
-    Readers follow the manifest only, so a half-written snapshot folder is never seen.
+    Readers follow the manifest only, so the folder of a publication that failed is never seen, and the same snapshot can be
+    published again, into a fresh folder.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _folder(self, snapshot_id: str) -> str:
-        return f"{self.root}/{SNAPSHOT_FILES}/{snapshot_id.replace(':', '_')}"
+        return f"{self.root}/{SNAPSHOT_FILES}/{snapshot_id.replace(':', '_')}-{uuid.uuid4().hex[:12]}"
 
     def manifest(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).option("ignoreMissingFiles", True).parquet(f"{self.root}/manifest*")
@@ -46,22 +50,26 @@ class SnapshotStore:
         """The newest manifest row, or None."""
         try:
             return self.manifest().orderBy(F.col("seq").desc()).first()
-        except Exception as error:  # an empty store has no manifest folder yet
-            if "PATH_NOT_FOUND" in str(error):
+        except AnalysisException as error:  # an empty store has no manifest folder yet
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
     def read(self, snapshot_id: str) -> SnapshotTables:
-        return read_tables(self.spark, self._folder(snapshot_id))
+        found = self.manifest().where(F.col("snapshotId") == snapshot_id).orderBy(F.col("seq").desc()).first()
+        if found is None:
+            raise LookupError(f"no published snapshot {snapshot_id}")
+        return read_tables(self.spark, found["folder"])
 
     def publish(self, sealed: SnapshotTables, expected_head: str | None) -> str:
         """Write the tables, then append the manifest row unless the head moved meanwhile."""
         header = sealed.headers.select("snapshotId", "previousSnapshotId", "dataHash", "approvedAt").first()
-        write_tables(sealed, self._folder(header["snapshotId"]))
+        folder = self._folder(header["snapshotId"])
+        write_tables(sealed, folder)
         head = self.head()
         if (head["snapshotId"] if head else None) != expected_head:
             raise MovedHead("the approved snapshot changed during approval")
-        row = ((head["seq"] + 1) if head else 1, header["snapshotId"], header["previousSnapshotId"], header["dataHash"], header["approvedAt"])
+        row = ((head["seq"] + 1) if head else 1, header["snapshotId"], header["previousSnapshotId"], header["dataHash"], header["approvedAt"], folder)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         return header["snapshotId"]
 
