@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 
+#: So many partitions of links are first reduced to one forest.
+JOINED = 8
+
+
 def _forest(batches):
     """A spanning forest of the links of one task, each node linked to the smallest of its tree there."""
     root: dict[int, int] = {}
@@ -36,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round links every node to the smallest neighbour its neighbours know of, which halves the distances at least; the rounds end
     when nothing changes.  Only rows (node, smallest) are grouped, with partial minima before each shuffle.
     """
-    current = written(links.select("u", "v").mapInArrow(_forest, "u long, v long"), "links")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    current = written(links.select("u", "v").coalesce(max(1, parts // JOINED)).mapInArrow(_forest, "u long, v long"), "links")
     while True:
         # large star: every larger neighbour of a node is linked to the smallest one in reach of the node
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,8 +9,8 @@ of those first fifths that they share, and the partial overlaps are summed for e
 2. Fragments keep the shingles that several nodes share (``lists``).
 3. First round: neighbours in each list, sorted by size, are counted; every node is compared with its best neighbour only.  That
    links groups of near copies into components without looking at their pairs.
-4. Second round: of the lists that still hold several components, the pairs from different components are counted; those whose sum
-   can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
+4. Second round: of the lists that still hold several components, the pairs from different components are counted, lists with
+   one first node together; those whose sum can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
    none of its first shingles but listed ones, so heavily edited copies, whose first shingles are their own, meet nobody.  No link between components is lost; links inside a component change nothing.
 
 A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts of
@@ -41,6 +41,8 @@ COUNTERS = 1 << 22
 CHUNKS = 64
 #: Fragments of a comparison, and partners which meet a centre in one chunk.
 SEGMENTS, PARTNERS = 8, 256
+#: Nodes of one block of a matrix product.
+ROWS = 512
 #: Bytes of text read before a task hands on what it has.
 BATCH = 24 << 20
 
@@ -240,6 +242,63 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "role").select("u", "role", "v", "text").mapInArrow(run, "u long, v long")
 
 
+PAIR_COUNTS = "x long, y long, n_x int, n_y int, last_x long, last_y long, overlap long"
+
+
+def pair_counts(batches):
+    """Partial overlaps of the pairs of nodes in lists which begin with the same node, taken together by matrix products.
+
+    Only pairs of different components are counted, of sizes that can link, and where the node whose first shingles end earlier
+    can share enough.
+    """
+    def counted(shingle, n, rep, component, last, most):
+        nodes, at, row = np.unique(rep, return_index=True, return_inverse=True)
+        column = np.unique(shingle, return_inverse=True)[1]
+        n, component, last, most = n[at].astype(np.int64), component[at], last[at], most[at].astype(np.int64)
+        width = int(column.max()) + 1
+        step = max(1, (1 << 24) // len(nodes))
+        held = None
+        for begin in range(0, len(nodes), ROWS):
+            rows = slice(begin, begin + ROWS)
+            overlap = np.zeros((len(nodes[rows]), len(nodes)), dtype=np.float32)
+            for left in range(0, width, step):
+                if held is None or width > step:
+                    inside = (column >= left) & (column < left + step)
+                    held = np.zeros((len(nodes), min(step, width - left)), dtype=np.float32)
+                    held[row[inside], column[inside] - left] = 1
+                overlap += held[rows] @ held.T
+            both = n[rows, None] + n
+            smaller = (n[rows, None] < n) | ((n[rows, None] == n) & (nodes[rows, None] < nodes))
+            needed = PERCENT * both
+            able_x, able_y = (100 + PERCENT) * most[rows, None] >= needed, (100 + PERCENT) * most >= needed
+            good = (overlap > 0) & smaller & (component[rows, None] != component) & (100 * n[rows, None] >= PERCENT * n)
+            good &= ((last[rows, None] <= last) & able_x) | ((last <= last[rows, None]) & able_y)
+            x, y = np.nonzero(good)
+            if len(x):
+                u = x + begin
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v) for v in (nodes[u], nodes[y], n[u].astype(np.int32), n[y].astype(np.int32), last[u], last[y], overlap[x, y].astype(np.int64))],
+                    names=["x", "y", "n_x", "n_y", "last_x", "last_y", "overlap"])
+
+    names = ("shingle", "n", "rep", "component", "last", "most")
+    parts: list[list[np.ndarray]] = []
+    leader = None
+    for batch in batches:
+        leaders = batch.column("leader").to_numpy()
+        columns = [batch.column(c).to_numpy() for c in names]
+        cuts = [0, *(np.flatnonzero(np.diff(leaders)) + 1).tolist(), len(leaders)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if parts and leaders[begin] != leader:
+                yield from counted(*(np.concatenate(c) for c in zip(*parts)))
+                parts = []
+            leader = leaders[begin]
+            parts.append([c[begin:end] for c in columns])
+    if parts:
+        yield from counted(*(np.concatenate(c) for c in zip(*parts)))
+
+
 def _ordered(frame: DataFrame) -> DataFrame:
     return frame.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "overlap")
 
@@ -277,17 +336,15 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "a", "n", "rep", F.coalesce("component", "rep").alias("component"), "last", (F.col("n") - prefix_length_column("n") + F.col("listed")).alias("most"))
     placed = lists.select("shingle", "a", "n").join(homes, ["a", "n"]).select("shingle", "n", "rep", "component", "last", "most")
     whole = Window.partitionBy("shingle")
-    mixed = placed.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).filter("low < high")
+    first = F.min(F.struct("n", "rep")).over(whole)["rep"].alias("leader")
+    mixed = placed.select("*", first, F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")).filter("low < high")
     open_lists = written(mixed.drop("low", "high"), "join-open-lists")
-    left, right = (open_lists.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "rep", "component", "last", "most")]) for side in "xy")
-    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
+    counts = open_lists.repartition("leader").sortWithinPartitions("leader").mapInArrow(pair_counts, PAIR_COUNTS)
+    summed = counts.groupBy("x", "y", "n_x", "n_y", "last_x", "last_y").agg(F.sum("overlap").alias("overlap"))
 
     def reaches(number: Column) -> Column:
         return number * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y"))
 
-    possible = ((F.col("last_x") <= F.col("last_y")) & reaches(F.col("most_x"))) | ((F.col("last_y") <= F.col("last_x")) & reaches(F.col("most_y")))
-    across = left.join(right, "shingle").filter(smaller & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_x") >= PERCENT * F.col("n_y")) & possible)
-    summed = across.groupBy(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"), "n_x", "n_y", "last_x", "last_y").agg(F.count(F.lit(1)).alias("overlap"))
     rest_x, rest_y = (F.col("overlap") + F.col(f"n_{side}") - prefix_length_column(f"n_{side}") for side in "xy")
     hopeful = _ordered(summed.filter(((F.col("last_x") <= F.col("last_y")) & reaches(rest_x)) | ((F.col("last_y") <= F.col("last_x")) & reaches(rest_y))))
     second = written(hopeful.join(tried, ["u", "v"], "left_anti").select("u", "v"), "join-second")
