@@ -97,6 +97,7 @@ def test_components(spark):
 @pytest.mark.parametrize("on_disk", [False, True])
 def test_suffix_sorting(monkeypatch, on_disk):
     if on_disk:
+        monkeypatch.setattr(suffix_sort, "DIRECT", 0)
         monkeypatch.setattr(suffix_sort, "IN_MEMORY", 8)
         monkeypatch.setattr(suffix_sort, "RUN", 16)
     rng = random.Random(on_disk)

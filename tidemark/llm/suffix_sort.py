@@ -4,7 +4,8 @@ The queue of suffix tuples is a file of slots in buckets by first character: an
 it), and as suffixes are taken in rising order, each bucket is served first in, first out.  A scan takes the longest run of entries into
 which none of the run itself still falls, so that whole runs are handled at once; only the run and the bucket ends are in memory.
 Each entry carries the length of its common prefix with the entry before it in its bucket: one more than the smallest value between the
-two entries that induced them.  Suffixes at local minima (LMS) are sorted by the same scans over the string of their names, recursively.
+two entries that induced them.  Suffixes at local minima (LMS) are sorted by the same scans over the string of their names, recursively,
+until that string fits into memory.
 
 Common prefixes are cut off at ``CAP``.
 """
@@ -20,6 +21,8 @@ import numpy as np
 CAP = 400
 #: Arrays with more entries lie in files of the task's temporary folder.
 IN_MEMORY = 1 << 24
+#: A string of names up to this length is ranked in memory and ends the recursion.
+DIRECT = 1 << 22
 #: Entries of one run at most.
 RUN = 1 << 18
 
@@ -215,6 +218,21 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranked(names: np.ndarray) -> np.ndarray:
+    """Suffix array of a string that fits into memory, by ranks of prefixes of doubled length."""
+    n, depth = len(names), 1
+    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    while True:
+        behind = np.zeros(n, dtype=np.int64)
+        behind[:max(0, n - depth)] = rank[depth:] + 1
+        key = rank * (n + 1) + behind
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
+        if rank[order[-1]] == n - 1:
+            return order
+        depth *= 2
+
+
 def sort_suffixes(text: np.ndarray, letters: int, store: Store, with_lcp: bool = True):
     """Suffix array of ``text``, which ends with a 0 found nowhere else, and common prefixes of neighbours (or None)."""
     n = len(text)
@@ -235,7 +253,7 @@ def sort_suffixes(text: np.ndarray, letters: int, store: Store, with_lcp: bool =
     ordered = np.concatenate([part[is_minimum[part]] for part in (np.array(slots[a:b]) for a, b in _pieces(n))])
     names, distinct = _names(text, minima, ordered)
     if distinct < len(minima):
-        ordered = minima[np.array(sort_suffixes(names, distinct, store, False)[0])]
+        ordered = minima[_ranked(names) if len(names) <= DIRECT else np.array(sort_suffixes(names, distinct, store, False)[0])]
     slots[:] = -1
     where = _fill(slots, text, ordered, behind)
     lcp = runs = None
