@@ -17,7 +17,8 @@ A comparison counts the overlap of two whole sets fragment by fragment and stops
 a centre and of those compared with it meet in chunks of bounded size, whatever the number of partners.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words than a shingle
-are one shingle; rows with one id are one document; a row without an id is linked as any other, under the smallest id of its set.
+are one shingle; rows with one id are one document; a row without an id belongs to the component of the documents with its set, or to none if
+no row of that set has an id.
 """
 
 from __future__ import annotations
@@ -361,7 +362,11 @@ def prefix_length_column(name: str):
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose id is the smallest of their component; one row for each id."""
-    groups = near_components(docs, doc_id, text).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.dropDuplicates([doc_id]).join(groups, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    """The documents, with all their columns, whose id is the smallest of their component; one row for each id.
+
+    Rows without an id stay.
+    """
+    groups = near_components(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    named = boxed(docs.filter(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]), doc_id=doc_id)
+    kept = named.join(groups, F.col("doc_id") == F.col("kept"), "left_semi").select("row.*")
+    return kept.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
