@@ -55,12 +55,13 @@ def chains(seed):
     return out
 
 
-def test_ngram_join(spark):
+def test_ngram_join(spark, monkeypatch):
     rows = [(r[0], r[1]) for r in samples.rows()] + [(500 + i, t) for i, t in enumerate(chains(1) + chains(1)[:3] + ["A b c", "a  B\tc", "a b"])]
     without = [(None, "a text of its own that no other row is like"), (None, None)]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows + without], "doc_id long, text string, a string, n int").repartition(3)
     want = plain_components(rows)
-    for counters in (1 << 10, 1 << 14):
+    for counters, partners in ((1 << 10, 3), (1 << 14, ngram_join.PARTNERS)):
+        monkeypatch.setattr(ngram_join, "PARTNERS", partners)
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, fragments=3, counters=counters).collect())
         assert got == Counter((i, *want[i]) for i, _ in rows) + Counter([(None, 7, None), (None, 0, None)])
     kept = ngram_join.one_of_each(docs)

@@ -13,8 +13,8 @@ of those first fifths that they share, and the partial overlaps are summed for e
    one first node together; those whose sum can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
    none of its first shingles but listed ones, so heavily edited copies, whose first shingles are their own, meet nobody.  No link between components is lost; links inside a component change nothing.
 
-A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts of
-a centre and of those compared with it meet in chunks of bounded size, whatever the number of partners.
+A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts meet
+in pairs of blocks of bounded size, whatever the number of partners.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words than a shingle
 are one shingle; rows with one id are one document; a row without an id belongs to the component of the documents with its set, or to none if
@@ -40,7 +40,7 @@ PERCENT = 80
 #: Counters of the order: more separate frequent from rare shingles better; any number gives the same links.
 COUNTERS = 1 << 22
 CHUNKS = 64
-#: Fragments of a comparison, and partners which meet a centre in one chunk.
+#: Fragments of a comparison, and documents of one block.
 SEGMENTS, PARTNERS = 8, 256
 #: Nodes of one block of a matrix product.
 ROWS = 512
@@ -222,25 +222,36 @@ def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFra
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of representatives that link, by comparing their whole sets."""
-    numbers = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("chunks"))
-    dealt = pairs.join(numbers, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"))
-    centres = dealt.select("u", "chunk").distinct()
-    rows = dealt.join(texts, F.col("v") == F.col("doc_id")).select("u", "chunk", F.lit(1).alias("role"), "v", "text").union(
-        centres.join(texts, F.col("u") == F.col("doc_id")).select("u", "chunk", F.lit(0).alias("role"), F.col("u").alias("v"), "text"))
+    """The pairs (u, v) of representatives that link, by comparing their whole sets.
+
+    Documents are put into blocks of about ``PARTNERS``, those with a common partner together; a pair is compared where its two blocks
+    meet, and a text is sent once to each meeting of its block, not once for each pair.
+    """
+    pairs = pairs.select("u", "v")
+    groups = pairs.select(F.col("u").alias("w"), F.col("u").alias("g")).union(pairs.select(F.col("v").alias("w"), F.col("u").alias("g"))).groupBy("w").agg(F.min("g").alias("g"))
+    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks"))
+    homes = written(groups.join(sizes, "g").select("w", F.xxhash64("g", F.pmod(F.xxhash64("w"), F.col("blocks"))).alias("home")), "join-homes")
+    placed = pairs.join(homes.select(F.col("w").alias("u"), F.col("home").alias("home_u")), "u").join(homes.select(F.col("w").alias("v"), F.col("home").alias("home_v")), "v")
+    meetings = written(placed.select("u", "v", F.xxhash64(F.least("home_u", "home_v"), F.greatest("home_u", "home_v")).alias("meeting")), "join-meetings")
+    needed = meetings.select("meeting", F.col("u").alias("w")).union(meetings.select("meeting", F.col("v").alias("w"))).distinct()
+    rows = needed.join(texts, F.col("w") == F.col("doc_id")).select("meeting", F.lit(0).alias("role"), F.col("w").alias("u"), F.col("w").alias("v"), "text").union(
+        meetings.select("meeting", F.lit(1), "u", "v", F.lit(None).cast("string")))
 
     def run(batches):
-        centre = None
+        sets: dict[int, np.ndarray] = {}
+        current = None
         for batch in slices(batches, "text"):
             out: list[tuple[int, int]] = []
-            for u, role, v, own in zip(*(batch.column(c).to_pylist() for c in ("u", "role", "v")), shingle_sets(batch.column("text").to_pylist())):
+            for meeting, role, u, v, own in zip(*(batch.column(c).to_pylist() for c in ("meeting", "role", "u", "v")), shingle_sets(batch.column("text").to_pylist())):
+                if meeting != current:
+                    current, sets = meeting, {}
                 if role == 0:
-                    centre = own
-                elif overlap_at_least(centre, own, least_overlap(len(centre), len(own))):
+                    sets[u] = own
+                elif overlap_at_least(sets[u], sets[v], least_overlap(len(sets[u]), len(sets[v]))):
                     out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    return rows.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "role").select("u", "role", "v", "text").mapInArrow(run, "u long, v long")
+    return rows.repartition("meeting").sortWithinPartitions("meeting", "role").mapInArrow(run, "u long, v long")
 
 
 PAIR_COUNTS = "x long, y long, n_x int, n_y int, last_x long, last_y long, overlap long"
