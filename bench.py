@@ -20,6 +20,7 @@ HEADLINE = (
     "snapshot_diff", "review_queue", "row_fingerprint", "table_digest", "snapshot_hashes", "row_violations", "order_violations",
     "identity_resolution", "import_row_violations", "fact_groups", "repeated_documents", "privacy_findings", "private_texts",
     "benchmark_leaks", "url_normalize", "json_leaves", "school_tiers", "deadline_changes",
+    "import_candidate", "stored_snapshot_gate", "alias_coverage", "publication_order", "short_marker_leaks",
 )
 
 
