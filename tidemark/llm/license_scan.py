@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, boxed, written
+from tidemark.llm.common import ascii_lower, written
 
 #: A line with one of these is a passage.
 CUES = "licen[cs]e|licen[cs]ed|copyright|all rights reserved|public domain|spdx|permission is hereby granted|redistribution and use"
@@ -77,11 +77,15 @@ def directories(path: Column) -> Column:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Struct ``row`` of the input with ``own_licence``, ``cosine``, ``licence_file``, ``licence`` (own or inherited) and ``licence_from``
+    """Struct ``row`` of the input without its texts, with ``own_licence``, ``cosine``, ``licence_file``, ``licence`` (own or inherited) and ``licence_from``
     (``own``, the directory it comes from, or null)."""
-    base = boxed(files, path=path, text=text).withColumn("at", F.monotonically_increasing_id())
-    base = written(base.select("row", "path", "at", F.coalesce("text", F.lit("")).alias("text")), "licence-files")
-    lines = base.select("at", F.explode(F.filter(F.split("text", "\n"), lambda line: ascii_lower(line).rlike(CUES))).alias("line")).select("at", _words(F.col("line")).alias("words"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text]).alias("row")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    cued = F.filter(F.split(body, "\n"), lambda line: ascii_lower(line).rlike(CUES))
+    # texts are read once; what is written holds licence lines only
+    base = written(files.select(
+        kept, F.col(f"`{path}`").alias("path"), F.monotonically_increasing_id().alias("at"), F.size(_words(body)).alias("n_words"), F.transform(cued, _words).alias("passages")), "licence-files")
+    lines = base.select("at", F.explode("passages").alias("words"))
     used = written(lines.groupBy("at", "words").agg(F.count(F.lit(1)).alias("times")), "licence-passages")
     matches = match_passages(used.groupBy("words").agg(F.sum("times").alias("uses")))
     found = used.join(matches, "words").groupBy("at").agg(
@@ -89,7 +93,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     name = ascii_lower(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
     own = base.join(found, "at", "left").select(
         "row", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.c")).alias("cosine"),
-        (F.col("best").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.col("covered") >= F.size(_words(F.col("text")))))).alias("licence_file"),
+        (F.col("best").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.col("covered") >= F.col("n_words")))).alias("licence_file"),
         F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("directory"))
     own = written(own, "licence-own")
     licensed = own.filter("licence_file and path is not null").groupBy(F.col("directory").alias("above")).agg(F.min(F.struct("path", "own_licence")).alias("from"))
