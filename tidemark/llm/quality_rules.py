@@ -123,7 +123,9 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_good(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The kept documents with the columns of the input; failed lines are gone from their texts and ``length`` follows."""
-    good = judge(docs, text).filter("kept")
+    # A filter on the verdict would be moved below the projections, and with it all they compute; a filter on what is generated stays.
+    judged = F.array(F.struct("row", "lost_chars", "clean_text", "kept"))
+    good = judge(docs, text).select(F.explode_outer(F.filter(judged, lambda x: x["kept"])).alias("good")).filter("good is not null").select("good.*")
     columns = []
     for name in docs.columns:
         column = F.col("row")[name]
