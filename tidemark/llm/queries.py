@@ -12,11 +12,9 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Hosts of gambling, pills, trackers, spam and adult pages: a production list comes as a table of the same form.
-BLOCKED_HOSTS = (
-    "ads-track.example.com/", "adult-x.example.com/", "adult-x.example.net/", "adult-x.example.org/", "casino-win.example.com/",
-    "cheap-pills.example.com/", "free-bets.example.com/", "spam-farm.example.com/",
-)
+#: Sites of gambling, pills, trackers, spam and adult pages, under every top-level domain of the pages: a production list comes as a table of the same form.
+BLOCKED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_HOSTS = tuple(f"{site}.example.{top}/" for site in BLOCKED_SITES for top in ("com", "net", "org"))
 
 
 def op1_quality_rules(spark, sf_dir):
