@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm import samples
-from tidemark.llm import bpe, decontamination, language_id, license_scan, packing, quality_rules, queries, token_counts, token_files, url_filter
+from tidemark.llm import bpe, decontamination, language_id, license_blocks, license_scan, packing, quality_rules, queries, token_counts, token_files, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -251,6 +251,30 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_headers_and_texts(spark):
+    """Headers wrapped over lines of a comment, whole licence texts, and named licences beside "All rights reserved."."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    code = "\n".join("let %s;" % samples.sentence(samples.random.Random(i), 9) for i in range(60))
+    holder = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    texts = dict(license_blocks.full_texts())
+    files = [("h/%d.c" % i, "/*\n" + "\n".join(" * " + line for line in gpl.split("\n")) + "\n */\n" + code, "GPL-3.0", False) for i in range(3)]
+    files += [("t/%s/COPYING" % name, holder + text, name, True) for name, text in texts.items()]
+    files += [("b/bsd.c", holder + texts["BSD-3-Clause"] + "\n" + code, "BSD-3-Clause", False), ("w/wrapped.txt", code + "\nLicensed under the Apache\nLicense, Version 2.0.", "Apache-2.0", False),
+              ("r/own.txt", "All rights reserved.\n" + code, "AllRightsReserved", False), ("n/LICENSE", code, None, False),
+              ("m/two.txt", "All rights reserved.\nReleased under the MIT License.\n" + code, "MIT", False)]
+    docs = spark.createDataFrame([(p, t) for p, t, *_ in files], "path string, text string").repartition(3)
+    got = {r.row.path: (r.own_licence, r.licence_file) for r in license_scan.scan(docs).collect()}
+    assert got == {p: (name, own) for p, _, name, own in files}
+
+
 def plain_contamination(text, items):
     def listed(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))

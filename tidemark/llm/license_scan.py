@@ -1,8 +1,10 @@
 """Licences of files: sparse TF-IDF cosine of licence lines to templates, then inheritance from the nearest licensed directory.
 
 Every line of a file with a licence word is a passage.  Passages are reduced to distinct word lists with their counts first; document
-frequencies, weights and cosines are computed once for each of those, so a line found in a third of all files is weighed once.  A
-file's own licence is that of its best passage.  A file named as a licence file, or with at least half of its words in passages that match,
+frequencies, weights and cosines are computed once for each of those, so a line found in a third of all files is weighed once.  Blocks of
+neighbouring lines around such a line, and the whole text of a file named as a licence file, are compared with headers and whole licences
+where the text lies (``license_blocks``).  A file's own licence is that of its whole text if that matches, or else of its best line or block; "All rights
+reserved" gives way to any licence.  A file named as a licence file, or with at least half of its words in lines that match,
 licenses its directory; files without an own licence take that of the nearest directory above them, which is decided once for each
 directory.
 
@@ -12,10 +14,12 @@ licence by name wins, of several licence files in a directory the first path; re
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, written
+from tidemark.llm.common import ascii_lower, slices, written
+from tidemark.llm.license_blocks import RESERVED, Weigher
 
 #: A line with one of these is a passage.
 CUES = "licen[cs]e|licen[cs]ed|copyright|all rights reserved|public domain|spdx|permission is hereby granted|redistribution and use"
@@ -76,24 +80,50 @@ def directories(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def match_blocks(files: DataFrame) -> DataFrame:
+    """(at, licence, cosine, whole, lines) of files (at, licence_name, text): the best block or whole text, and the lines of blocks that match."""
+    weigher = files.sparkSession.sparkContext.broadcast(Weigher(TEMPLATES, CUES, LEAST_COSINE))
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            out = []
+            for at, named, text in zip(*(batch.column(c).to_pylist() for c in ("at", "licence_name", "text"))):
+                best, lines = weigher.value.judge(text, named)
+                if best:
+                    out.append((at, *best, lines))
+            if out:
+                kinds = (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["at", "licence", "cosine", "whole", "lines"])
+
+    return files.mapInArrow(run, "at long, licence string, cosine double, whole boolean, lines array<int>")
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Struct ``row`` of the input without its texts, with ``own_licence``, ``cosine``, ``licence_file``, ``licence`` (own or inherited) and ``licence_from``
     (``own``, the directory it comes from, or null)."""
     kept = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text]).alias("row")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cued = F.filter(F.split(body, "\n"), lambda line: ascii_lower(line).rlike(CUES))
-    # texts are read once; what is written holds licence lines only
-    base = written(files.select(
-        kept, F.col(f"`{path}`").alias("path"), F.monotonically_increasing_id().alias("at"), F.size(_words(body)).alias("n_words"), F.transform(cued, _words).alias("passages")), "licence-files")
-    lines = base.select("at", F.explode("passages").alias("words"))
-    used = written(lines.groupBy("at", "words").agg(F.count(F.lit(1)).alias("times")), "licence-passages")
-    matches = match_passages(used.groupBy("words").agg(F.sum("times").alias("uses")))
-    found = used.join(matches, "words").groupBy("at").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.sum(F.col("times") * F.size("words")).alias("covered"))
-    name = ascii_lower(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
+    indexed = F.transform(F.split(body, "\n"), lambda line, i: F.struct(i.alias("line"), line.alias("text")))
+    cued = F.filter(indexed, lambda x: ascii_lower(x["text"]).rlike(CUES))
+    name = ascii_lower(F.element_at(F.split(F.coalesce(F.col(f"`{path}`"), F.lit("")), "/"), -1))
+    # texts are read once; what is written holds texts with a licence word or of licence files only
+    base = files.select(
+        kept, F.col(f"`{path}`").alias("path"), F.monotonically_increasing_id().alias("at"), F.size(_words(body)).alias("n_words"), F.coalesce(name.rlike(FILE_NAMES), F.lit(False)).alias("licence_name"),
+        F.transform(cued, lambda x: F.struct(x["line"].alias("line"), _words(x["text"]).alias("words"))).alias("passages"), body.alias("text"))
+    base = written(base.withColumn("text", F.when(F.col("licence_name") | (F.size("passages") > 0), F.col("text"))), "licence-files")
+    used = written(base.select("at", F.explode("passages").alias("p")).select("at", "p.line", "p.words"), "licence-passages")
+    matches = match_passages(used.groupBy("words").agg(F.count(F.lit(1)).alias("uses")))
+    blocks = written(match_blocks(base.filter("text is not null").select("at", "licence_name", "text")), "licence-blocks")
+    by_line = written(used.join(matches, "words").select("at", "line", F.size("words").alias("n"), "licence", "cosine"), "licence-lines")
+    lengths = base.select("at", "text").join(blocks.filter("size(lines) > 0").select("at", "lines"), "at").select("at", F.posexplode(F.split("text", "\n")).alias("line", "own"), "lines")
+    lengths = lengths.filter(F.array_contains("lines", F.col("line"))).select("at", "line", F.size(_words(F.col("own"))).alias("n"))
+    covered = by_line.select("at", "line", "n").union(lengths).distinct().groupBy("at").agg(F.sum("n").alias("covered"))
+    every = by_line.select("at", "licence", "cosine", F.lit(False).alias("whole")).union(blocks.select("at", "licence", "cosine", "whole"))
+    found = every.groupBy("at").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (~F.col("whole")).alias("part"), (-F.col("cosine")).alias("c"), "licence")).alias("best"))
+    found = found.join(covered, "at", "left")
     own = base.join(found, "at", "left").select(
         "row", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.c")).alias("cosine"),
-        (F.col("best").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.col("covered") >= F.col("n_words")))).alias("licence_file"),
+        (F.col("best").isNotNull() & (F.col("licence_name") | (2 * F.coalesce("covered", F.lit(0)) >= F.col("n_words")))).alias("licence_file"),
         F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "").alias("directory"))
     own = written(own, "licence-own")
     licensed = own.filter("licence_file and path is not null").groupBy(F.col("directory").alias("above")).agg(F.min(F.struct("path", "own_licence")).alias("from"))
