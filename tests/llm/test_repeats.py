@@ -70,6 +70,19 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.near_components(docs.limit(0)).count() == 0
 
 
+def test_texts_without_an_id_link_nothing(spark):
+    """A text without an id shares rare shingles with documents that do not link, and is the nearest of one that has a link."""
+    a, b, c = (" ".join("%s%d" % (x, i) for i in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    between = " ".join(a.split()[:30] + b.split()[:30])
+    rows = [(1, a), (2, b), (3, near), (4, c)] + [(10 + i, between.replace("b29", "y%d" % i).replace("a0 ", "x%d " % i)) for i in range(2)]
+    without = [(None, between), (None, a + " q"), (None, " ".join(b.split()[:30] + c.split()[:30])), (None, near + " q")]
+    docs = spark.createDataFrame(rows + without, "doc_id long, text string").repartition(2)
+    want = plain_components(rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, fragments=3).collect())
+    assert got == Counter((i, *want[i]) for i, _ in rows) + Counter((None, len(t.split()) - 4, None) for _, t in without)
+
+
 def test_threshold_bounds():
     for a in range(1, 60):
         for b in range(1, a + 1):

@@ -321,9 +321,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = boxed(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(nodes_of(docs), "join-nodes")
     nodes = written(signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")), "join-representatives")
-    ids = nodes.select("a", F.col("n_shingles").cast("int").alias("n"), "rep")
+    # sets that only rows without an id have link nothing
+    ids = nodes.filter("rep is not null").select("a", F.col("n_shingles").cast("int").alias("n"), "rep")
+    named = docs.filter("doc_id is not null")
     fragments = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = written(shared_lists(docs, shingle_counts(docs, counters), fragments), "join-lists")
+    lists = written(shared_lists(named, shingle_counts(docs, counters), fragments), "join-lists")
 
     # texts of every representative that shares a shingle with another one
     lasts = lists.filter("shingle is null").groupBy("a", "n").agg(F.min("a_before").alias("last"))
@@ -336,8 +338,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = lists.filter(f"a_before is not null and 100 * n_before >= {PERCENT} * n")
     counted = near.groupBy("a", "n", "a_before", "n_before").agg(F.count(F.lit(1)).alias("overlap"))
     best = counted.groupBy("a", "n").agg(F.max_by(F.struct("a_before", "n_before"), F.struct("overlap", "n_before", "a_before")).alias("other"), F.max("overlap").alias("overlap"))
-    named = best.join(ids.withColumnRenamed("rep", "y"), ["a", "n"]).select("y", "overlap", F.col("other.a_before").alias("a"), F.col("other.n_before").alias("n"))
-    best = named.join(ids.withColumnRenamed("rep", "x"), ["a", "n"])
+    mine = best.join(ids.withColumnRenamed("rep", "y"), ["a", "n"]).select("y", "overlap", F.col("other.a_before").alias("a"), F.col("other.n_before").alias("n"))
+    best = mine.join(ids.withColumnRenamed("rep", "x"), ["a", "n"])
     tried = written(_ordered(best).groupBy("u", "v").agg(F.max("overlap").alias("overlap")), "join-first")
     linked = written(compared(tried.select("u", "v"), texts), "join-first-links")
     known = components(linked)
