@@ -83,6 +83,31 @@ def test_texts_without_an_id_link_nothing(spark):
     assert got == Counter((i, *want[i]) for i, _ in rows) + Counter((None, len(t.split()) - 4, None) for _, t in without)
 
 
+@pytest.mark.parametrize("nodes, listed", [(6, 1 << 20), (1 << 20, 40)])
+def test_lists_with_one_first_node_are_split(spark, monkeypatch, nodes, listed):
+    """Pairs of blocks give the counts of the whole, and no task gets more nodes than two blocks have."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(40, 90, 50)
+    rows = [(7, s, int(sizes[i]), i, i % 45, int(5 * (i % 9)), int(sizes[i]) * (9 if i % 4 else 3) // 10) for i in range(50) for s in sorted(set(rng.integers(0, 30, 12).tolist()))]
+    rows += [(8, s, 50, i, i, 3, 50) for i in range(100, 103) for s in (1, 2)]
+    lists = spark.createDataFrame([tuple(int(x) for x in r) for r in rows], "leader long, shingle long, n int, rep long, component long, last long, most long")
+
+    def counts(frame):
+        return Counter(tuple(r) for r in frame.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(ngram_join.pair_counts, ngram_join.PAIR_COUNTS).collect())
+
+    whole = ngram_join.counting_groups(lists)
+    assert whole.select("meeting").distinct().count() == 2
+    want = counts(whole)
+    monkeypatch.setattr(ngram_join, "NODES", nodes)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    split = ngram_join.counting_groups(lists)
+    held = defaultdict(set)
+    for r in split.select("meeting", "rep").distinct().collect():
+        held[r.meeting].add(r.rep)
+    assert len(held) > 10 and max(map(len, held.values())) < 30
+    assert counts(split) == want and len(want) > 100
+
+
 def test_threshold_bounds():
     for a in range(1, 60):
         for b in range(1, a + 1):

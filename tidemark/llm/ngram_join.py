@@ -10,7 +10,7 @@ of those first fifths that they share, and the partial overlaps are summed for e
 3. First round: neighbours in each list, sorted by size, are counted; every node is compared with its best neighbour only.  That
    links groups of near copies into components without looking at their pairs.
 4. Second round: of the lists that still hold several components, the pairs from different components are counted, lists with
-   one first node together; those whose sum can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
+   one first node together or, if many nodes are in them, by pairs of blocks of nodes; those whose sum can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
    none of its first shingles but listed ones, so heavily edited copies, whose first shingles are their own, meet nobody.  No link between components is lost; links inside a component change nothing.
 
 A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts meet
@@ -44,6 +44,8 @@ CHUNKS = 64
 SEGMENTS, PARTNERS = 8, 256
 #: Nodes of one block of a matrix product.
 ROWS = 512
+#: Lists with one first node are counted in one task up to so many nodes and rows, and else in pairs of blocks of about that many.
+NODES, LISTED = 4096, 1 << 20
 #: Bytes of text read before a task hands on what it has.
 BATCH = 24 << 20
 
@@ -257,55 +259,98 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 PAIR_COUNTS = "x long, y long, n_x int, n_y int, last_x long, last_y long, overlap long"
 
 
+def counting_groups(open_lists: DataFrame) -> DataFrame:
+    """The rows of the lists with ``meeting`` and ``side``: lists with one first node meet as a whole (side 2), or, if they hold many nodes, as
+    pairs of blocks of them (sides 0 and 1).
+
+    Blocks are made by size class, by whether a node can share enough with any node when its own first shingles end earlier, and by
+    hash.  Blocks of which no two nodes can be linked do not meet: sizes more than one class apart, or no able node in either.
+    """
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(1.26)))).cast("int").alias("class")
+    able = (100 * F.col("most") >= PERCENT * F.col("n")).alias("able")
+    counted = open_lists.groupBy("leader", "rep", "n", "most").agg(F.count(F.lit(1)).alias("listed"))
+    blocks = counted.groupBy("leader", size_class, able).agg(F.count(F.lit(1)).alias("nodes"), F.sum("listed").alias("listed"))
+    large = blocks.groupBy("leader").agg(F.sum("nodes").alias("all_nodes"), F.sum("listed").alias("all_listed")).filter((F.col("all_nodes") > NODES) | (F.col("all_listed") > LISTED))
+    pieces = F.greatest(F.ceil(F.col("nodes") / NODES), F.ceil(F.col("listed") / LISTED)).alias("pieces")
+    blocks = written(blocks.join(large, "leader", "left_semi").select("leader", "class", "able", pieces), "join-blocks")
+    names = ["leader", "shingle", "n", "rep", "component", "last", "most"]
+    if blocks.isEmpty():
+        return open_lists.select(F.col("leader").alias("meeting"), F.lit(2).alias("side"), *names[1:])
+    placed = open_lists.select(*names, size_class, able).join(blocks, ["leader", "class", "able"], "left")
+    whole = placed.filter("pieces is null").select(F.col("leader").alias("meeting"), F.lit(2).alias("side"), *names[1:])
+    each = blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("part"), "class", "able").select("leader", F.struct("class", "able", "part").alias("block"))
+    pairs = each.join(each.withColumnRenamed("block", "other"), "leader").filter(
+        "block <= other and other.class - block.class <= 1 and (block.able or other.able)").withColumn("meeting", F.xxhash64("leader", "block", "other"))
+    sides = pairs.select("leader", "block", "meeting", F.when(F.col("block") == F.col("other"), 2).otherwise(0).alias("side")).union(
+        pairs.filter("block < other").select("leader", "other", "meeting", F.lit(1)))
+    part = F.pmod(F.xxhash64("rep"), F.col("pieces")).alias("part")
+    split = placed.filter("pieces is not null").select(*names, F.struct("class", "able", part).alias("block")).join(sides, ["leader", "block"])
+    return whole.union(split.select("meeting", "side", *names[1:]))
+
+
 def pair_counts(batches):
-    """Partial overlaps of the pairs of nodes in lists which begin with the same node, taken together by matrix products.
+    """Partial overlaps of the pairs of nodes that meet in lists which begin with the same node, taken together by matrix products.
 
     Only pairs of different components are counted, of sizes that can link, and where the node whose first shingles end earlier
     can share enough.
     """
-    def counted(shingle, n, rep, component, last, most):
-        nodes, at, row = np.unique(rep, return_index=True, return_inverse=True)
+    def counted(side, shingle, *columns):
         column = np.unique(shingle, return_inverse=True)[1]
-        n, component, last, most = n[at].astype(np.int64), component[at], last[at], most[at].astype(np.int64)
         width = int(column.max()) + 1
-        step = max(1, (1 << 24) // len(nodes))
-        held = None
-        for begin in range(0, len(nodes), ROWS):
+        sides = []
+        for mine in ([side == 2] if side[0] == 2 else [side == 0, side == 1]):
+            if not mine.any():
+                return
+            n, rep, component, last, most = (c[mine] for c in columns)
+            nodes, at, row = np.unique(rep, return_index=True, return_inverse=True)
+            sides.append((row, column[mine], nodes, n[at].astype(np.int64), component[at], last[at], most[at].astype(np.int64)))
+        (row_a, column_a, *a), (row_b, column_b, *b) = sides[0], sides[-1]
+        one = len(sides) == 1
+        nodes, n, component, last, most = b
+        step = max(1, (1 << 24) // (len(a[0]) + len(nodes)))
+
+        def part(row, column, number, left):
+            inside = (column >= left) & (column < left + step)
+            held = np.zeros((number, min(step, width - left)), dtype=np.float32)
+            held[row[inside], column[inside] - left] = 1
+            return held
+
+        held_a = held_b = None
+        for begin in range(0, len(a[0]), ROWS):
             rows = slice(begin, begin + ROWS)
-            overlap = np.zeros((len(nodes[rows]), len(nodes)), dtype=np.float32)
+            own, own_n, own_component, own_last, own_most = (c[rows, None] for c in a)
+            overlap = np.zeros((len(own), len(nodes)), dtype=np.float32)
             for left in range(0, width, step):
-                if held is None or width > step:
-                    inside = (column >= left) & (column < left + step)
-                    held = np.zeros((len(nodes), min(step, width - left)), dtype=np.float32)
-                    held[row[inside], column[inside] - left] = 1
-                overlap += held[rows] @ held.T
-            both = n[rows, None] + n
-            smaller = (n[rows, None] < n) | ((n[rows, None] == n) & (nodes[rows, None] < nodes))
-            needed = PERCENT * both
-            able_x, able_y = (100 + PERCENT) * most[rows, None] >= needed, (100 + PERCENT) * most >= needed
-            good = (overlap > 0) & smaller & (component[rows, None] != component) & (100 * n[rows, None] >= PERCENT * n)
-            good &= ((last[rows, None] <= last) & able_x) | ((last <= last[rows, None]) & able_y)
-            x, y = np.nonzero(good)
-            if len(x):
-                u = x + begin
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v) for v in (nodes[u], nodes[y], n[u].astype(np.int32), n[y].astype(np.int32), last[u], last[y], overlap[x, y].astype(np.int64))],
-                    names=["x", "y", "n_x", "n_y", "last_x", "last_y", "overlap"])
-
-    names = ("shingle", "n", "rep", "component", "last", "most")
+                if held_a is None or width > step:
+                    held_a = part(row_a, column_a, len(a[0]), left)
+                    held_b = held_a if one else part(row_b, column_b, len(nodes), left)
+                overlap += held_a[rows] @ held_b.T
+            smaller = (own_n < n) | ((own_n == n) & (own < nodes))
+            needed = PERCENT * (own_n + n)
+            good = (overlap > 0) & (own_component != component) & (100 * np.minimum(own_n, n) >= PERCENT * np.maximum(own_n, n))
+            good &= ((own_last <= last) & ((100 + PERCENT) * own_most >= needed)) | ((last <= own_last) & ((100 + PERCENT) * most >= needed))
+            if one:
+                good &= smaller
+            u, v = np.nonzero(good)
+            if len(u):
+                first = smaller[u, v]
+                found = [(np.where(first, x[u, 0], y[v]), np.where(first, y[v], x[u, 0])) for x, y in ((own, nodes), (own_n.astype(np.int32), n.astype(np.int32)), (own_last, last))]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for pair in found for c in pair], pa.array(overlap[u, v].astype(np.int64))], names=["x", "y", "n_x", "n_y", "last_x", "last_y", "overlap"])
+
+    names = ("side", "shingle", "n", "rep", "component", "last", "most")
     parts: list[list[np.ndarray]] = []
-    leader = None
+    meeting = None
     for batch in batches:
-        leaders = batch.column("leader").to_numpy()
+        meetings = batch.column("meeting").to_numpy()
         columns = [batch.column(c).to_numpy() for c in names]
-        cuts = [0, *(np.flatnonzero(np.diff(leaders)) + 1).tolist(), len(leaders)]
+        cuts = [0, *(np.flatnonzero(np.diff(meetings)) + 1).tolist(), len(meetings)]
         for begin, end in zip(cuts, cuts[1:]):
             if begin == end:
                 continue
-            if parts and leaders[begin] != leader:
+            if parts and meetings[begin] != meeting:
                 yield from counted(*(np.concatenate(c) for c in zip(*parts)))
                 parts = []
-            leader = leaders[begin]
+            meeting = meetings[begin]
             parts.append([c[begin:end] for c in columns])
     if parts:
         yield from counted(*(np.concatenate(c) for c in zip(*parts)))
@@ -353,7 +398,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct("n", "rep")).over(whole)["rep"].alias("leader")
     mixed = placed.select("*", first, F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")).filter("low < high")
     open_lists = written(mixed.drop("low", "high"), "join-open-lists")
-    counts = open_lists.repartition("leader").sortWithinPartitions("leader").mapInArrow(pair_counts, PAIR_COUNTS)
+    counts = counting_groups(open_lists).repartition("meeting").sortWithinPartitions("meeting").mapInArrow(pair_counts, PAIR_COUNTS)
     summed = counts.groupBy("x", "y", "n_x", "n_y", "last_x", "last_y").agg(F.sum("overlap").alias("overlap"))
 
     def reaches(number: Column) -> Column:
