@@ -5,7 +5,8 @@ anchors, so windows may be dealt out by anchor.  Neighbouring windows with one a
 
 1. Anchors of one fragment are dropped where they lie.  An anchor whose fragments are all equal needs no sorting: all are repeats.
 2. Of the other anchors each distinct fragment is sent once, by anchor, to a shard.  Parts that can have no equal there are left
-   out; the suffixes of the rest are sorted by external induction; a window whose common prefix with a neighbour reaches ``LENGTH`` is a repeat.  Shards may be larger than memory.
+   out; the suffixes of the rest are sorted by external induction; a window whose common prefix with a neighbour reaches ``LENGTH`` is a repeat.  The fragments of a shard
+   are held in memory, only the arrays of the sort may lie in files.
 3. The repeats found for a fragment hold for all places where it lies; a document's covered bytes are united and cut out.
 
 A fragment found thousands of times is one row after the first partial aggregate, so copies meet in no task.
