@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files, url_filter
+from tidemark.llm import centroids, decontamination, hard_negatives, language_id, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files, url_filter, warc
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,19 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -81,8 +94,35 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_ngram_join": op10_ngram_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_warc": op13_warc,
 }
 
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and exact floored means, one after another."""
+
+    def nearest(centroids: str) -> str:
+        return f"""SELECT vec_id, v, c AS cluster, distance FROM (SELECT p.vec_id, p.v, z.c,
+            list_sum(list_transform(list_zip(p.v, z.v), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT AS distance FROM points p CROSS JOIN {centroids} z)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1"""
+
+    steps = [f"""points AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""z0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS c, v FROM points
+            QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {k})"""]
+    for i in range(rounds):
+        steps += [f"a{i} AS MATERIALIZED ({nearest(f'z{i}')})",
+                  f"m{i} AS (SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY ALL)",
+                  f"""z{i + 1} AS MATERIALIZED (SELECT c, coalesce(list_sort_v, v) AS v FROM z{i} LEFT JOIN (SELECT cluster,
+            list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS list_sort_v FROM m{i} GROUP BY cluster) ON c = cluster)"""]
+    steps.append(f"a AS MATERIALIZED ({nearest(f'z{rounds}')})")
+    return "WITH " + ",\n        ".join(steps) + f"""
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(z.v, ',')) AS centroid_sha256
+        FROM a JOIN z{rounds} z ON z.c = a.cluster"""
+
+
 _A, _a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
@@ -100,4 +140,26 @@ SQL = {
             AND starts_with(p.path, substr(l.entry, strpos(l.entry, '/'))))
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, CASE WHEN h.at IS NULL THEN 'allow' ELSE 'block' END) AS verdict
         FROM parts p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.at = f.at LEFT JOIN hits h ON p.at = h.at""",
+    "op11_hard_negatives": """
+        WITH kept AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike,
+                list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, p.positive_id, (row_number() OVER best)::INTEGER AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.alike
+            AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)
+        QUALIFY row_number() OVER best <= 10""",
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_warc": """
+        WITH read AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, coalesce(html, '') AS payload FROM pages),
+        grouped AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS newest FROM read)
+        SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to, NULL::VARCHAR AS problem
+        FROM grouped""",
 }
