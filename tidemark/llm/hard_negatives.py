@@ -51,13 +51,13 @@ class Bucket:
         self.order = np.ascontiguousarray(order.T.astype(np.int16))
 
 
-def buckets_of(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> list[Bucket]:
+def buckets_of(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, most: int = BUCKET) -> list[Bucket]:
     """The rows by falling length, cut where a bucket is full or lengths have fallen too far."""
     sizes = lengths(vectors)
     order = np.argsort(-sizes, kind="stable")
     sizes, out, begin = sizes[order], [], 0
     while begin < len(order):
-        end = min(begin + BUCKET, int(np.searchsorted(-sizes, -RATIO * sizes[begin], "right")))
+        end = min(begin + most, int(np.searchsorted(-sizes, -RATIO * sizes[begin], "right")))
         rows = order[begin:end]
         out.append(Bucket(vectors[rows], sizes[begin:end], ids[rows], labels[rows]))
         begin = end
@@ -172,10 +172,10 @@ def blocks_of(folder: str, path: str, columns: list[str], budget: int):
     yield from tables_of(found.to_batches(columns=columns, batch_size=4096), "vector", budget)
 
 
-def _index(table: pa.Table) -> tuple[list[Bucket], pa.Array]:
+def _index(table: pa.Table, most: int) -> tuple[list[Bucket], pa.Array]:
     coded = table.column("label").combine_chunks().dictionary_encode()
     labels = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return buckets_of(matrix(table.column("vector").combine_chunks()), table.column("id").to_numpy(), labels), coded.dictionary
+    return buckets_of(matrix(table.column("vector").combine_chunks()), table.column("id").to_numpy(), labels, most), coded.dictionary
 
 
 QUERY = "query long, id long, label string, vector array<int>, low long, high long"
@@ -189,7 +189,7 @@ def _with_bounds(queries: DataFrame, sample: tuple[str, str], k: int, same: bool
         tiles = None
         for block in tables_of(batches, "vector", BLOCK):
             if tiles is None:
-                tiles = [_index(t) for t in blocks_of(*sample, ["id", "label", "vector"], TILE)]
+                tiles = [_index(t, BUCKET) for t in blocks_of(*sample, ["id", "label", "vector"], TILE)]
             found = Queries(block, k, same)
             for index, texts in tiles:
                 found.know(texts)
@@ -206,7 +206,7 @@ def _search(rows: DataFrame, queries: tuple[str, str], k: int, same: bool) -> Da
 
     def run(batches):
         for tile in tables_of(batches, "vector", TILE):
-            index, texts = _index(tile)
+            index, texts = _index(tile, BUCKET)
             for block in blocks_of(*queries, NAMES, BLOCK):
                 found = Queries(block, k, same)
                 found.know(texts)
