@@ -10,7 +10,7 @@ from tidemark.functions import canonical, dates, text
 from tidemark.functions.facts import with_fact_groups
 from tidemark.functions.urls import normalise_url
 from tidemark.operators import diff as diffs
-from tidemark.operators import digest, documents, identity, quality
+from tidemark.operators import digest, documents, identity, quality, seals
 from tidemark.operators.positions import repeated
 from tidemark.plans import importing, publishing
 from tidemark.session import materialise, spread
@@ -76,6 +76,24 @@ def snapshot_hashes(spark, sf_dir):
         dates.snapshot_id(approval, F.col("computedHash")).alias("snapshot_id"))
 
 
+def snapshot_seals(spark, sf_dir):
+    """Seals of any size: number of rows and multiset digest of every month."""
+    tables = B.monthly_tables(spark, sf_dir)
+    return seals.multiset_seals(tables.headers, tables.feeds, tables.opportunities).select(
+        F.col("snapshotKey").alias("snapshot_key"), F.col("rowCount").alias("n_rows"), F.col("rowState").alias("row_state"), F.col("computedHash").alias("seal"))
+
+
+def seal_after_changes(spark, sf_dir):
+    """The state of the following board from the state of the previous one and the rows that differ, never from the whole."""
+    previous, following = [frame.withColumn("snapshotKey", F.col("feedId")) for frame in B.board_pair(spark, sf_dir)]
+    moved = materialise(diffs.diff(previous, following).select("projectId"))
+    # the boards differ in verifiedAt everywhere, so it is no part of what is sealed here
+    plain = lambda frame: frame.withColumn("verifiedAt", F.lit(""))
+    before = seals.states(seals.row_digests(plain(previous)))
+    removed, added = [seals.row_digests(plain(frame).join(moved, "projectId", "left_semi")) for frame in (previous, following)]
+    return seals.after_changes(before, added, removed).select(F.col("snapshotKey").alias("feed_id"), F.col("n").alias("n_rows"), "state")
+
+
 # ------------------------------------------------------------------ rules
 def _named(violations):
     return violations.select(F.col("snapshotKey").alias("snapshot_key"), "path", "rule", "message")
@@ -286,7 +304,7 @@ def private_rows(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         snapshot_diff, diff_counts, removed_ids, identity_sets, review_queue, row_fingerprint, canonical_rows,
-        table_digest, copy_digest, snapshot_hashes, row_violations, feed_violations, header_violations,
+        table_digest, copy_digest, snapshot_hashes, snapshot_seals, seal_after_changes, row_violations, feed_violations, header_violations,
         count_violations, order_violations, duplicate_ids, stored_snapshot_gate, freshness, release_violations,
         release_identity, lineage_orphans, publication_plan, disallowed_datasets, iso_checks, deadline_normalised,
         key_parts, cycle_texts, fact_groups, identity_resolution, alias_coverage, alias_violations, import_candidate,

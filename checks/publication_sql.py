@@ -77,15 +77,40 @@ MONTHLY = FULL + """, mon as (
 
 _SEAL = MONTHLY + ", rows as (select key, string_agg(" + row_json(
     project_id="pid", website="web", verified="ver", deadline="dl") + """, ',' order by pos) as body from mon group by key),
-seal as (select head.*, sha256('{"counts":{"confirmedOpen":' || c_open || ',"confirmedUnknownDeadline":' || c_unknown || ',"expired":' || c_expired
+seal as (select head.*, case when octet_length(encode(body)) <= 16777216 then sha256('{"counts":{"confirmedOpen":' || c_open || ',"confirmedUnknownDeadline":' || c_unknown || ',"expired":' || c_expired
   || ',"pendingExcluded":' || c_pending || '},"defaultFeedId":"camp' || cyc || '","feeds":['
   || case when mo = 6 then '' else f || case when mo = 8 then ',' || f else '' end end
-  || '],"opportunities":[' || body || '],"scanAt":"' || scan_at || '","schemaVersion":' || version || '}') as computed
+  || '],"opportunities":[' || body || '],"scanAt":"' || scan_at || '","schemaVersion":' || version || '}') end as computed
   from head join rows using (key),
   lateral (select '{"admissionCycle":"' || case when mo = 7 then substr(cyc, 1, 3) || 'X' else cyc end || '","eventYear":' || cyc
     || ',"id":"camp' || cyc || '","label":"label"}' as f) q)
 """
 
+
+
+def _states(name: str, rows: str) -> str:
+    """Common table expressions for the multiset state of ``rows`` (g, body): sums of 24-bit lanes of four blocks."""
+    return f"""{name}_b as (select g, i, sha256(sha256(body) || ':' || i) as b from {rows}, range(4) t(i)),
+{name}_l as (select g, i * 10 + j as lane, sum(cast('0x' || substr(b, 1 + 6 * j, 6) as bigint)) % 16777216 as s, count(*) as n from {name}_b, range(10) u(j) group by g, i, j),
+{name} as (select g, cast(max(n) as bigint) as n, string_agg(printf('%06x', s), '' order by lane) as state from {name}_l group by g)"""
+
+
+_SEALS = MONTHLY + ", row_texts as (select key as g, " + row_json(project_id="pid", website="web", verified="ver", deadline="dl") + """ as body from mon),
+feed_texts as (select key as g, p || ':{"admissionCycle":"' || case when mo = 7 then substr(cyc, 1, 3) || 'X' else cyc end || '","eventYear":' || cyc
+    || ',"id":"camp' || cyc || '","label":"label"}' as body from head, range(2) t(p) where mo <> 6 and (p = 0 or mo = 8)),
+""" + _states("row_state", "row_texts") + ", " + _states("feed_state", "feed_texts") + """
+select key as snapshot_key, r.n as n_rows, r.state as row_state,
+  sha256('{"counts":{"confirmedOpen":' || c_open || ',"confirmedUnknownDeadline":' || c_unknown || ',"expired":' || c_expired || ',"pendingExcluded":' || c_pending
+  || '},"defaultFeedId":"camp' || cyc || '","feeds":{"n":' || coalesce(f.n, 0) || ',"state":"' || coalesce(f.state, repeat('0', 240)) || '"},"opportunities":{"n":' || r.n
+  || ',"state":"' || r.state || '"},"scanAt":"' || scan_at || '","schemaVersion":' || version || ',"scheme":"multiset-sha256"}') as seal
+from head join row_state r on r.g = key left join feed_state f on f.g = key"""
+
+_FOLLOWING = FULL + """, following as (select * replace (case when k % 11 = 5 then 'expired' else status end as status,
+    case when k % 7 = 3 then project || ' v2' else project end as project, case when k % 7 = 3 and k % 4 > 1 then description || ' v2' else description end as description,
+    case when k % 11 = 5 and ms is null then epoch_ms(d) + mins * 60000 else ms end as ms) from full_board where k % 10 <> 1),
+texts as (select feed_id as g, """ + row_json(verified="''") + """ as body from following),
+""" + _states("following_state", "texts") + " select g as feed_id, n as n_rows, state from following_state"
+
 _PATH = "'snapshot.opportunities[' || pos || ']"
 
 # (path suffix, rule, condition) over rows ``m`` of a month joined to their header.
@@ -189,6 +214,8 @@ select feed_id, sha256(string_agg(node || ':' || h, ',' order by node || ':' ||
 select sha256(string_agg(node || ':' || h, ',' order by node || ':' || h)) as digest, cast(sum(n) as bigint) as n_rows from m""",
     "snapshot_hashes": _SEAL + """select key as snapshot_key, computed as data_hash,
   strftime(make_timestamp(approved_ms * 1000), '%Y-%m-%dT%H:%M:%S.000Z-') || substr(computed, 1, 12) as snapshot_id from seal""",
+    "snapshot_seals": _SEALS,
+    "seal_after_changes": _FOLLOWING,
     "row_violations": MONTHLY + _ROWS,
     "feed_violations": MONTHLY + _FEEDS,
     "header_violations": MONTHLY + _HEADS,

@@ -6,7 +6,7 @@ import pytest
 from tests.helpers import FACT, OFFICIAL, batch_of, feeds, header, opportunities, opportunity, rows_of, scouting
 from tidemark import schema as S
 from tidemark.functions import canonical, dates
-from tidemark.operators import diff, digest, documents, quality
+from tidemark.operators import diff, digest, documents, quality, seals
 from tidemark.plans import publishing
 from tidemark.plans.importing import import_batch
 from tidemark.sources.snapshots import SnapshotTables, as_tables, read_snapshots
@@ -46,6 +46,63 @@ def test_canonical_json_tells_absent_from_null(spark):
     assert text == json.dumps(want, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def _sealed(spark, rows, **head):
+    return seals.multiset_seals(header(spark, **head), feeds(spark), opportunities(spark, rows)).first()
+
+
+def test_multiset_seal_depends_on_rows_and_header_alone(spark):
+    rows = [opportunity(projectId=f"2027|a|b|{i}") for i in range(40)] + [opportunity()] * 3
+    one = _sealed(spark, rows)
+    other = opportunities(spark, rows[::-1]).repartition(5)
+    assert seals.multiset_seals(header(spark), feeds(spark), other).first() == one and one["rowCount"] == 43
+    assert len(one["rowState"]) == 240
+    different = [_sealed(spark, rows[:-1]), _sealed(spark, rows + [opportunity()]), _sealed(spark, rows[1:] + [rows[0] | {"name": "x"}]), _sealed(spark, rows, scanAt="2026-07-16T00:00:00Z"), _sealed(spark, [])]
+    assert len({row["computedHash"] for row in [one, *different]}) == 6
+
+
+def test_seal_after_changes_equals_the_seal_of_the_whole(spark):
+    before = [opportunity(projectId=f"2027|a|b|{i}") for i in range(30)] + [opportunity(projectId="twice")] * 2
+    after = before[3:-1] + [before[0] | {"name": "changed"}, opportunity(projectId="new"), opportunity(projectId="new")]
+    out, put = before[:3] + before[-1:], after[-3:]
+    sealed = publishing.seal(SnapshotTables(header(spark), feeds(spark), opportunities(spark, before)), APPROVED_AT, None)
+    candidate = SnapshotTables(header(spark, counts=(9, 9, 9, 9)), feeds(spark), opportunities(spark, after))
+    whole = publishing.seal(candidate, APPROVED_AT, "before").headers
+    moved = publishing.seal(candidate, APPROVED_AT, "before", changes=publishing.Changes(sealed.headers, opportunities(spark, put), opportunities(spark, out))).headers
+    assert moved.first() == whole.first() and moved.first()["rowCount"] == len(after)
+    back = seals.seals_after(moved, header(spark), feeds(spark), opportunities(spark, out), opportunities(spark, put))
+    assert back.first()["computedHash"] == sealed.headers.first()["dataHash"]
+
+
+def test_every_scheme_is_verified(spark):
+    tables = SnapshotTables(header(spark), feeds(spark), opportunities(spark, [opportunity()]))
+    rules = lambda sealed, **change: {rule for _, rule in found(publishing.stored_violations(SnapshotTables(
+        sealed.headers.withColumns({k: F.lit(v) for k, v in change.items()}), sealed.feeds, sealed.opportunities))) if "hash" in rule or "id-" in rule or "scheme" in rule}
+    for scheme in (seals.MULTISET, seals.CANONICAL):
+        sealed = publishing.seal(tables, APPROVED_AT, None, scheme)
+        assert sealed.headers.first()["sealScheme"] == scheme and rules(sealed) == set()
+        assert rules(sealed, dataHash="0" * 64) == {"hash-match"}
+        assert rules(sealed, scanAt="2026-07-15T22:59:59+08:00") == {"hash-match", "id-derived"}
+        assert rules(sealed, sealScheme="other") == {"seal-scheme"}
+    canonical = publishing.seal(tables, APPROVED_AT, None, seals.CANONICAL)
+    old = SnapshotTables(canonical.headers.drop(*publishing.SEAL_COLUMNS), canonical.feeds, canonical.opportunities)
+    assert rules(old) == set()
+
+
+def test_a_snapshot_above_the_contracts_size_is_approved(spark, tmp_path):
+    n = 6000
+    one = opportunities(spark, [opportunity()]).drop("pos", "projectId", "description")
+    long = F.concat(F.lit("x "), F.repeat(F.sha2(F.col("pos").cast("string"), 256), 48))
+    rows = spark.range(n).select(F.col("id").alias("pos"), F.format_string("2027|a|b|%06d", "id").alias("projectId")).withColumn("description", long).crossJoin(one)
+    rows = rows.select(*opportunities(spark, []).columns)
+    tables = SnapshotTables(header(spark, counts=(n, 0, 0, 0)), feeds(spark), rows)
+    assert digest.payload_sizes(digest.row_json(rows)).first()["bytes"] > S.MAX_SNAPSHOT_BYTES
+    store = SnapshotStore(spark, str(tmp_path / "large"))
+    first = publishing.approve(store, tables, APPROVED_AT)
+    assert store.read(first).opportunities.count() == n
+    with pytest.raises(publishing.Refused, match="size limit"):
+        publishing.approve(SnapshotStore(spark, str(tmp_path / "contract")), tables, APPROVED_AT, seals.CANONICAL)
+
+
 def test_digest_tree_ignores_order_and_counts_copies(spark):
     frame = lambda items: spark.createDataFrame([(i,) for i in items], "json string")
     first = digest.content_digest(frame([str(i) for i in range(300)] + ["x"] * 500)).first()
@@ -99,8 +156,18 @@ def test_null_in_a_required_column_is_a_violation(spark):
     assert {path for path, rule in found(quality.header_violations(bad, feeds(spark), True)) if rule == "required"} == {
         f"snapshot.{c}" for c in ("scanAt", "defaultFeedId", "snapshotId", "approvedAt", "dataHash")}
     facts = [opportunity(materials=(None, "x")), opportunity(eventArrangement=(None, FACT, FACT)), opportunity(eventArrangement=None)]
-    broken = found(quality.opportunity_violations(opportunities(spark, facts), header(spark), feeds(spark)))
-    assert [(p.split("].")[1], r) for p, r in broken] == [("materials.status", "fact-status"), ("eventArrangement.mode", "arrangement-mode")]
+    broken = lambda version: [(p.split("].")[1], r) for p, r in found(
+        quality.opportunity_violations(opportunities(spark, facts), header(spark, schemaVersion=version), feeds(spark)))]
+    assert broken(1) == [("materials.status", "fact-status"), ("eventArrangement.mode", "arrangement-mode")]
+    assert broken(2) == broken(1) + [("eventArrangement", "required")]
+
+
+def test_null_elements_are_violations(spark):
+    rows = [opportunity(tags=["985", None]), opportunity(discoverySources=[OFFICIAL, (None, "x", "https://a.example/")]),
+            opportunity(discoverySources=[OFFICIAL, ("cs-baoyan", None, "https://a.example/")]), opportunity(discoverySources=[OFFICIAL, ("cs-baoyan", "x", None)])]
+    rows = [row | {"projectId": f"2027|a|b|{i}"} for i, row in enumerate(rows)]
+    got = quality.opportunity_violations(opportunities(spark, rows), header(spark), feeds(spark))
+    assert [r for _, r in sorted(found(got))] == ["tag-text", "source-kind", "source-label", "source-url"]
 
 
 def test_values_are_not_cast_with_a_loss(spark):

@@ -248,11 +248,25 @@ def private_row_values(opportunities: DataFrame) -> DataFrame:
     return _private_leaves_of(opportunities, text_leaves(), text.index_path("snapshot.opportunities", F.col("pos")))
 
 
-def private_values(headers: DataFrame, feeds: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """Violations for private values anywhere in a snapshot."""
+def suspect_leaves(leaves: Column) -> Column:
+    """The leaves which hold a private value as they stand or could in another spelling; most rows have none."""
+    return F.filter(leaves, lambda leaf: privacy.has_other_spelling(leaf["text"]) | privacy.private_kind(leaf["text"]).isNotNull())
+
+
+def private_suspects(facts: DataFrame) -> DataFrame:
+    """``private_row_values`` from rows whose ``suspects`` were taken before, see ``suspect_leaves``."""
+    return _private_leaves_of(facts, F.col("suspects"), text.index_path("snapshot.opportunities", F.col("pos")))
+
+
+def private_head_values(headers: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Violations for private values in headers and feeds."""
     named = lambda columns: F.filter(F.array(*[
         F.struct(F.lit(f".{name}").alias("path"), F.col(name).cast("string").alias("text")) for name in columns]),
         lambda item: item["text"].isNotNull())
     head = _private_leaves_of(headers, named(("scanAt", "defaultFeedId") + S.APPROVAL_KEYS), F.lit("snapshot"))
-    feed = _private_leaves_of(feeds, named(S.FEED_KEYS), text.index_path("snapshot.feeds", F.col("pos")))
-    return head.unionAll(feed).unionAll(private_row_values(opportunities))
+    return head.unionAll(_private_leaves_of(feeds, named(S.FEED_KEYS), text.index_path("snapshot.feeds", F.col("pos"))))
+
+
+def private_values(headers: DataFrame, feeds: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Violations for private values anywhere in a snapshot."""
+    return private_head_values(headers, feeds).unionAll(private_row_values(opportunities))

@@ -29,16 +29,25 @@ def rule(name: str, broken: Column, path: Column, message: str) -> Rule:
     return name, broken, path, message
 
 
-def violations(rows: DataFrame, rules: Sequence[Rule], key: str = "snapshotKey") -> DataFrame:
-    """Evaluate all rules in one pass over the rows."""
-    found = F.array_compact(F.array(*[
+def broken_rules(rules: Sequence[Rule]) -> Column:
+    """Array of (path, rule, message) of the broken ones."""
+    return F.array_compact(F.array(*[
         F.when(F.coalesce(broken, F.lit(False)),
                F.struct(path.alias("path"), F.lit(name).alias("rule"), F.lit(message).alias("message")))
         for name, broken, path, message in rules
     ]))
+
+
+def as_violations(rows: DataFrame, found: Column | str, key: str = "snapshotKey") -> DataFrame:
+    """The entries of an array of broken rules as rows."""
     return rows.select(key, F.explode(found).alias("v")).select(key, "v.path", "v.rule", "v.message")
 
 
+def violations(rows: DataFrame, rules: Sequence[Rule], key: str = "snapshotKey") -> DataFrame:
+    """Evaluate all rules in one pass over the rows."""
+    return as_violations(rows, broken_rules(rules), key)
+
+
 def _row_path(suffix: str = "") -> Column:
     return text.index_path("snapshot.opportunities", F.col("pos"), suffix)
 
@@ -74,17 +83,19 @@ def row_rules(as_of: Column) -> list[Rule]:
              _row_path(".verifiedAt"), "expected a valid ISO timestamp"),
         rule("official-source",
              ~F.exists(F.coalesce("discoverySources", F.array().cast(S.OPPORTUNITY["discoverySources"].dataType)),
-                       lambda source: source["kind"] == "official"),
+                       lambda source: source["kind"].eqNullSafe("official")),
              _row_path(".discoverySources"), "expected an explicit official discovery source"),
         rule("source-kind",
-             F.exists("discoverySources", lambda source: ~source["kind"].isin(*S.SOURCE_KINDS)),
+             F.exists("discoverySources", lambda source: ~F.coalesce(source["kind"].isin(*S.SOURCE_KINDS), F.lit(False))),
              _row_path(".discoverySources"), "expected an allowed value"),
         rule("source-url",
-             F.exists("discoverySources", lambda source: ~urls.is_public_url(source["url"])),
+             F.exists("discoverySources", lambda source: ~F.coalesce(urls.is_public_url(source["url"]), F.lit(False))),
              _row_path(".discoverySources"), "expected a parseable HTTP(S) URL"),
+        rule("source-label", F.exists("discoverySources", lambda source: source["label"].isNull()), _row_path(".discoverySources"), "missing value"),
+        rule("tag-text", F.exists("tags", lambda tag: tag.isNull()), _row_path(".tags"), "expected an array of strings"),
         rule("source-denied",
              F.exists("discoverySources", lambda source: (source["kind"] == "official")
-                      & urls.is_denied_host(source["url"], S.DENIED_OFFICIAL_HOSTS)),
+                      & F.coalesce(urls.is_denied_host(source["url"], S.DENIED_OFFICIAL_HOSTS), F.lit(False))),
              _row_path(".discoverySources"), "denied discovery host cannot be an official source"),
         rule("arrangement-mode", F.col("eventArrangement").isNotNull() & ~F.coalesce(F.col("eventArrangement.mode").isin(*S.EVENT_MODES), F.lit(False)), _row_path(".eventArrangement.mode"),
              "expected an allowed value"),
@@ -116,13 +127,19 @@ def row_rules(as_of: Column) -> list[Rule]:
 def header_columns(headers: DataFrame) -> DataFrame:
     """Parsed header clocks, joined to rows by snapshotKey; small next to the rows, broadcast when its size allows."""
     return headers.select(
-        "snapshotKey", dates.iso_to_ms(F.col("scanAt")).alias("_scanMs"),
+        "snapshotKey", F.col("schemaVersion").alias("_version"), dates.iso_to_ms(F.col("scanAt")).alias("_scanMs"),
         dates.iso_to_ms(F.col("approvedAt")).alias("_approvedMs"))
 
 
 def opportunity_violations(opportunities: DataFrame, headers: DataFrame, feeds: DataFrame,
                            as_of: Column | None = None) -> DataFrame:
-    """Row rules, feed membership and chronology of all snapshots at once.
+    """Row rules, feed membership and chronology of all snapshots at once, see ``judged_opportunities``."""
+    return as_violations(judged_opportunities(opportunities, headers, feeds, as_of), "found")
+
+
+def judged_opportunities(opportunities: DataFrame, headers: DataFrame, feeds: DataFrame,
+                         as_of: Column | None = None) -> DataFrame:
+    """The rows with ``found``, the rules each of them breaks.
 
     Without ``as_of`` a stored snapshot is judged at its own approval time, a candidate at its scan time.
     """
@@ -137,10 +154,11 @@ def opportunity_violations(opportunities: DataFrame, headers: DataFrame, feeds:
         rule("key-feed-cycle", text.has_four_parts(F.col("projectId"))
              & (text.first_part(F.col("projectId")) != F.col("_cycle")),
              _row_path(".projectId"), "leading segment must match feed admissionCycle"),
+        rule("required", (F.col("_version") == 2) & F.col("eventArrangement").isNull(), _row_path(".eventArrangement"), "missing value"),
         rule("verified-scan", verified > F.col("_scanMs"), _row_path(".verifiedAt"), "must not be after snapshot.scanAt"),
         rule("verified-approval", verified > F.col("_approvedMs"), _row_path(".verifiedAt"), "must not be after snapshot.approvedAt"),
     ]
-    return violations(rows, rules)
+    return rows.withColumn("found", broken_rules(rules))
 
 
 def feed_violations(feeds: DataFrame) -> DataFrame:
@@ -284,9 +302,16 @@ def freshness(headers: DataFrame, as_of_ms: Column, warn_age_ms: int, max_age_ms
     )
 
 
-def release_rules() -> list[Rule]:
-    """Rules of a release record (releaseSha, snapshotId, dataHash)."""
-    return [
+def release_rules(record: str | None = None) -> list[Rule]:
+    """Rules of a release record (releaseSha, snapshotId, dataHash).
+
+    ``record`` names the column with the record's JSON text, whose keys then have to be exactly the contract's; without one the record is a
+    row of a table, which has no other keys.
+    """
+    exact = [] if record is None else [
+        rule("release-keys", ~F.coalesce(F.array_sort(F.json_object_keys(record)) == text.literal_array(S.RELEASE_KEYS), F.lit(False)), F.lit("release"),
+             "must have exactly the keys " + ", ".join(S.RELEASE_KEYS))]
+    return exact + [
         rule("release-sha", ~F.coalesce(F.col("releaseSha").rlike(SHA_PATTERN), F.lit(False)), F.lit("releaseSha"), "has an invalid format"),
         rule("release-id", ~F.coalesce(is_snapshot_id(F.col("snapshotId")), F.lit(False)), F.lit("snapshotId"), "has an invalid format"),
         rule("release-hash", ~F.coalesce(F.col("dataHash").rlike(LOWER_HASH_PATTERN), F.lit(False)), F.lit("dataHash"), "has an invalid format"),
