@@ -3,12 +3,14 @@
 A single space behind a visible character always begins a new pre-token of the byte-level pattern, so a text may be cut before every
 such space; likewise before a mark (but an apostrophe) behind an ASCII letter or digit, and on both sides of a single line feed between visible
 characters.  Texts with a space inside a longer run of white space, or with the
-string of a special token, are encoded whole.  Stretches are found and compared as bytes: equal
+string of a special token, are encoded whole.  A text of any length is first cut into tiles at such places, so that the arrays of one tile
+are all that is held beside the ids; only a stretch without any is taken as long as it is.  Files of tokenizers with another pattern are used as they are, text by text.  Stretches are found and compared as bytes: equal
 hashes only suggest equal stretches, the bytes decide.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,8 +20,13 @@ import numpy as np
 _RUN = re.compile(r"\s (?:\s|\Z)")
 #: Longer stretches are not cached; their texts are encoded whole.
 _LONGEST = 512
-_CACHED = 600_000
+#: Bytes of cached stretches, their ids and what Python holds for each.
+_CACHED, _ENTRY = 48 << 20, 160
 _JOINED = 2_000
+#: Bytes of texts, or of a tile of a long one, that are encoded at once.
+TILE = 1 << 20
+#: Before such a place a new pre-token begins, whatever lies around.
+_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])|(?<=[A-Za-z0-9À-ÖØ-öø-ÿА-я一-龥])(?=[.,;:!?。，、；：！？])")
 
 #: Bytes by kind: ASCII letters and digits, ASCII marks but the apostrophe, ASCII visible, and what a visible character may start with.
 _WORD, _MARK, _SEEN, _LEADS = (np.zeros(256, dtype=bool) for _ in range(4))
@@ -49,6 +56,11 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        pattern = parts.get("pre_tokenizer") or {}
+        #: Whether texts may be cut as described above.
+        self.cuttable = parts.get("normalizer") is None and pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         words = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(words.values()) + 1, dtype=bool)
@@ -57,7 +69,7 @@ class SegmentEncoder:
         self.begin = np.zeros(1024, dtype=np.int64)
         self.count = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.n = self.used = 0
+        self.n = self.used = self.held = 0
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,8 +101,41 @@ class SegmentEncoder:
             out[i] = ids
         return out
 
+    def tiles(self, text: str):
+        """The text in pieces of about ``TILE`` bytes, cut where a new pre-token begins."""
+        begin, step = 0, TILE // 4
+        while len(text) - begin > step and (found := _CUT.search(text, begin + step)):
+            # a special token has no place to cut within: it would have to hold a mark behind a letter
+            yield text[begin:found.start()]
+            begin = found.start()
+        yield text[begin:]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and the number of each text."""
+        numbers = np.zeros(len(texts), dtype=np.int64)
+        if not self.cuttable or any(_CUT.search(x) for x in self.special):
+            found = self.plain(texts)
+            numbers[:] = [len(ids) for ids in found]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), numbers
+        out, group, owners, size = [np.zeros(0, np.uint32)], [], [], 0
+        for i, text in enumerate(texts):
+            for piece in self.tiles(text):
+                if group and size + 4 * len(piece) > TILE:
+                    out.append(self._add(group, owners, numbers))
+                    group, owners, size = [], [], 0
+                group.append(piece)
+                owners.append(i)
+                size += len(piece) if piece.isascii() else 4 * len(piece)
+        if group:
+            out.append(self._add(group, owners, numbers))
+        return np.concatenate(out), numbers
+
+    def _add(self, group: list[str], owners: list[int], numbers: np.ndarray) -> np.ndarray:
+        ids, counts = self._encode(group)
+        np.add.at(numbers, owners, counts)
+        return ids
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raws = [t.encode() for t in texts]
         raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
         sizes = np.array([len(r) for r in raws], dtype=np.int64)
@@ -142,8 +187,11 @@ class SegmentEncoder:
         known, mark = self.known, (self.n, self.used)
         at = np.fromiter((known.get(s, -1) for s in distinct), dtype=np.int64, count=len(distinct))
         lacking = np.flatnonzero(at < 0).tolist()
-        keep = len(known) + len(lacking) <= _CACHED
-        for i, ids in zip(lacking, self._encode_new([distinct[i] for i in lacking])):
+        new = self._encode_new([distinct[i] for i in lacking])
+        more = sum(_ENTRY + len(distinct[i]) + 4 * len(ids) for i, ids in zip(lacking, new))
+        keep = self.held + more <= _CACHED
+        self.held += more * keep
+        for i, ids in zip(lacking, new):
             at[i] = self._store(ids)
             if keep:
                 known[distinct[i]] = int(at[i])
