@@ -1,9 +1,10 @@
 """Sum-of-squares packing of documents into windows, online in the task that tokenises them.
 
 Each document is cut into whole windows and a rest.  The rest goes to the fill level (or a new window) for which the sum of the squared
-numbers of partly filled windows, kept in an array by level, becomes smallest; of equal choices the fullest.  A task holds back
-as many tokens as its open windows lack: at its end these documents are cut to fill the windows, fullest first, so that a task leaves one
-padded window.  A task with less than that fills its windows in turn.  Nothing is shuffled; a repeated task packs the same way.
+numbers of partly filled windows, kept in an array by level, becomes smallest; of equal choices the fullest.  A window's pieces are given out once it is
+full.  At the end of a task the pieces of the windows that are still open are dealt anew: cut to fill them, fullest first, so that a task leaves one
+padded window.  Open windows hold at most ``HELD`` tokens (sizes that never fit each other would open windows without end); at that
+point they are dealt anew too.  Nothing is shuffled; a repeated task packs the same way.
 
 Defined results: a null or empty text is its end id alone; repeated ids and equal rows are packed each; an empty table gives no rows.
 """
@@ -11,7 +12,6 @@ Defined results: a null or empty text is its end id alone; repeated ids and equa
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from tidemark.llm.bpe import encoder
 from tidemark.llm.common import boxed, slices
 
 WINDOW, END_ID = 2048, 1
-#: Tokens held back at least, so that small tasks pad one window too.
-HELD = 1 << 16
+#: Tokens in open windows at most, 16 MiB of ids.
+HELD = 1 << 22
 #: Windows of one task are numbered from its partition times this.
 SEQUENCES = 1 << 33
 
@@ -68,37 +68,69 @@ class SumOfSquares:
             self.open[level + size].append(sequence)
         return sequence, level
 
-    def rest(self) -> list[tuple[int, int]]:
-        """The open windows with their levels, fullest first."""
-        return [(sequence, level) for level in range(self.window - 1, 0, -1) for sequence in self.open[level]]
+    def close(self) -> list[int]:
+        """The open windows, fullest first; none is open afterwards."""
+        out = [sequence for level in range(self.window - 1, 0, -1) for sequence in self.open[level]]
+        self.counts[:] = 0
+        for own in self.open:
+            own.clear()
+        self.holes = 0
+        return out
+
+    def reopen(self, sequence: int, level: int) -> None:
+        """A closed window is open again, filled up to ``level``."""
+        self.counts[level] += 1
+        self.open[level].append(sequence)
+        self.holes += self.window - level
 
 
 def pack_stream(docs, window: int, held: int = HELD):
     """For an iterator of (key, ids): tuples of key, start, ids of the piece, ids of the document, window number, offset."""
-    packer, waiting, tokens = SumOfSquares(window), deque(), 0
+    packer, waiting, tokens = SumOfSquares(window), {}, 0
+
+    def deal(last: bool):
+        """Pieces of the open windows one behind the other into as few of them as they need; the one not filled stays open unless it is the ``last`` time."""
+        sequences = packer.close()
+        pieces = [piece for sequence in sequences for piece in waiting.pop(sequence)]
+        at, level, own = 0, 0, []
+        for key, start, ids, n in pieces:
+            done = 0
+            while done < len(ids):
+                part = ids[done:done + window - level]
+                own.append((key, start + done, part, n))
+                done, level = done + len(part), level + len(part)
+                if level == window:
+                    yield from given(own, sequences[at])
+                    at, level, own = at + 1, 0, []
+        if last:
+            yield from given(own, sequences[at] if own else 0)
+        elif own:
+            packer.reopen(sequences[at], level)
+            waiting[sequences[at]] = own
+
+    def given(pieces, sequence):
+        offset = 0
+        for key, start, ids, n in pieces:
+            yield key, start, ids, n, sequence, offset
+            offset += len(ids)
+
     for key, ids in docs:
-        waiting.append((key, ids))
-        tokens += len(ids)
-        while tokens - len(waiting[0][1]) >= max(held, packer.holes):
-            key, ids = waiting.popleft()
-            tokens -= len(ids)
-            whole = len(ids) - len(ids) % window
-            for start in range(0, whole, window):
-                yield key, start, ids[start:start + window], len(ids), packer.new(), 0
-            if whole < len(ids):
-                yield key, whole, ids[whole:], len(ids), *packer.place(len(ids) - whole)
-    gaps = iter(packer.rest())
-    sequence, level = next(gaps, (None, 0))
-    for key, ids in waiting:
-        start = 0
-        while start < len(ids):
-            if sequence is None:
-                sequence, level = packer.new(), 0
-            piece = ids[start:start + window - level]
-            yield key, start, piece, len(ids), sequence, level
-            start, level = start + len(piece), level + len(piece)
-            if level == window:
-                sequence, level = next(gaps, (None, 0))
+        whole = len(ids) - len(ids) % window
+        for start in range(0, whole, window):
+            yield key, start, ids[start:start + window], len(ids), packer.new(), 0
+        if whole == len(ids):
+            continue
+        rest = ids[whole:].copy()  # a view would keep the whole document
+        sequence, level = packer.place(len(rest))
+        waiting.setdefault(sequence, []).append((key, whole, rest, len(ids)))
+        tokens += len(rest)
+        if level + len(rest) == window:
+            yield from given(waiting.pop(sequence), sequence)
+            tokens -= window
+        elif tokens > held:
+            yield from deal(False)
+            tokens %= window
+    yield from deal(True)
 
 
 NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
