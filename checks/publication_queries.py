@@ -132,6 +132,12 @@ def stored_snapshot_gate(spark, sf_dir):
     return found.groupBy(F.col("snapshotKey").alias("snapshot_key"), "rule").agg(F.count("*").alias("n"))
 
 
+def document_gate(spark, sf_dir):
+    """Every violation of raw candidate documents: shape, types, values, order, counts and private texts."""
+    found = publishing.document_violations(B.board_documents(spark, sf_dir), approved=False, as_of=F.lit(B.AS_OF_MS).cast("bigint"))
+    return _named(found).drop("message")
+
+
 def freshness(spark, sf_dir):
     headers = B.monthly_tables(spark, sf_dir).headers
     return quality.freshness(headers, F.lit(B.AS_OF_MS).cast("bigint"), 30 * S.MS_PER_DAY, 365 * S.MS_PER_DAY).select(
@@ -305,7 +311,7 @@ QUERIES = {
     f.__name__: f for f in (
         snapshot_diff, diff_counts, removed_ids, identity_sets, review_queue, row_fingerprint, canonical_rows,
         table_digest, copy_digest, snapshot_hashes, snapshot_seals, seal_after_changes, row_violations, feed_violations, header_violations,
-        count_violations, order_violations, duplicate_ids, stored_snapshot_gate, freshness, release_violations,
+        count_violations, order_violations, duplicate_ids, stored_snapshot_gate, document_gate, freshness, release_violations,
         release_identity, lineage_orphans, publication_plan, disallowed_datasets, iso_checks, deadline_normalised,
         key_parts, cycle_texts, fact_groups, identity_resolution, alias_coverage, alias_violations, import_candidate,
         import_header, import_feeds, import_row_violations, import_gate, repeated_documents, private_rows,

@@ -156,6 +156,22 @@ _DUPS = f"select key as snapshot_key, {_PATH}.projectId' as path, 'key-unique' a
 _FEEDS = """select key as snapshot_key, 'snapshot.feeds[0].admissionCycle' as path, 'feed-cycle' as rule, 'expected exactly four digits' as message from head where mo = 7
 union all select key, 'snapshot.feeds[1].id', 'feed-unique', 'duplicate feed ID' from head where mo = 8"""
 
+# Candidate documents of 64 neighbouring order keys with planted faults: (path suffix, rule, condition) over their rows.
+_DOCUMENTS = BOARD + """, mon as (select *, 'b' || (k // 64) as key, k // 64 as b, row_number() over (partition by k // 64 order by k) - 1 as pos from board),
+doc as (select key, b, count(distinct feed_id) as n_feeds from mon group by key, b)"""
+_DOCUMENT_ROWS = " union all ".join(
+    f"select key as snapshot_key, {_PATH}{suffix}' as path, '{rule}' as rule from mon where {cond}" for suffix, rule, cond in [
+        (".extra", "exact-keys", "k % 31 = 0"), (".name", "field-type", "k % 37 = 0"), (".name", "required", "k % 37 = 0"),
+        (".tags", "field-type", "k % 41 = 0"), (".tags", "required", "k % 41 = 0"), (".logistics.summary", "exact-keys", "k % 43 = 0"),
+        (".website", "exact-keys", "k % 47 = 0 and k % 31 <> 0"), (".website", "required", "k % 47 = 0 and k % 31 <> 0"), (".website", "website-url", "k % 47 = 0 and k % 31 <> 0"), (".description", "private-value", "k % 53 = 0"),
+        (".discoverySources", "official-source", "not has_official"), ("", "open-future", "status = 'confirmed-open' and ms <= 899251200000"),
+        ("", "expired-past", "status = 'expired' and ms > 899251200000")])
+_DOCUMENT_HEADS = " union all ".join(
+    f"select key, 'snapshot.{path}', '{rule}' from doc where {cond}" for path, rule, cond in [
+        ("note", "exact-keys", "b % 11 = 0"), ("scanAt", "field-type", "b % 13 = 0"), ("scanAt", "required", "b % 13 = 0"), ("counts.confirmedOpen", "count-match", "b % 7 = 0")])
+_DOCUMENT_FEEDS = " union all ".join(
+    f"select key, 'snapshot.feeds[' || i || '].eventYear', '{rule}' from doc, lateral (select unnest(range(n_feeds)) as i) where b % 17 = 0" for rule in ("field-type", "required"))
+
 # Scouting rows: fields of the import and their expected meaning.
 SCOUT = BOARD + """, sc as (
   select s.k, s.st, s.cycle, s.n_name, s.seg, s.pri, o.o_custkey as c, s.d,
@@ -323,6 +339,8 @@ union all select 'snapshot.opportunities[' || k || '].description', 'contains a
 union all select 'snapshot.opportunities[' || k || '].description', 'contains a file URI' from board where k % 107 = 0 and k % 103 <> 0 and k % 101 <> 0
 union all select 'snapshot.opportunities[' || k || '].tags[0]', 'contains a user-local path' from board where k % 109 = 0""",
 }
+_ORDERED = _ORDER.split("\nselect key as snapshot_key", 1)
+SQL["document_gate"] = _DOCUMENTS + _ORDERED[0] + "\n" + _DOCUMENT_ROWS + " union all " + _DOCUMENT_HEADS + " union all " + _DOCUMENT_FEEDS + " union all select key as snapshot_key" + _ORDERED[1]
 _O = _ORDER.split("\nselect key as snapshot_key", 1)
 SQL["stored_snapshot_gate"] = (
     _SEAL.replace(", rows as (", _O[0] + ", rows as (", 1)

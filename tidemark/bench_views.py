@@ -192,6 +192,40 @@ def monthly_tables(spark: SparkSession, sf_dir: str):
     return SnapshotTables(headers, feeds, opportunities)
 
 
+def board_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshotKey, doc VARIANT): candidate documents of the orders of 64 neighbouring keys, with planted faults of shape, type and value.
+
+    Their number grows with the orders, the size of each does not.
+    """
+    from tidemark.functions.canonical import canonical_json
+
+    key = F.col("_k")
+    rows = as_board(orders_enriched(spark, sf_dir), F.col("o_orderkey").alias("_k")).withColumn(
+        "description", F.when(key % 53 == 0, "write to a@b.example").otherwise(F.col("description")))
+    body = canonical_json(S.OPPORTUNITY)
+    for number, pattern, other in (
+        (31, r"\}$", ',"extra":1}'), (37, r'"name":"[^"]*"', '"name":5'), (41, r'"tags":\[[^\]]*\]', '"tags":["x",1]'),
+        (43, r'"logistics":\{"status":"confirmed","summary":"yes"\}', '"logistics":{"status":"confirmed"}'), (47, r',"website":"[^"]*"\}$', "}"),
+    ):
+        body = F.when(key % number == 0, F.regexp_replace(body, pattern, other)).otherwise(body)
+    slim = rows.select((key - key % 64).alias("b"), key.alias("k"), "feedId", "verificationStatus", body.alias("body"))
+    number = F.floor(F.col("b") / 64)
+    count = lambda status: F.count_if(F.col("verificationStatus") == status)
+    blocks = slim.groupBy("b").agg(
+        F.array_sort(F.collect_list(F.struct("k", "body"))).alias("rows"), F.array_sort(F.collect_set("feedId")).alias("feeds"),
+        count(S.OPEN).alias("n_open"), count(S.UNKNOWN_DEADLINE).alias("n_unknown"), count(S.EXPIRED).alias("n_expired"))
+    cycle = lambda feed: F.substring(feed, 5, 4)
+    feeds = F.array_join(F.transform("feeds", lambda feed: F.concat(
+        F.lit('{"id":"'), feed, F.lit('","label":"x","admissionCycle":"'), cycle(feed), F.when(number % 17 == 0, '","eventYear":"').otherwise('","eventYear":'),
+        cycle(feed), F.when(number % 17 == 0, '"}').otherwise("}"))), ",")
+    text = F.concat(
+        F.lit('{"schemaVersion":2,"scanAt":'), F.when(number % 13 == 0, "5").otherwise('"1998-07-01T00:00:00Z"'), F.lit(',"defaultFeedId":"'), F.element_at("feeds", 1),
+        F.lit('","feeds":['), feeds, F.lit('],"counts":{"confirmedOpen":'), (F.col("n_open") + F.when(number % 7 == 0, 1).otherwise(0)).cast("string"),
+        F.lit(',"confirmedUnknownDeadline":'), F.col("n_unknown").cast("string"), F.lit(',"pendingExcluded":0,"expired":'), F.col("n_expired").cast("string"),
+        F.lit('},"opportunities":['), F.array_join(F.transform("rows", lambda row: row["body"]), ","), F.when(number % 11 == 0, '],"note":1}').otherwise("]}"))
+    return blocks.select(F.concat(F.lit("b"), number.cast("string")).alias("snapshotKey"), F.parse_json(text).alias("doc"))
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One release record for each month; some malformed, some of unknown snapshots or with another hash."""
     headers = monthly_tables(spark, sf_dir).headers

@@ -22,41 +22,54 @@ LEAF_COLUMNS = ["doc_id", "path", "key", "value", "depth", "nodes"]
 _LEAVES = "path string, key string, value string, depth int, nodes bigint"
 
 
-def key_violations(objects: DataFrame, allowed: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """(snapshotKey, path, json) -> unknown and missing keys of each object, as violations."""
-    keys = F.json_object_keys(F.col("json"))
-    pairs = F.concat(
-        F.transform(F.array_except(keys, text.literal_array(allowed)),
-                    lambda key: F.struct(key.alias("key"), F.lit("unknown property").alias("message"))),
-        F.transform(F.array_except(text.literal_array(required), keys),
-                    lambda key: F.struct(key.alias("key"), F.lit("missing property").alias("message"))))
-    not_object = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("expected an object").alias("message")))
-    found = objects.select("snapshotKey", "path", F.explode(F.when(keys.isNull(), not_object).otherwise(pairs)).alias("v"))
-    return found.select(
-        "snapshotKey", F.concat_ws(".", "path", "v.key").alias("path"), F.lit("exact-keys").alias("rule"),
-        F.col("v.message").alias("message"))
+Found = "array<struct<path:string,rule:string,message:string>>"
 
 
-def type_violations(objects: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """(snapshotKey, path, doc VARIANT): each present key must have its type: string, string?, number, number?,
+def _found(path: Column, name: str, message: Column) -> Column:
+    return F.struct(path.alias("path"), F.lit(name).alias("rule"), message.alias("message"))
+
+
+def broken_keys(body: Column, path: Column, allowed: Sequence[str], required: Sequence[str]) -> Column:
+    """Array of (path, rule, message) for unknown and missing keys of the object with JSON text ``body``."""
+    keys = F.json_object_keys(body)
+    unknown = F.transform(F.array_except(keys, text.literal_array(allowed)), lambda key: _found(F.concat_ws(".", path, key), "exact-keys", F.lit("unknown property")))
+    missing = F.transform(F.array_except(text.literal_array(required), keys), lambda key: _found(F.concat_ws(".", path, key), "exact-keys", F.lit("missing property")))
+    return F.when(keys.isNull(), F.array(_found(path, "exact-keys", F.lit("expected an object")))).otherwise(F.concat(unknown, missing)).cast(Found)
+
+
+TYPE_PATTERNS = {
+    "string": ("^STRING$", "expected a string"),
+    "string?": ("^(STRING|VOID)$", "expected a string or null"),
+    "number": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "expected a finite number"),
+    "number?": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)", "expected a finite number or null"),
+    "array": ("^ARRAY", "expected an array"),
+}
+
+
+def broken_types(doc: Column, path: Column, expected: dict[str, str]) -> Column:
+    """Array of (path, rule, message) for the present keys of a VARIANT object without their type: string, string?, number, number?,
     array, strings (an array of them)."""
-    patterns = {
-        "string": ("^STRING$", "expected a string"),
-        "string?": ("^(STRING|VOID)$", "expected a string or null"),
-        "number": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "expected a finite number"),
-        "number?": ("^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)", "expected a finite number or null"),
-        "array": ("^ARRAY", "expected an array"),
-    }
-    tests = [(key, *patterns["array" if kind == "strings" else kind]) for key, kind in expected.items()]
+    tests = [(key, *TYPE_PATTERNS["array" if kind == "strings" else kind]) for key, kind in expected.items()]
     # only an array can have elements of a wrong type
     tests += [(key, "^(ARRAY<(STRING|VOID)>|[^A].*)$", "expected an array of strings") for key, kind in expected.items() if kind == "strings"]
-    found = F.array_compact(F.array(*[
-        F.when(~variant_type(F.col("doc"), key).rlike(pattern), F.struct(F.lit(key).alias("key"), F.lit(message).alias("message")))
+    return F.array_compact(F.array(*[
+        F.when(~variant_type(doc, key).rlike(pattern), _found(F.concat(path, F.lit(f".{key}")), "field-type", F.lit(message)))
         for key, pattern, message in tests
-    ]))
-    return objects.select("snapshotKey", "path", F.explode(found).alias("v")).select(
-        "snapshotKey", F.concat("path", F.lit("."), "v.key").alias("path"), F.lit("field-type").alias("rule"),
-        F.col("v.message").alias("message"))
+    ])).cast(Found)
+
+
+def _as_rows(objects: DataFrame, found: Column) -> DataFrame:
+    return objects.select("snapshotKey", F.explode(found).alias("v")).select("snapshotKey", "v.path", "v.rule", "v.message")
+
+
+def key_violations(objects: DataFrame, allowed: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """(snapshotKey, path, json) -> unknown and missing keys of each object, as violations."""
+    return _as_rows(objects, broken_keys(F.col("json"), F.col("path"), allowed, required))
+
+
+def type_violations(objects: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(snapshotKey, path, doc VARIANT) -> present keys of a wrong type, see ``broken_types``."""
+    return _as_rows(objects, broken_types(F.col("doc"), F.col("path"), expected))
 
 
 OPPORTUNITY_TYPES = {
@@ -69,57 +82,60 @@ HEADER_TYPES = {"scanAt": "string", "defaultFeedId": "string", "feeds": "array",
 APPROVAL_TYPES = {"snapshotId": "string", "approvedAt": "string", "previousSnapshotId": "string?", "dataHash": "string"}
 
 
-def _element(docs: DataFrame, key: str) -> DataFrame:
-    """Elements of an array key with their path."""
-    items = F.try_variant_get("doc", f"$.{key}", "array<variant>")
-    return docs.select("snapshotKey", "version", F.posexplode(items).alias("pos", "doc")).select(
-        "snapshotKey", "version", text.index_path(f"snapshot.{key}", F.col("pos")).alias("path"), "doc")
+def _child(doc: Column, key: str) -> Column:
+    return F.try_variant_get(doc, f"$.{key}", "variant")
+
+
+def _broken_facts(doc: Column, path: Column, keys: Sequence[str]) -> list[Column]:
+    """Keys and types of the fact objects under ``keys``; an absent one is named by its path."""
+    out = []
+    for key in keys:
+        own, at = _child(doc, key), F.concat(path, F.lit(f".{key}"))
+        out += [broken_keys(F.to_json(own), at, S.FACT_KEYS, S.FACT_KEYS), broken_types(own, at, {"status": "string", "summary": "string"})]
+    return out
+
+
+def broken_opportunity_shape(doc: Column, path: Column, version: Column) -> Column:
+    """Exact keys and types of an opportunity object and of all objects in it."""
+    body, arrangement, at = F.to_json(doc), _child(doc, "eventArrangement"), F.concat(path, F.lit(".eventArrangement"))
+    old = broken_keys(body, path, S.OPPORTUNITY_KEYS_V1 + ("province",), S.OPPORTUNITY_KEYS_V1)
+    new = F.concat(
+        broken_keys(body, path, S.OPPORTUNITY_KEYS_V2 + ("province",), S.OPPORTUNITY_KEYS_V2),
+        broken_keys(F.to_json(arrangement), at, S.ARRANGEMENT_KEYS, S.ARRANGEMENT_KEYS), *_broken_facts(arrangement, at, ("time", "formatLocation")))
+    link = lambda source, i: (lambda where: F.concat(
+        broken_keys(F.to_json(source), where, S.SOURCE_KEYS, S.SOURCE_KEYS), broken_types(source, where, {key: "string" for key in S.SOURCE_KEYS})))(
+        F.concat(path, F.lit(".discoverySources["), i.cast("string"), F.lit("]")))
+    links = F.coalesce(F.flatten(F.transform(F.try_variant_get(doc, "$.discoverySources", "array<variant>"), link)), F.array().cast(Found))
+    return F.concat(F.when(version == 1, old).otherwise(new), *_broken_facts(doc, path, ("logistics", "recommendation", "materials")), broken_types(doc, path, OPPORTUNITY_TYPES), links)
+
+
+def broken_head_shape(doc: Column, approved: bool) -> Column:
+    """Exact keys and types of a snapshot object, its counts and its feeds; opportunities are looked at one by one."""
+    keys = S.CANDIDATE_KEYS + (S.APPROVAL_KEYS if approved else ())
+    root = F.lit("snapshot")
+    feed = lambda item, i: (lambda where: F.concat(broken_keys(F.to_json(item), where, S.FEED_KEYS, S.FEED_KEYS), broken_types(item, where, FEED_TYPES)))(
+        text.index_path("snapshot.feeds", i))
+    feeds = F.coalesce(F.flatten(F.transform(F.try_variant_get(doc, "$.feeds", "array<variant>"), feed)), F.array().cast(Found))
+    return F.concat(
+        broken_keys(F.to_json(doc), root, keys, keys), broken_keys(F.to_json(_child(doc, "counts")), F.lit("snapshot.counts"), S.COUNT_KEYS, S.COUNT_KEYS),
+        feeds, broken_types(doc, root, HEADER_TYPES | (APPROVAL_TYPES if approved else {})))
 
 
-def _child(docs: DataFrame, *keys: str) -> DataFrame:
-    """Sub-objects under the given keys; an absent one is an object without keys named by its path."""
-    steps = F.array(*[
-        F.struct(F.concat("path", F.lit(f".{key}")).alias("path"),
-                 F.try_variant_get("doc", f"$.{key}", "variant").alias("doc")) for key in keys])
-    return docs.select("snapshotKey", F.explode(steps).alias("c")).select("snapshotKey", "c.path", "c.doc")
+def document_version(doc: Column) -> Column:
+    return F.when(F.try_variant_get(doc, "$.schemaVersion", "double") == 1, 1).otherwise(2)
 
 
-def _json(docs: DataFrame) -> DataFrame:
-    return docs.select("snapshotKey", "path", F.to_json("doc").alias("json"))
+def opportunity_items(documents: DataFrame) -> DataFrame:
+    """(snapshotKey, other columns, version, pos, item VARIANT) of all opportunities of (snapshotKey, doc, ...)."""
+    others = [name for name in documents.columns if name not in ("snapshotKey", "doc")]
+    return documents.select("snapshotKey", *others, document_version(F.col("doc")).alias("version"), F.posexplode(F.try_variant_get("doc", "$.opportunities", "array<variant>")).alias("pos", "item"))
 
 
 def shape_violations(documents: DataFrame, approved: bool) -> DataFrame:
-    """(snapshotKey, doc VARIANT) of whole snapshots -> exact keys and field types at every level."""
-    version = F.when(F.try_variant_get("doc", "$.schemaVersion", "double") == 1, 1).otherwise(2)
-    docs = documents.select("snapshotKey", "doc", F.lit("snapshot").alias("path"), version.alias("version"))
-    head_keys = S.CANDIDATE_KEYS + (S.APPROVAL_KEYS if approved else ())
-    rows, feeds = _element(docs, "opportunities"), _element(docs, "feeds")
-    old, new = rows.where("version = 1"), rows.where("version = 2")
-    facts = _child(rows, "logistics", "recommendation", "materials")
-    arrangements = _child(new, "eventArrangement")
-    arrangement_facts = _child(arrangements, "time", "formatLocation")
-    links = rows.select("snapshotKey", "path", F.posexplode(F.try_variant_get("doc", "$.discoverySources", "array<variant>")).alias("i", "doc")).select(
-        "snapshotKey", F.concat("path", F.lit(".discoverySources["), F.col("i").cast("string"), F.lit("]")).alias("path"), "doc")
-    checks = [
-        key_violations(_json(docs), head_keys, head_keys),
-        key_violations(_json(_child(docs, "counts")), S.COUNT_KEYS, S.COUNT_KEYS),
-        key_violations(_json(feeds), S.FEED_KEYS, S.FEED_KEYS),
-        key_violations(_json(old), S.OPPORTUNITY_KEYS_V1 + ("province",), S.OPPORTUNITY_KEYS_V1),
-        key_violations(_json(new), S.OPPORTUNITY_KEYS_V2 + ("province",), S.OPPORTUNITY_KEYS_V2),
-        key_violations(_json(facts), S.FACT_KEYS, S.FACT_KEYS),
-        key_violations(_json(arrangements), S.ARRANGEMENT_KEYS, S.ARRANGEMENT_KEYS),
-        key_violations(_json(arrangement_facts), S.FACT_KEYS, S.FACT_KEYS),
-        key_violations(_json(links), S.SOURCE_KEYS, S.SOURCE_KEYS),
-        type_violations(docs, HEADER_TYPES | (APPROVAL_TYPES if approved else {})),
-        type_violations(feeds, FEED_TYPES),
-        type_violations(rows, OPPORTUNITY_TYPES),
-        type_violations(facts.unionAll(arrangement_facts), {"status": "string", "summary": "string"}),
-        type_violations(links, {"kind": "string", "label": "string", "url": "string"}),
-    ]
-    result = checks[0]
-    for check in checks[1:]:
-        result = result.unionAll(check)
-    return result
+    """(snapshotKey, doc VARIANT) of whole snapshots -> exact keys and field types at every level, in two passes: heads and opportunities."""
+    rows = opportunity_items(documents)
+    path = text.index_path("snapshot.opportunities", F.col("pos"))
+    return _as_rows(documents, broken_head_shape(F.col("doc"), approved)).unionAll(_as_rows(rows, broken_opportunity_shape(F.col("item"), path, F.col("version"))))
 
 
 # ------------------------------------------------------------------ free-form documents

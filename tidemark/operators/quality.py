@@ -16,6 +16,7 @@ from tidemark import schema as S
 from tidemark.functions import dates, text, urls
 from tidemark.operators.facets import snapshot_counts
 from tidemark.operators.positions import carried, repeated
+from tidemark.operators.seals import scheme_of
 
 SNAPSHOT_ID_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z-[0-9a-f]{12}$"
 HASH_PATTERN = "^[0-9a-fA-F]{64}$"
@@ -125,9 +126,9 @@ def row_rules(as_of: Column) -> list[Rule]:
 
 
 def header_columns(headers: DataFrame) -> DataFrame:
-    """Parsed header clocks, joined to rows by snapshotKey; small next to the rows, broadcast when its size allows."""
+    """Parsed header clocks and the seal scheme, joined to rows by snapshotKey; small next to the rows, broadcast when its size allows."""
     return headers.select(
-        "snapshotKey", F.col("schemaVersion").alias("_version"), dates.iso_to_ms(F.col("scanAt")).alias("_scanMs"),
+        "snapshotKey", scheme_of(headers).alias("_scheme"), F.col("schemaVersion").alias("_version"), dates.iso_to_ms(F.col("scanAt")).alias("_scanMs"),
         dates.iso_to_ms(F.col("approvedAt")).alias("_approvedMs"))
 
 
@@ -137,19 +138,40 @@ def opportunity_violations(opportunities: DataFrame, headers: DataFrame, feeds:
     return as_violations(judged_opportunities(opportunities, headers, feeds, as_of), "found")
 
 
+def feed_cycles(feeds: DataFrame) -> DataFrame:
+    """(snapshotKey, feedId, _cycle, _known) of each feed."""
+    return feeds.select("snapshotKey", F.col("id").alias("feedId"), F.col("admissionCycle").alias("_cycle")).groupBy(
+        "snapshotKey", "feedId").agg(F.max("_cycle").alias("_cycle"), F.lit(True).alias("_known"))
+
+
 def judged_opportunities(opportunities: DataFrame, headers: DataFrame, feeds: DataFrame,
                          as_of: Column | None = None) -> DataFrame:
     """The rows with ``found``, the rules each of them breaks.
 
     Without ``as_of`` a stored snapshot is judged at its own approval time, a candidate at its scan time.
     """
-    clocks = header_columns(headers)
-    cycles = feeds.select("snapshotKey", F.col("id").alias("feedId"), F.col("admissionCycle").alias("_cycle")).groupBy(
-        "snapshotKey", "feedId").agg(F.max("_cycle").alias("_cycle"), F.lit(True).alias("_known"))
-    rows = opportunities.join(clocks, "snapshotKey", "left").join(cycles, ["snapshotKey", "feedId"], "left")
+    rows = opportunities.join(header_columns(headers), "snapshotKey", "left").join(feed_cycles(feeds), ["snapshotKey", "feedId"], "left")
+    return rows.withColumn("found", broken_rules(opportunity_rules(as_of)))
+
+
+def document_context(headers: DataFrame, feeds: DataFrame) -> DataFrame:
+    """One row for each document with all its opportunities are judged by: clocks, scheme and a map of its feeds, which its size bounds."""
+    feed = F.struct("feedId", "_cycle")
+    maps = feed_cycles(feeds).where(F.col("feedId").isNotNull()).groupBy("snapshotKey").agg(F.map_from_entries(F.collect_list(feed)).alias("_feeds"))
+    return header_columns(headers).join(maps, "snapshotKey", "left")
+
+
+def known_feed(feed: Column, feeds: Column) -> list[Column]:
+    """The columns of ``feed_cycles`` for a feed id and the map of ``document_context``."""
+    known = F.coalesce(F.map_contains_key(feeds, F.coalesce(feed, F.lit(""))), F.lit(False))
+    return [F.when(known, F.try_element_at(feeds, feed)).alias("_cycle"), F.when(known, F.lit(True)).alias("_known")]
+
+
+def opportunity_rules(as_of: Column | None = None) -> list[Rule]:
+    """All rules of a row beside its header's clocks and its feed's cycle."""
     moment = F.coalesce("_approvedMs", "_scanMs") if as_of is None else as_of
     verified = dates.iso_to_ms(F.col("verifiedAt"))
-    rules = row_rules(moment) + [
+    return row_rules(moment) + [
         rule("feed-known", F.col("feedId").isNotNull() & F.col("_known").isNull(), _row_path(".feedId"), "expected a known feed ID"),
         rule("key-feed-cycle", text.has_four_parts(F.col("projectId"))
              & (text.first_part(F.col("projectId")) != F.col("_cycle")),
@@ -158,7 +180,6 @@ def judged_opportunities(opportunities: DataFrame, headers: DataFrame, feeds: Da
         rule("verified-scan", verified > F.col("_scanMs"), _row_path(".verifiedAt"), "must not be after snapshot.scanAt"),
         rule("verified-approval", verified > F.col("_approvedMs"), _row_path(".verifiedAt"), "must not be after snapshot.approvedAt"),
     ]
-    return rows.withColumn("found", broken_rules(rules))
 
 
 def feed_violations(feeds: DataFrame) -> DataFrame:

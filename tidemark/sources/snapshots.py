@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schema as S
 from tidemark.operators.documents import is_strict_json
@@ -31,34 +32,46 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return files.where(~too_big & F.col("doc").isNotNull()).select("snapshotKey", "doc"), refused
 
 
-def typed(doc: str, name: str, kind: str) -> Column:
-    """A value of a document.  Whole numbers and texts are taken only from such, so a cast never loses anything: all else is null."""
-    value = F.try_variant_get(doc, f"$.{name}", kind)
-    if kind == "bigint":
-        exact = F.try_variant_get(doc, f"$.{name}", "double")
-        is_number = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        return F.when(is_number & (exact == F.floor(exact)), value)
-    if kind == "string":
-        return F.when(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")) == "STRING", value)
-    return value
+def typed(doc: str | Column, name: str, kind: T.DataType) -> Column:
+    """A value of a document with exactly its type at every level; anything else is null, so no cast ever loses or invents something.
+
+    Whole numbers come only from numbers without a fraction, texts from texts, a struct from an object, an array of texts from one that has nothing else.
+    """
+    whole = F.try_variant_get(doc, f"$.{name}", "variant")
+    found = F.schema_of_variant(whole)
+    if isinstance(kind, T.LongType):
+        exact = F.try_variant_get(whole, "$", "double")
+        return F.when(found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (exact == F.floor(exact)), F.try_variant_get(whole, "$", "bigint"))
+    if isinstance(kind, T.StructType):
+        return F.when(found.startswith("OBJECT"), F.struct(*[typed(whole, part.name, part.dataType).alias(part.name) for part in kind.fields]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        element = lambda item: F.struct(*[typed(item, part.name, part.dataType).alias(part.name) for part in kind.elementType.fields])
+        return F.when(found.startswith("ARRAY"), F.transform(F.try_variant_get(whole, "$", "array<variant>"), element))
+    if isinstance(kind, T.ArrayType):
+        return F.when(found.rlike("^ARRAY<(STRING|VOID)>$"), F.try_variant_get(whole, "$", kind.simpleString()))
+    return F.when(found == "STRING", F.try_variant_get(whole, "$", "string"))
+
+
+def opportunity_columns(item: str) -> list[Column]:
+    """The typed columns of an opportunity VARIANT."""
+    return [typed(item, part.name, part.dataType).alias(part.name) for part in S.OPPORTUNITY.fields]
 
 
 def as_tables(documents: DataFrame) -> SnapshotTables:
     """Typed tables of parsed documents of either schema version."""
+    text, number = T.StringType(), T.LongType()
     field = lambda name, kind: typed("doc", name, kind).alias(name)
     headers = documents.select(
-        "snapshotKey", field("schemaVersion", "bigint"), field("scanAt", "string"), field("defaultFeedId", "string"),
-        F.struct(*[typed("doc", f"counts.{name}", "bigint").alias(name) for name in S.COUNT_KEYS]).alias("counts"),
-        *[field(name, "string") for name in S.APPROVAL_KEYS])
-
-    def elements(name: str, schema) -> DataFrame:
-        items = documents.select(
-            "snapshotKey", typed("doc", "schemaVersion", "bigint").alias("schemaVersion"),
-            F.posexplode(F.try_variant_get("doc", f"$.{name}", "array<variant>")).alias("pos", "item"))
-        parts = [typed("item", part.name, part.dataType.simpleString()).alias(part.name) for part in schema.fields]
-        return items.select("snapshotKey", "schemaVersion", F.col("pos").cast("bigint").alias("pos"), *parts)
-
-    return SnapshotTables(headers, elements("feeds", S.FEED).drop("schemaVersion"), elements("opportunities", S.OPPORTUNITY))
+        "snapshotKey", field("schemaVersion", number), field("scanAt", text), field("defaultFeedId", text),
+        F.struct(*[typed("doc", f"counts.{name}", number).alias(name) for name in S.COUNT_KEYS]).alias("counts"),
+        *[field(name, text) for name in S.APPROVAL_KEYS])
+    feeds = documents.select("snapshotKey", F.posexplode(F.try_variant_get("doc", "$.feeds", "array<variant>")).alias("pos", "item")).select(
+        "snapshotKey", F.col("pos").cast("bigint").alias("pos"), *[typed("item", part.name, part.dataType).alias(part.name) for part in S.FEED.fields])
+    opportunities = documents.select(
+        "snapshotKey", typed("doc", "schemaVersion", number).alias("schemaVersion"),
+        F.posexplode(F.try_variant_get("doc", "$.opportunities", "array<variant>")).alias("pos", "item")).select(
+        "snapshotKey", "schemaVersion", F.col("pos").cast("bigint").alias("pos"), *opportunity_columns("item"))
+    return SnapshotTables(headers, feeds, opportunities)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> SnapshotTables:
