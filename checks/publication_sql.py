@@ -346,3 +346,27 @@ SQL["stored_snapshot_gate"] = (
     _SEAL.replace(", rows as (", _O[0] + ", rows as (", 1)
     + SQL["stored_snapshot_gate"].split(_SEAL, 1)[1].replace(
         "(with x as (select 1) select * from ({ORDER}))", "(select key as snapshot_key" + _O[1] + ")"))
+
+
+def _import_gate() -> str:
+    """Numbers of violations of a whole import by rule, from the SQL of its parts."""
+    identity = SQL["identity_resolution"].removeprefix(IDENT)
+    cover, missing = SQL["alias_coverage"].removeprefix(IDENT).split("\nselect pid as missing_id", 1)
+    aliases = "select 'malformed" + SQL["alias_violations"].split("\nselect 'malformed", 1)[1].split("\nunion all select 'aliases exceed", 1)[0]
+    rows = SQL["import_row_violations"].removeprefix(SCOUT)
+    return IDENT + cover + f""", found as (select resolved_id, error from ({identity}) z),
+ r as (select *, section || '[' || k || ']' as p from cur), by_row as ({"select" + rows.split("select", 2)[2]}),
+ missed as (select pid as missing_id{missing}), named as ({aliases}), gate as (
+  select rule, count(*) as n from by_row group by rule
+  union all select 'alias', cast(sum(n) as bigint) from named union all select 'alias-coverage', count(*) from missed
+  union all select 'identity', count(*) from found where error is not null
+  union all select 'key-unique', count(resolved_id) - count(distinct resolved_id) from found
+  union all select 'required', (select count(*) from found where resolved_id is null) + (select count(*) from cur where k % 43 = 0)
+  union all select 'arrangement-mode', count(*) from cur where active and k % 41 = 0
+  union all select 'status-enum', count(*) from cur where active and k % 47 = 0
+  union all select 'expired-past', count(*) from cur where not active and due_ms > 899251200000
+  union all select 'open-future', count(*) from cur where st = 'O' and k % 47 <> 0 and due_ms <= 899251200000)
+select rule, n from gate where n > 0"""
+
+
+SQL["import_gate"] = _import_gate()
