@@ -187,7 +187,8 @@ def overlapping(seed):
 def test_suffix_dedup(spark, monkeypatch):
     rows = [(r[0], r[1]) for r in samples.rows()] + [(700 + i, t) for i, t in enumerate(overlapping(1))] + [(700, "another text under an id in use")]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n_chars long, own string").repartition(3)
-    assert Counter(tuple(r) for r in suffix_dedup.report(docs).collect()) == plain_repeats(rows)
+    found = suffix_dedup.report(docs).collect()
+    assert Counter(tuple(r)[:5] for r in found) == plain_repeats(rows) and all(r.has_repeats == (r.n_removed > 0) for r in found)
     clean = suffix_dedup.without_repeats(docs)
     assert clean.columns == docs.columns
     assert suffix_dedup.report(docs.limit(0)).count() == 0
