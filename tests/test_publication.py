@@ -280,6 +280,58 @@ def test_shapes_of_raw_documents(spark, tmp_path):
     assert read_snapshots(spark, str(tmp_path)).opportunities.first()["deadlineEpochMs"] == 1784714700000
 
 
+#: Rule which a change of the good document breaks: (name, change of the document, path behind "snapshot", rule).
+FAULTS = [
+    ("extra-key", lambda d: d.update(note=1), ".note", "exact-keys"),
+    ("count-key", lambda d: d["counts"].pop("expired"), ".counts.expired", "exact-keys"),
+    ("count", lambda d: d["counts"].update(confirmedOpen=2), ".counts.confirmedOpen", "count-match"),
+    ("count-fraction", lambda d: d["counts"].update(pendingExcluded=0.5), ".counts.pendingExcluded", "count-integer"),
+    ("version", lambda d: d.update(schemaVersion=3), ".schemaVersion", "schema-version"),
+    ("scan", lambda d: d.update(scanAt=7), ".scanAt", "field-type"),
+    ("feed-year", lambda d: d["feeds"][0].update(eventYear="2026"), ".feeds[0].eventYear", "field-type"),
+    ("feed-cycle", lambda d: d["feeds"][0].update(admissionCycle="207"), ".feeds[0].admissionCycle", "feed-cycle"),
+    ("feed-twice", lambda d: d["feeds"].append(d["feeds"][0]), ".feeds[1].id", "feed-unique"),
+    ("default", lambda d: d.update(defaultFeedId="none"), ".defaultFeedId", "default-feed"),
+    ("no-arrangement", lambda d: d["opportunities"][0].pop("eventArrangement"), ".opportunities[0].eventArrangement", "required"),
+    ("tag-number", lambda d: d["opportunities"][0].update(tags=["985", 1]), ".opportunities[0].tags", "field-type"),
+    ("tag-object", lambda d: d["opportunities"][0].update(tags=[{"a": 1}]), ".opportunities[0].tags", "field-type"),
+    ("fact-flag", lambda d: d["opportunities"][0]["materials"].update(summary=True), ".opportunities[0].materials.summary", "field-type"),
+    ("source-key", lambda d: d["opportunities"][0]["discoverySources"][0].update(more=1), ".opportunities[0].discoverySources[0].more", "exact-keys"),
+    ("unknown-feed", lambda d: d["opportunities"][0].update(feedId="camp1"), ".opportunities[0].feedId", "feed-known"),
+    ("cycle", lambda d: d["opportunities"][0].update(projectId="2026|a|c|b"), ".opportunities[0].projectId", "key-feed-cycle"),
+    ("late-check", lambda d: d["opportunities"][0].update(verifiedAt="2026-07-15T23:00:01+08:00"), ".opportunities[0].verifiedAt", "verified-scan"),
+    ("twice", lambda d: d["opportunities"].append(d["opportunities"][0]), ".opportunities[1].projectId", "key-unique"),
+    ("private", lambda d: d["opportunities"][0].update(description="a＠b.example"), ".opportunities[0].description", "private-value"),
+    ("hash", lambda d: None, ".dataHash", "hash-match"),
+]
+
+
+def test_document_gate_finds_each_fault(spark):
+    from pyspark.sql import Observation
+
+    docs = []
+    for name, change, _, _ in FAULTS:
+        doc = json.loads(json.dumps(snapshot_json()))
+        change(doc)
+        docs.append((name, json.dumps(doc, ensure_ascii=False)))
+    raw = spark.createDataFrame(docs, "snapshotKey string, t string").select("snapshotKey", F.parse_json("t").alias("doc"))
+    seen = Observation("gate")
+    got = rows_of(publishing.document_violations(raw, approved=True, observation=seen), "snapshotKey", "path", "rule")
+    for name, _, path, rule in FAULTS:
+        assert (name, f"snapshot{path}", rule) in got, name
+    # every document has the made-up hash and id; the one without a fault breaks nothing else
+    assert {rule for name, _, rule in got if name == "hash"} == {"hash-match", "id-derived"}
+    assert seen.get["rows"] == len(FAULTS) + 1 and seen.get["confirmedOpen"] == len(FAULTS) + 1 and 0 < seen.get["broken"] < len(FAULTS)
+
+
+def test_release_records_have_exactly_their_keys(spark):
+    good = {"dataHash": "a" * 64, "releaseSha": "b" * 40, "snapshotId": "2026-07-16T02:00:00.000Z-aaaaaaaaaaaa"}
+    records = [(0, json.dumps(good)), (1, json.dumps(good | {"more": 1})), (2, json.dumps({k: v for k, v in good.items() if k != "dataHash"}))]
+    frame = spark.createDataFrame(records, "releaseKey int, record string").select(
+        "releaseKey", "record", F.from_json("record", "releaseSha string, snapshotId string, dataHash string").alias("r")).select("releaseKey", "record", "r.*")
+    assert rows_of(quality.violations(frame, quality.release_rules("record"), "releaseKey"), "releaseKey", "rule") == [(1, "release-keys"), (2, "release-hash"), (2, "release-keys")]
+
+
 def test_strict_json(spark):
     cases = [('{"a":1}', True), ('{"a":1} ', True), ('{"a":1} x', False), ('{"a":1,"a":2}', False), ('{"a":1,"\\u0061":2}', False), ("", False),
              ("1, 2", False), ("1] , [2", False), ('1}, {"v":2', False), ("[" * 512 + "]" * 512, True), ("[" * 513 + "]" * 513, False),
