@@ -1,4 +1,5 @@
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 import pytest
@@ -10,7 +11,7 @@ from tidemark.operators import diff, digest, documents, quality, seals
 from tidemark.plans import publishing
 from tidemark.plans.importing import import_batch
 from tidemark.sources.snapshots import SnapshotTables, as_tables, read_snapshots
-from tidemark.sources.store import MovedHead, SnapshotStore, diagnostic, write_diff
+from tidemark.sources.store import MovedHead, SnapshotStore, create_exclusively, diagnostic, write_diff
 
 APPROVED_AT = "2026-07-16T10:00:00+08:00"
 
@@ -75,17 +76,23 @@ def test_seal_after_changes_equals_the_seal_of_the_whole(spark):
 
 def test_every_scheme_is_verified(spark):
     tables = SnapshotTables(header(spark), feeds(spark), opportunities(spark, [opportunity()]))
-    rules = lambda sealed, **change: {rule for _, rule in found(publishing.stored_violations(SnapshotTables(
-        sealed.headers.withColumns({k: F.lit(v) for k, v in change.items()}), sealed.feeds, sealed.opportunities))) if "hash" in rule or "id-" in rule or "scheme" in rule}
-    for scheme in (seals.MULTISET, seals.CANONICAL):
-        sealed = publishing.seal(tables, APPROVED_AT, None, scheme)
-        assert sealed.headers.first()["sealScheme"] == scheme and rules(sealed) == set()
-        assert rules(sealed, dataHash="0" * 64) == {"hash-match"}
-        assert rules(sealed, scanAt="2026-07-15T22:59:59+08:00") == {"hash-match", "id-derived"}
-        assert rules(sealed, sealScheme="other") == {"seal-scheme"}
-    canonical = publishing.seal(tables, APPROVED_AT, None, seals.CANONICAL)
-    old = SnapshotTables(canonical.headers.drop(*publishing.SEAL_COLUMNS), canonical.feeds, canonical.opportunities)
-    assert rules(old) == set()
+    sealed = {scheme: publishing.seal(tables, APPROVED_AT, None, scheme).headers for scheme in (seals.MULTISET, seals.CANONICAL)}
+    assert [frame.first()["sealScheme"] for frame in sealed.values()] == list(sealed)
+    changes = {"same": {}, "hash": {"dataHash": "0" * 64}, "scan": {"scanAt": "2026-07-15T22:59:59+08:00"}, "scheme": {"sealScheme": "other"}}
+    want = {"same": set(), "hash": {"hash-match"}, "scan": {"hash-match", "id-derived"}, "scheme": {"seal-scheme"}}
+    named = lambda frame, key: frame.withColumn("snapshotKey", F.lit(key))
+    heads, parts = [], []
+    for scheme, frame in sealed.items():
+        for name, change in changes.items():
+            heads.append(named(frame.withColumns({k: F.lit(v) for k, v in change.items()}), f"{name}/{scheme}"))
+            parts.append((named(tables.feeds, f"{name}/{scheme}"), named(tables.opportunities, f"{name}/{scheme}")))
+    every = lambda frames: reduce(lambda x, y: x.unionByName(y), frames)
+    found = rows_of(publishing.stored_violations(SnapshotTables(every(heads), every([f for f, _ in parts]), every([o for _, o in parts]))), "snapshotKey", "rule")
+    for scheme in sealed:
+        for name in changes:
+            assert {rule for key, rule in found if key == f"{name}/{scheme}" and rule in ("hash-match", "id-derived", "seal-scheme")} == want[name], (name, scheme)
+    old = publishing.stored_violations(SnapshotTables(sealed[seals.CANONICAL].drop(*publishing.SEAL_COLUMNS), tables.feeds, tables.opportunities))
+    assert not {rule for _, rule in rows_of(old, "snapshotKey", "rule")} & {"hash-match", "id-derived", "seal-scheme"}
 
 
 def test_a_snapshot_above_the_contracts_size_is_approved(spark, tmp_path):
@@ -99,8 +106,7 @@ def test_a_snapshot_above_the_contracts_size_is_approved(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "large"))
     first = publishing.approve(store, tables, APPROVED_AT)
     assert store.read(first).opportunities.count() == n
-    with pytest.raises(publishing.Refused, match="size limit"):
-        publishing.approve(SnapshotStore(spark, str(tmp_path / "contract")), tables, APPROVED_AT, seals.CANONICAL)
+    assert publishing.seal(tables, APPROVED_AT, None, seals.CANONICAL).headers.first()["dataHash"] is None
 
 
 def test_digest_tree_ignores_order_and_counts_copies(spark):
@@ -190,6 +196,34 @@ def test_a_failed_publication_can_be_repeated(spark, tmp_path, monkeypatch):
         store.read("unknown")
 
 
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    store = SnapshotStore(spark, str(tmp_path / "both"))
+    tables = SnapshotTables(header(spark), feeds(spark), opportunities(spark, [opportunity()]))
+    first = store.publish(tables, None)
+    barrier = Barrier(2)
+
+    class Late(SnapshotStore):
+        def head(self):
+            found = super().head()
+            barrier.wait(60)  # both have seen the same head before either claims the next number
+            return found
+
+    def write(name):
+        try:
+            return Late(spark, store.root).publish(SnapshotTables(tables.headers.withColumn("snapshotId", F.lit(name)), tables.feeds, tables.opportunities), first)
+        except MovedHead:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        won = [name for name in pool.map(write, ("x", "y")) if name]
+    assert len(won) == 1 and store.head()["snapshotId"] == won[0] and store.head()["seq"] == 2
+    assert store.manifest().count() == 2 and create_exclusively(spark, str(tmp_path / "f" / "a"), "1") and not create_exclusively(spark, str(tmp_path / "f" / "a"), "2")
+    assert [p.read_text() for p in (tmp_path / "f").iterdir()] == ["1"]
+
+
 def test_refused_files_are_not_lost(spark, tmp_path):
     (tmp_path / "ok.json").write_text('{"schemaVersion": 2}', encoding="utf-8")
     (tmp_path / "bad.json").write_text('{"schemaVersion": 2} trailing', encoding="utf-8")

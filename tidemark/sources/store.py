@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +33,49 @@ def read_tables(spark: SparkSession, folder: str) -> SnapshotTables:
     return SnapshotTables(*[spark.read.parquet(f"{folder}/{part}") for part in PARTS])
 
 
+def create_exclusively(spark: SparkSession, path: str, content: str) -> bool:
+    """A new file with all its content at once; False, and nothing changed, if there is one of that name.
+
+    The content is written beside it under a name readers skip.  Then one step of the file system gives it its name: a hard link on a local disk, elsewhere Hadoop's rename without
+    overwriting, which is atomic on HDFS (an object store has to offer the same).
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    fs.mkdirs(target.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    if fs.getScheme() == "file":
+        source, name = draft.toUri().getPath(), target.toUri().getPath()
+        with open(source, "x", encoding="utf-8") as file:
+            file.write(content)
+        try:
+            os.link(source, name)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(source)
+        return True
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as error:
+        fs.delete(draft, False)
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
 class SnapshotStore:
-    """Folder layout: ``snapshot/<key>-<attempt>/{headers,feeds,opportunities}`` and an append-only ``manifest`` which names the folder.
+    """Folder layout: ``snapshot/<key>-<attempt>/{headers,feeds,opportunities}`` and a ``manifest`` of one file for each publication, named by its number.
 
     Readers follow the manifest only, so the folder of a publication that failed is never seen, and the same snapshot can be
-    published again, into a fresh folder.
+    published again, into a fresh folder.  A number is given to one writer only: of two that start from one head the second one gets ``MovedHead``.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,7 +85,7 @@ class SnapshotStore:
         return f"{self.root}/{SNAPSHOT_FILES}/{snapshot_id.replace(':', '_')}-{uuid.uuid4().hex[:12]}"
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).option("ignoreMissingFiles", True).parquet(f"{self.root}/manifest*")
+        return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest")
 
     def head(self):
         """The newest manifest row, or None."""
@@ -62,15 +103,16 @@ class SnapshotStore:
         return read_tables(self.spark, found["folder"])
 
     def publish(self, sealed: SnapshotTables, expected_head: str | None) -> str:
-        """Write the tables, then append the manifest row unless the head moved meanwhile."""
+        """Write the tables, then claim the number behind the expected head."""
         header = sealed.headers.select("snapshotId", "previousSnapshotId", "dataHash", "approvedAt").first()
         folder = self._folder(header["snapshotId"])
         write_tables(sealed, folder)
         head = self.head()
         if (head["snapshotId"] if head else None) != expected_head:
             raise MovedHead("the approved snapshot changed during approval")
-        row = ((head["seq"] + 1) if head else 1, header["snapshotId"], header["previousSnapshotId"], header["dataHash"], header["approvedAt"], folder)
-        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        entry = header.asDict() | {"seq": head["seq"] + 1 if head else 1, "folder": folder}
+        if not create_exclusively(self.spark, f"{self.root}/manifest/{entry['seq']:012d}.json", json.dumps(entry) + "\n"):
+            raise MovedHead("another snapshot was published from the same head")
         return header["snapshotId"]
 
 
