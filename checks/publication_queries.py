@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark import bench_views as B
@@ -13,8 +15,9 @@ from tidemark.operators import diff as diffs
 from tidemark.operators import digest, documents, identity, quality, seals
 from tidemark.operators.positions import repeated
 from tidemark.plans import importing, publishing
-from tidemark.session import materialise, spread
+from tidemark.session import ensure_checkpoint_dir, materialise, spread
 from tidemark.sources.scouting import ScoutingBatch
+from tidemark.sources.store import SnapshotStore
 
 
 # ------------------------------------------------------------------ comparison
@@ -132,6 +135,17 @@ def stored_snapshot_gate(spark, sf_dir):
     return found.groupBy(F.col("snapshotKey").alias("snapshot_key"), "rule").agg(F.count("*").alias("n"))
 
 
+def approved_snapshot(spark, sf_dir):
+    """A candidate of the whole board is validated, sealed, published into a new store and read back."""
+    store = SnapshotStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    published = store.read(publishing.approve(store, B.clean_candidate(spark, sf_dir), B.APPROVED_AT))
+    counts = published.opportunities.groupBy("snapshotKey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.max_by("projectId", "pos").alias("last_id"), F.min_by("projectId", "pos").alias("first_id"))
+    return published.headers.join(counts, "snapshotKey").select(
+        F.col("snapshotId").alias("snapshot_id"), F.col("dataHash").alias("data_hash"), F.col("previousSnapshotId").alias("previous_id"), "n_rows", "last_pos", "first_id", "last_id",
+        F.col("counts.confirmedOpen").alias("n_open"), F.col("counts.confirmedUnknownDeadline").alias("n_unknown"), F.col("counts.expired").alias("n_expired"))
+
+
 def document_gate(spark, sf_dir):
     """Every violation of raw candidate documents: shape, types, values, order, counts and private texts."""
     found = publishing.document_violations(B.board_documents(spark, sf_dir), approved=False, as_of=F.lit(B.AS_OF_MS).cast("bigint"))
@@ -311,7 +325,7 @@ QUERIES = {
     f.__name__: f for f in (
         snapshot_diff, diff_counts, removed_ids, identity_sets, review_queue, row_fingerprint, canonical_rows,
         table_digest, copy_digest, snapshot_hashes, snapshot_seals, seal_after_changes, row_violations, feed_violations, header_violations,
-        count_violations, order_violations, duplicate_ids, stored_snapshot_gate, document_gate, freshness, release_violations,
+        count_violations, order_violations, duplicate_ids, stored_snapshot_gate, document_gate, approved_snapshot, freshness, release_violations,
         release_identity, lineage_orphans, publication_plan, disallowed_datasets, iso_checks, deadline_normalised,
         key_parts, cycle_texts, fact_groups, identity_resolution, alias_coverage, alias_violations, import_candidate,
         import_header, import_feeds, import_row_violations, import_gate, repeated_documents, private_rows,

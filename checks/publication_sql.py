@@ -156,6 +156,23 @@ _DUPS = f"select key as snapshot_key, {_PATH}.projectId' as path, 'key-unique' a
 _FEEDS = """select key as snapshot_key, 'snapshot.feeds[0].admissionCycle' as path, 'feed-cycle' as rule, 'expected exactly four digits' as message from head where mo = 7
 union all select key, 'snapshot.feeds[1].id', 'feed-unique', 'duplicate feed ID' from head where mo = 8"""
 
+_APPROVED = FULL + """, clean as (select * replace (true as has_official,
+    case when ms is null then 'confirmed-unknown-deadline' when ms > 899251200000 then 'confirmed-open' else 'expired' end as status) from full_board),
+placed as (select *, row_number() over (order by case status when 'confirmed-open' then 0 when 'confirmed-unknown-deadline' then 1 else 2 end,
+    case when status = 'confirmed-open' then ms end nulls last, project_id) - 1 as pos from clean),
+row_texts as (select 1 as g, """ + row_json() + """ as body from placed),
+cycles as (select cycle, row_number() over (order by cycle) - 1 as p from (select distinct cycle from placed) z),
+feed_texts as (select 1 as g, p || ':{"admissionCycle":"' || cycle || '","eventYear":' || cycle || ',"id":"camp' || cycle || '","label":"label"}' as body from cycles),
+""" + _states("row_state", "row_texts") + ", " + _states("feed_state", "feed_texts") + """,
+n as (select count(*) as n_rows, max(pos) as last_pos, arg_min(project_id, pos) as first_id, arg_max(project_id, pos) as last_id, count(*) filter (status = 'confirmed-open') as n_open,
+    count(*) filter (status = 'confirmed-unknown-deadline') as n_unknown, count(*) filter (status = 'expired') as n_expired from placed),
+sealed as (select n.*, sha256('{"counts":{"confirmedOpen":' || n_open || ',"confirmedUnknownDeadline":' || n_unknown || ',"expired":' || n_expired
+  || ',"pendingExcluded":0},"defaultFeedId":"camp' || (select min(cycle) from cycles) || '","feeds":{"n":' || f.n || ',"state":"' || f.state || '"},"opportunities":{"n":' || r.n
+  || ',"state":"' || r.state || '"},"scanAt":"1998-07-01T00:00:00Z","schemaVersion":2,"scheme":"multiset-sha256"}') as data_hash
+  from n, row_state r, feed_state f)
+select '1998-07-01T00:00:00.000Z-' || substr(data_hash, 1, 12) as snapshot_id, data_hash, cast(null as varchar) as previous_id, n_rows, last_pos, first_id, last_id, n_open, n_unknown, n_expired
+from sealed"""
+
 # Candidate documents of 64 neighbouring order keys with planted faults: (path suffix, rule, condition) over their rows.
 _DOCUMENTS = BOARD + """, mon as (select *, 'b' || (k // 64) as key, k // 64 as b, row_number() over (partition by k // 64 order by k) - 1 as pos from board),
 doc as (select key, b, count(distinct feed_id) as n_feeds from mon group by key, b)"""
@@ -232,6 +249,7 @@ select sha256(string_agg(node || ':' || h, ',' order by node || ':' || h)) as di
   strftime(make_timestamp(approved_ms * 1000), '%Y-%m-%dT%H:%M:%S.000Z-') || substr(computed, 1, 12) as snapshot_id from seal""",
     "snapshot_seals": _SEALS,
     "seal_after_changes": _FOLLOWING,
+    "approved_snapshot": _APPROVED,
     "row_violations": MONTHLY + _ROWS,
     "feed_violations": MONTHLY + _FEEDS,
     "header_violations": MONTHLY + _HEADS,

@@ -192,6 +192,35 @@ def monthly_tables(spark: SparkSession, sf_dir: str):
     return SnapshotTables(headers, feeds, opportunities)
 
 
+APPROVED_AT = "1998-07-01T00:00:00Z"
+
+
+def clean_candidate(spark: SparkSession, sf_dir: str):
+    """One candidate of all orders which breaks no rule: states follow the clock, every row has an official source, rows stand in publication order."""
+    from tidemark.operators.board import publication_order
+    from tidemark.operators.facets import snapshot_counts
+    from tidemark.operators.positions import with_position
+    from tidemark.session import materialise
+    from tidemark.sources.snapshots import SnapshotTables
+
+    ms = F.col("deadlineEpochMs")
+    official = F.struct(F.lit("official").alias("kind"), F.lit(S.OFFICIAL_LINK_LABEL).alias("label"), F.col("website").alias("url"))
+    notice = F.struct(F.lit("baoyan-notice").alias("kind"), F.lit(S.NOTICE_LINK_LABEL).alias("label"), F.col("website").alias("url"))
+    rows = board(spark, sf_dir).withColumns({
+        "verificationStatus": F.when(ms.isNull(), S.UNKNOWN_DEADLINE).when(ms > AS_OF_MS, S.OPEN).otherwise(S.EXPIRED), "discoverySources": F.array(notice, official)})
+    ordered = with_position(rows, publication_order())
+    opportunities = materialise(ordered.select(F.lit("candidate").alias("snapshotKey"), (F.col("pos") - 1).alias("pos"), *S.OPPORTUNITY_COLUMNS))
+    cycles = opportunities.groupBy("snapshotKey").agg(F.array_sort(F.collect_set("feedId")).alias("ids"))  # one for each year
+    feeds = cycles.select("snapshotKey", F.posexplode("ids").alias("pos", "id")).select(
+        "snapshotKey", F.col("pos").cast("bigint").alias("pos"), "id", F.lit("label").alias("label"), F.substring("id", 5, 4).alias("admissionCycle"),
+        F.substring("id", 5, 4).cast("bigint").alias("eventYear"))
+    counts = snapshot_counts(opportunities, ["snapshotKey"]).withColumn("pendingExcluded", F.lit(0))
+    headers = counts.join(cycles, "snapshotKey").select(
+        "snapshotKey", F.lit(2).cast("bigint").alias("schemaVersion"), F.lit(APPROVED_AT).alias("scanAt"), F.element_at("ids", 1).alias("defaultFeedId"),
+        F.struct(*[F.col(name).cast("bigint").alias(name) for name in S.COUNT_KEYS]).alias("counts"), *[F.lit(None).cast("string").alias(name) for name in S.APPROVAL_KEYS])
+    return SnapshotTables(headers, feeds, opportunities)
+
+
 def board_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(snapshotKey, doc VARIANT): candidate documents of the orders of 64 neighbouring keys, with planted faults of shape, type and value.
 
