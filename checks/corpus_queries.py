@@ -47,7 +47,7 @@ def denied_hosts(spark, sf_dir):
 def url_rules(spark, sf_dir):
     url = F.col("url")
     key = F.col("page_id")
-    odd = (F.when(key % 5 == 0, F.concat(F.lit("https://u@"), F.substring(url, 9, 100))).when(key % 5 == 1, F.regexp_replace(url, "//", "/"))
+    odd = (F.when(key % 5 == 0, F.concat(F.lit("https://u@"), F.substr(url, F.lit(9)))).when(key % 5 == 1, F.regexp_replace(url, "//", "/"))
            .when(key % 5 == 2, F.regexp_replace(url, "(?<=[a-z])/", ":99999/")).when(key % 5 == 3, F.concat(F.lit("https://a.GITHUB.com./"), key.cast("string"))).otherwise(url))
     return B.table(spark, sf_dir, "pages").select(
         "page_id", urls.is_http_url(odd).alias("is_http"), urls.has_credentials(odd).alias("has_credentials"),

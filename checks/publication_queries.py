@@ -58,8 +58,8 @@ def canonical_rows(spark, sf_dir):
 
 
 def table_digest(spark, sf_dir):
-    rows = B.board(spark, sf_dir).select(
-        "feedId", F.concat_ws("|", "projectId", "verificationStatus", F.col("deadlineEpochMs").cast("string")).alias("json"))
+    """Digest of the whole rows of each feed."""
+    rows = B.board(spark, sf_dir).select("feedId", canonical.canonical_json(S.OPPORTUNITY).alias("json"))
     return digest.content_digest(rows, by=["feedId"]).select(
         F.col("feedId").alias("feed_id"), "digest", "n_rows")
 

@@ -236,7 +236,7 @@ union all select c.project_id, 'shared-url-rename', c.ms from cls c join (select
     "canonical_rows": FULL + "select project_id, " + row_json() + " as json from full_board",
     "row_fingerprint": FULL + "select project_id, sha256(" + row_json(
         description="trim(regexp_replace(description, '\\s+', ' ', 'g'))", verified="") + ") as fingerprint from full_board",
-    "table_digest": BOARD + """, r as (select feed_id, sha256(concat_ws('|', project_id, status, cast(ms as varchar))) as d from board),
+    "table_digest": FULL + ", r as (select feed_id, sha256(" + row_json() + """) as d from full_board),
  e as (select feed_id, d, count(*) as n from r group by 1, 2),
  l as (select feed_id, substr(d, 1, 6) as leaf, sha256(string_agg(d || 'x' || n, ',' order by d || 'x' || n)) as h, sum(n) as n from e group by 1, 2),
  m as (select feed_id, substr(leaf, 1, 3) as node, sha256(string_agg(leaf || ':' || h, ',' order by leaf || ':' || h)) as h, sum(n) as n from l group by 1, 2)

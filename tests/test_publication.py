@@ -382,6 +382,8 @@ def test_leaves_and_budgets(spark):
     assert rows_of(leaves.where("doc_id = 1 and value is not null"), "path", "value") == sorted(
         [("$.a[0]", "1"), ("$.a[1]", "2"), ("$.a[4]", "x"), ('$["b c"]["ｗelfareScore"]', "v"), ("$.d", "a@b.example")], key=repr)
     assert rows_of(documents.budget_violations(leaves)) == [(2, "privacy scan exceeded depth budget")]
+    deep = spark.createDataFrame([(1, '{"a":' * 300 + '"a@b.example"' + "}" * 300)], "doc_id bigint, json string")
+    assert rows_of(documents.private_leaves(documents.json_leaves(deep)), "path", "message") == [("$" + ".a" * 300, "contains a email address")]
     assert rows_of(documents.budget_violations(leaves, max_nodes=9), "doc_id") == [(1,), (2,), (2,)]
     assert set(rows_of(documents.private_leaves(leaves), "path", "message")) == {
         ('$["b c"]["ｗelfareScore"]', "contains a private publication marker"), ("$.d", "contains a email address")}

@@ -145,18 +145,16 @@ def _child_path(path: str, key: str) -> str:
 
 
 def _walk(root: object) -> Iterator[tuple[str, str | None, str | None, int]]:
-    """(path, key, leaf text or NULL, depth) of every node, without recursion; deeper nodes than the bound are named
-    but not entered."""
+    """(path, key, leaf text or NULL, depth) of every node at any depth, without recursion."""
     stack: list[tuple[str, str | None, object, int]] = [("$", None, root, 0)]
     while stack:
         path, key, value, depth = stack.pop()
         if isinstance(value, (dict, list)):
             yield path, key, None, depth
-            if depth <= S.MAX_SCAN_DEPTH:
-                pairs = value.items() if isinstance(value, dict) else enumerate(value)
-                named = [(_child_path(path, name) if isinstance(name, str) else f"{path}[{name}]",
-                          name if isinstance(name, str) else None, child, depth + 1) for name, child in pairs]
-                stack.extend(reversed(named))
+            pairs = value.items() if isinstance(value, dict) else enumerate(value)
+            named = [(_child_path(path, name) if isinstance(name, str) else f"{path}[{name}]",
+                      name if isinstance(name, str) else None, child, depth + 1) for name, child in pairs]
+            stack.extend(reversed(named))
         elif isinstance(value, bool) or value is None:
             yield path, key, None, depth
         elif isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
@@ -199,11 +197,13 @@ def json_leaves(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, body in zip(batch["doc_id"], batch["json"]):
-                nodes = list(_walk(json.loads(body)))
-                rows.extend((doc_id, *node, len(nodes)) for node in nodes)
-                if len(rows) >= BATCH_NODES:
-                    yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
-                    rows = []
+                root = json.loads(body)
+                count = sum(1 for _ in _walk(root))  # stands in every row; the second walk gives the rows out in chunks
+                for node in _walk(root):
+                    rows.append((doc_id, *node, count))
+                    if len(rows) >= BATCH_NODES:
+                        yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
+                        rows = []
             yield pd.DataFrame(rows, columns=LEAF_COLUMNS)
 
     strict = docs.where(is_strict_json(F.col("json"))).select("doc_id", "json")
