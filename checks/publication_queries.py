@@ -17,7 +17,8 @@ from tidemark.operators.positions import repeated
 from tidemark.plans import importing, publishing
 from tidemark.session import ensure_checkpoint_dir, materialise, spread
 from tidemark.sources.scouting import ScoutingBatch
-from tidemark.sources.store import SnapshotStore
+from tidemark.sources.snapshots import read_snapshots
+from tidemark.sources.store import SnapshotStore, write_diff
 
 
 # ------------------------------------------------------------------ comparison
@@ -26,6 +27,32 @@ def snapshot_diff(spark, sf_dir):
         F.col("projectId").alias("project_id"), F.col("changeType").alias("change_type"))
 
 
+def _new_folder(spark, what):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def diff_files(spark, sf_dir):
+    """The diff written as files by change type and read back."""
+    folder = _new_folder(spark, "diff")
+    write_diff(diffs.diff(*B.board_pair(spark, sf_dir)), folder)
+    return spark.read.schema("projectId string, changeType string").json(folder).select(
+        F.col("projectId").alias("project_id"), F.col("changeType").alias("change_type"))
+
+
+def snapshot_files(spark, sf_dir):
+    """Documents written as one JSON file each, read strictly and turned into typed tables: what each file holds."""
+    folder = _new_folder(spark, "documents")
+    texts = B.board_documents(spark, sf_dir).select("snapshotKey", F.to_json("doc").alias("value"))
+    texts.repartition("snapshotKey").write.partitionBy("snapshotKey").text(folder)
+    tables = read_snapshots(spark, f"{folder}/*/*.txt")
+    rows = tables.opportunities.groupBy("snapshotKey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("name").alias("n_names"), F.count("website").alias("n_websites"), F.sum(F.size("tags")).alias("n_tags"))
+    feeds = tables.feeds.groupBy("snapshotKey").agg(F.count(F.lit(1)).alias("n_feeds"), F.count("eventYear").alias("n_years"))
+    return tables.headers.join(rows, "snapshotKey").join(feeds, "snapshotKey").select(
+        F.regexp_extract("snapshotKey", "snapshotKey=([^/]+)", 1).alias("snapshot_key"), F.col("scanAt").alias("scan_at"), F.col("counts.expired").alias("n_expired"),
+        "n_rows", "n_names", "n_websites", "n_tags", "n_feeds", "n_years")
+
+
 def diff_counts(spark, sf_dir):
     return diffs.diff_counts(diffs.diff(*B.board_pair(spark, sf_dir)))
 
@@ -137,7 +164,7 @@ def stored_snapshot_gate(spark, sf_dir):
 
 def approved_snapshot(spark, sf_dir):
     """A candidate of the whole board is validated, sealed, published into a new store and read back."""
-    store = SnapshotStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, _new_folder(spark, "store"))
     published = store.read(publishing.approve(store, B.clean_candidate(spark, sf_dir), B.APPROVED_AT))
     counts = published.opportunities.groupBy("snapshotKey").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.max_by("projectId", "pos").alias("last_id"), F.min_by("projectId", "pos").alias("first_id"))
@@ -323,7 +350,7 @@ def private_rows(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        snapshot_diff, diff_counts, removed_ids, identity_sets, review_queue, row_fingerprint, canonical_rows,
+        snapshot_diff, diff_files, snapshot_files, diff_counts, removed_ids, identity_sets, review_queue, row_fingerprint, canonical_rows,
         table_digest, copy_digest, snapshot_hashes, snapshot_seals, seal_after_changes, row_violations, feed_violations, header_violations,
         count_violations, order_violations, duplicate_ids, stored_snapshot_gate, document_gate, approved_snapshot, freshness, release_violations,
         release_identity, lineage_orphans, publication_plan, disallowed_datasets, iso_checks, deadline_normalised,

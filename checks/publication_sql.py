@@ -388,3 +388,8 @@ select rule, n from gate where n > 0"""
 
 
 SQL["import_gate"] = _import_gate()
+SQL["diff_files"] = SQL["snapshot_diff"]
+SQL["snapshot_files"] = _DOCUMENTS + """, held as (select key, count(*) as n_rows, count(*) filter (k % 37 <> 0) as n_names, count(*) filter (k % 47 <> 0 or k % 31 = 0) as n_websites,
+  sum(len(tags)) filter (k % 41 <> 0) as n_tags, count(*) filter (status = 'expired') as n_expired from mon group by key)
+select key as snapshot_key, case when b % 13 <> 0 then '1998-07-01T00:00:00Z' end as scan_at, n_expired, n_rows, n_names, n_websites, cast(n_tags as bigint) as n_tags,
+  n_feeds, case when b % 17 = 0 then 0 else n_feeds end as n_years from doc join held using (key)"""
