@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidemark.operators import digest
+from tidemark.operators import digest, seals
 from tidemark.operators.diff import diff
 from tidemark.plans.importing import import_batch
 from tidemark.plans.publishing import approve
@@ -41,7 +41,10 @@ def import_stream(batches: DataFrame, store: SnapshotStore, on_result: Callable[
                 on_result(row["file"], "refused", candidate.violations)
                 continue
             tables = candidate.tables
-            fresh = digest.canonical_hashes(tables.headers, tables.feeds, tables.opportunities).first()["computedHash"]
+            # in the scheme of the head, so that equal content gives equal hashes
+            contract = current is not None and current.headers.select(seals.scheme_of(current.headers)).first()[0] == seals.CANONICAL
+            hashed = digest.canonical_hashes if contract else seals.multiset_seals
+            fresh = hashed(tables.headers, tables.feeds, tables.opportunities).first()["computedHash"]
             if head and fresh == head["dataHash"]:
                 on_result(row["file"], "no-change", None)
                 continue
