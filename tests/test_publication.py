@@ -438,3 +438,28 @@ def test_approve_and_lineage(spark, tmp_path):
 def test_diagnostic_record(spark):
     row = diagnostic(spark, False, "2026-07-16T00:00:00Z", "release", "bad\nthing").first()
     assert (row["ok"], row["stage"], row["message"]) == (False, "release", "bad thing")
+
+
+def test_row_suspects_are_the_suspect_leaves(spark):
+    """A row is looked at as a whole first; no private text of any field is lost by that."""
+    texts = ["a@b.example", "call +86 138-1234-5678", "FILE:///x", "/home/me/x", r"c:\Users\me", "~/notes", "a%2540b", "ａ＠b.example", "WelfareScore", "targets/submitted", "plain"]
+    changes = [{name: value} for value in texts for name in ("description", "website", "deadlineOriginal")]
+    changes += [{"tags": [value]} for value in texts] + [{"logistics": ("confirmed", value)} for value in texts]
+    changes += [{"discoverySources": [("official", "x", value)]} for value in texts] + [{"eventArrangement": ("offline", FACT, ("confirmed", value))} for value in texts]
+    rows = opportunities(spark, [opportunity(**change) for change in changes])
+    suspects = rows.select(documents.row_suspects().alias("fast"), documents.suspect_leaves(documents.text_leaves()).alias("slow")).collect()
+    assert all(row["fast"] == row["slow"] for row in suspects)
+    assert documents.private_row_values(rows).count() >= 60
+
+
+def test_document_gate_reads_documents_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    raw = spark.createDataFrame([("s", '{"schemaVersion":2,"feeds":[],"opportunities":[{"name":1}]}')], "snapshotKey string, body string").select(
+        "snapshotKey", F.parse_json(F.udf(seen)("body")).alias("doc"))
+    assert publishing.document_violations(raw, approved=False).count() > 0
+    assert read.value == 2

@@ -80,3 +80,25 @@ def test_isolation(spark):
     docs = spark.createDataFrame([(1, "the LIVE marker here", "live"), (2, "a test only FIXTURE", "test"), (3, "FIXTURE leaked", "live")], "doc_id int, text string, corpus string")
     markers = spark.createDataFrame([("l", "LIVE", "live"), ("f", "FIXTURE", "test"), ("n", "NOWHERE", "test")], "marker_id string, marker string, home string")
     assert rows_of(leaks.isolation_findings(docs, markers), "corpus", "marker_id", "problem") == [("live", "f", "leaked"), ("test", "n", "missing")]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """The tables hold after the files are gone: the check and all tables come from one reading."""
+    from tidemark.sources.snapshots import read_snapshots
+
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"schemaVersion":2,"scanAt":"t","feeds":[{"id":"f","eventYear":1}],"opportunities":[{"name":"n"},{"name":5}]}')
+    tables = read_snapshots(spark, str(folder))
+    for path in folder.iterdir():
+        path.unlink()
+    assert [row["name"] for row in tables.opportunities.orderBy("pos").collect()] == ["n", None]
+    assert [(row["id"], row["eventYear"]) for row in tables.feeds.collect()] == [("f", 1)]
+
+
+def test_costly_rows_are_spread_over_four_tasks_a_core(spark):
+    from tidemark.session import spread
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == tasks
+    assert spread(spark.range(0, 100, 1, tasks + 1)).rdd.getNumPartitions() == tasks + 1
