@@ -41,6 +41,25 @@ def test_each_deadline_is_announced_once(spark, tmp_path):
     assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == [("kept", "ended", ms(10)), ("moved", "ended", ms(20))]
 
 
+def test_state_is_asked_for_groups_of_keys(spark, tmp_path):
+    """2000 keys in 8 groups are at most 8 records and 8 timers (a row in each of two indexes); deadlines fire up to and at the watermark."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timers.ROCKSDB)
+    source = tmp_path / "in"
+    source.mkdir()
+    drop(source, "1.json", [dict(ts=at(1), key=f"k{i}", due=[["a", ms(2 + i % 40)], ["b", ms(2 + i % 40)]]) for i in range(2000)])
+    time.sleep(1.1)
+    drop(source, "2.json", [dict(ts=at(21), key=f"k{i}", due=[["c", ms(50)]]) for i in range(0, 2000, 7)])
+    stream = spark.readStream.schema("ts timestamp, key string, due array<array<string>>").option("maxFilesPerTrigger", 1).json(str(source))
+    due = F.transform("due", lambda pair: F.struct(pair[0].alias("label"), pair[1].cast("bigint").alias("at")))
+    announced = timers.announce(stream.withWatermark("ts", "0 seconds"), F.col("key"), F.unix_millis("ts"), due, groups=8)
+    query = (announced.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == sorted(
+        [(f"k{i}", label, ms(2 + i % 40)) for i in range(2000) if i % 7 and 2 + i % 40 <= 21 for label in "ab"], key=repr)
+    assert max(step["stateOperators"][0]["numRowsTotal"] for step in query.recentProgress) <= 8 * 3
+
+
 def test_ticks_rederive_the_board(spark, tmp_path):
     source = tmp_path / "ticks"
     source.mkdir()
