@@ -76,6 +76,39 @@ def test_leaks_equal_brute_force(spark):
     assert got == sorted([(d, m) for d, text in docs for m, mark in marks if mark and mark in text], key=repr)
 
 
+def test_runs_of_texts_equal_brute_force(monkeypatch):
+    """Runs over tile edges, of slices and null texts; none reaches from one text into the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(leaks, "TILE", 37)
+    rng = random.Random(5)
+    texts = [None, ""] + ["".join(rng.choice("aé大 ") for _ in range(rng.randint(0, 150))) for _ in range(20)] + [None, "a"]
+    for length in leaks.RUNS:
+        hashed = lambda run: int(leaks._hashes(np.frombuffer(run, np.uint8), length).view(np.int64)[0])  # noqa: B023, E731
+        expected = {(i, hashed(raw[j:j + length])) for i, raw in enumerate((text or "").encode() for text in texts[1:])
+                    for j in range(len(raw) - length + 1)}
+        rows, runs = leaks._runs_of_texts(pa.array(texts).slice(1), length, None, None)
+        assert sorted(zip(rows.tolist(), runs.tolist(), strict=True)) == sorted(expected)
+
+
+def test_only_runs_of_anchors_leave_the_documents(spark):
+    """Not every run of a document is a row of the join: a long text that holds one marker gives one run."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(1, "".join(rng.choice("abcdefgh") for _ in range(50_000)) + " www.example.org/x")], "doc_id int, text string")
+    markers = spark.createDataFrame([("h", "www.example.org"), ("k", "other.example.net")], "marker_id string, marker string")
+    found = leaks.occurrences(docs, markers)
+    assert rows_of(found) == [(1, "h")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_markers_that_share_an_id_are_all_found(spark):
+    docs = spark.createDataFrame([(1, "one first marker"), (2, "one second marker")], "doc_id int, text string")
+    markers = spark.createDataFrame([("m", "first marker"), ("m", "second marker"), ("n", None)], "marker_id string, marker string")
+    assert rows_of(leaks.occurrences(docs, markers)) == [(1, "m"), (2, "m")]
+
+
 def test_isolation(spark):
     docs = spark.createDataFrame([(1, "the LIVE marker here", "live"), (2, "a test only FIXTURE", "test"), (3, "FIXTURE leaked", "live")], "doc_id int, text string, corpus string")
     markers = spark.createDataFrame([("l", "LIVE", "live"), ("f", "FIXTURE", "test"), ("n", "NOWHERE", "test")], "marker_id string, marker string, home string")
