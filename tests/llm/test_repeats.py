@@ -108,6 +108,49 @@ def test_lists_with_one_first_node_are_split(spark, monkeypatch, nodes, listed):
     assert counts(split) == want and len(want) > 100
 
 
+def test_sketches_rule_out_no_link():
+    """Sets that link have slack, whatever their sizes; sets far below the threshold have none."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 100, 1000, 20000):
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate([base[k:n], base[n:n + max(1, round(n * share))]])) for k in (0, n // 20, n // 10, n // 4) for share in (0, 0.05, 0.11, 0.2, 0.5)]
+        sets = [s for s in sets if len(s)]
+        every = ngram_join.Sketches([ngram_join.sketch(s) for s in sets])
+        sizes = np.array([len(s) for s in sets])
+        u, v = (x.ravel() for x in np.indices((len(sets), len(sets))))
+        found = ngram_join.slack(every, sizes, every, sizes, u, v)
+        shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(u, v)])
+        united = sizes[u] + sizes[v] - shared
+        assert (found[100 * shared >= 80 * united] >= 0).all()
+        assert n < 100 or (found[100 * shared < 70 * united] < 0).mean() > 0.9
+
+
+def test_heavily_edited_copies_are_no_pairs(spark, monkeypatch):
+    """Copies of one text that are edited too much to link share many shingles; their number of pairs is not written out."""
+    rng = random.Random(6)
+    base = ["w%d" % i for i in range(300)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(300), 8):
+            words[k] = "e%d" % rng.randrange(40)
+        rows.append((i, " ".join(words)))
+    made = []
+    held = ngram_join.written
+
+    def counted(frame, what):
+        out = held(frame, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, fragments=3).collect()} == want
+    pairs = sum(n for what, n in made if what in ("join-first-sketched", "join-nearest", "join-second"))
+    assert len({c for _, c in want.values()}) > 60 and pairs < 600
+
+
 def test_threshold_bounds():
     for a in range(1, 60):
         for b in range(1, a + 1):

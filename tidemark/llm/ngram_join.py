@@ -9,10 +9,15 @@ of those first fifths that they share, and the partial overlaps are summed for e
 2. Fragments keep the shingles that several nodes share (``lists``).
 3. First round: neighbours in each list, sorted by size, are counted; every node is compared with its best neighbour only.  That
    links groups of near copies into components without looking at their pairs.
-4. Second round: of the lists that still hold several components, the pairs from different components are counted, lists with
+4. Between the rounds every node is compared with the one of another component whose sketch is nearest, among those it meets in the
+   second round.  That links most components which have many links between them, by one row for each node.
+5. Second round: of the lists that still hold several components, the pairs from different components are counted, lists with
    one first node together or, if many nodes are in them, by pairs of blocks of nodes; those whose sum can still reach the threshold are compared.  Of two documents the one whose first shingles end earlier in the order can share
    none of its first shingles but listed ones, so heavily edited copies, whose first shingles are their own, meet nobody.  No link between components is lost; links inside a component change nothing.
 
+In all rounds a pair is dropped, before it is a row, if the sketches of its sets show that too many shingles differ.  A sketch is the parity
+of the number of shingles in each of some places: every place where two sketches differ holds a shingle which only one of the sets has.
+
 A comparison counts the overlap of two whole sets fragment by fragment and stops when the rest cannot reach the threshold.  Texts meet
 in pairs of blocks of bounded size, whatever the number of partners.
 
@@ -46,6 +51,8 @@ SEGMENTS, PARTNERS = 8, 256
 ROWS = 512
 #: Lists with one first node are counted in one task up to so many nodes and rows, and else in pairs of blocks of about that many.
 NODES, LISTED = 4096, 1 << 20
+#: Places of a sketch for each shingle, at least, and places at most; other numbers change the speed, never the links.
+PLACES, MOST_PLACES = 4, 1 << 15
 #: Bytes of text read before a task hands on what it has.
 BATCH = 24 << 20
 
@@ -65,6 +72,44 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of a power of two of places, the parity of the number of shingles there, as bits."""
+    places = min(MOST_PLACES, 1 << max(6, (PLACES * len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles >> np.uint64(8) & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of some nodes as rows of words, folded to the width that is asked for."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.words = [np.frombuffer(s, dtype=np.uint64) for s in sketches]
+        self.width = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.held: dict[int, np.ndarray] = {}
+
+    def rows(self, width: int) -> np.ndarray:
+        if width not in self.held:
+            rows = np.zeros((len(self.words), width), dtype=np.uint64)
+            for i in np.flatnonzero(self.width >= width).tolist():
+                rows[i] = np.bitwise_xor.reduce(self.words[i].reshape(-1, width), axis=0)
+            self.held[width] = rows
+        return self.held[width]
+
+
+def slack(a: Sketches, n_a: np.ndarray, b: Sketches, n_b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For nodes ``u`` of ``a`` and ``v`` of ``b``: shingles in which linked sets may differ, less places where the sketches do; below 0 they cannot link."""
+    most = n_a[u] + n_b[v] - 2 * least_overlap(n_a[u], n_b[v])
+    width = np.minimum(a.width[u], b.width[v])
+    out = np.zeros(len(u), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        x, y, at = a.rows(w), b.rows(w), np.flatnonzero(width == w)
+        step = max(1, (1 << 20) // w)
+        for begin in range(0, len(at), step):
+            part = at[begin:begin + step]
+            out[part] = most[part] - np.bitwise_count(x[u[part]] ^ y[v[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def overlap_at_least(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     """Whether two sorted sets share ``least`` values: partial overlaps by fragment of the fingerprint range, summed."""
     cuts = (np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(61)) if SEGMENTS == 8 else None
@@ -122,17 +167,18 @@ def shingle_counts(docs: DataFrame, width: int = COUNTERS) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """Signature (a, b) and size of the set of each document."""
+    """Signature (a, b), size and sketch of the set of each document."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist())
             signs = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64())],
-                names=["doc_id", "n_shingles", "a", "b"])
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "a", "b", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary")
 
 
 def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFrame:
@@ -223,13 +269,33 @@ def shared_lists(docs: DataFrame, counts: np.ndarray, fragments: int) -> DataFra
     return pieces.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(gather, "shingle long, a long, n int, a_before long, n_before int")
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches allow a link."""
+    both = pairs.select("u", "v")
+    for side in "uv":
+        both = both.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                every = np.arange(part.num_rows)
+                a, b = (Sketches(part.column(f"sketch_{side}").to_pylist()) for side in "uv")
+                n_a, n_b = (part.column(f"n_{side}").to_numpy().astype(np.int64) for side in "uv")
+                yield part.select(["u", "v"]).filter(pa.array(slack(a, n_a, b, n_b, every, every) >= 0))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of representatives that link, by comparing their whole sets.
 
     Documents are put into blocks of about ``PARTNERS``, those with a common partner together; a pair is compared where its two blocks
     meet, and a text is sent once to each meeting of its block, not once for each pair.
     """
     pairs = pairs.select("u", "v")
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     groups = pairs.select(F.col("u").alias("w"), F.col("u").alias("g")).union(pairs.select(F.col("v").alias("w"), F.col("u").alias("g"))).groupBy("w").agg(F.min("g").alias("g"))
     sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks"))
     homes = written(groups.join(sizes, "g").select("w", F.xxhash64("g", F.pmod(F.xxhash64("w"), F.col("blocks"))).alias("home")), "join-homes")
@@ -265,15 +331,18 @@ def counting_groups(open_lists: DataFrame) -> DataFrame:
 
     Blocks are made by size class, by whether a node can share enough with any node when its own first shingles end earlier, and by
     hash.  Blocks of which no two nodes can be linked do not meet: sizes more than one class apart, or no able node in either.
+    Rows with a ``sketch`` are in no list; each node has one such row under each first node.
     """
+    extra = [c for c in ("sketch",) if c in open_lists.columns]
+    listed = F.col("sketch").isNull() if extra else F.lit(True)
     size_class = F.floor(F.log("n") / F.lit(float(np.log(1.26)))).cast("int").alias("class")
     able = (100 * F.col("most") >= PERCENT * F.col("n")).alias("able")
-    counted = open_lists.groupBy("leader", "rep", "n", "most").agg(F.count(F.lit(1)).alias("listed"))
+    counted = open_lists.groupBy("leader", "rep", "n", "most").agg(F.count_if(listed).alias("listed"))
     blocks = counted.groupBy("leader", size_class, able).agg(F.count(F.lit(1)).alias("nodes"), F.sum("listed").alias("listed"))
     large = blocks.groupBy("leader").agg(F.sum("nodes").alias("all_nodes"), F.sum("listed").alias("all_listed")).filter((F.col("all_nodes") > NODES) | (F.col("all_listed") > LISTED))
     pieces = F.greatest(F.ceil(F.col("nodes") / NODES), F.ceil(F.col("listed") / LISTED)).alias("pieces")
     blocks = written(blocks.join(large, "leader", "left_semi").select("leader", "class", "able", pieces), "join-blocks")
-    names = ["leader", "shingle", "n", "rep", "component", "last", "most"]
+    names = ["leader", "shingle", "n", "rep", "component", "last", "most", *extra]
     if blocks.isEmpty():
         return open_lists.select(F.col("leader").alias("meeting"), F.lit(2).alias("side"), *names[1:])
     placed = open_lists.select(*names, size_class, able).join(blocks, ["leader", "class", "able"], "left")
@@ -288,13 +357,20 @@ def counting_groups(open_lists: DataFrame) -> DataFrame:
     return whole.union(split.select("meeting", "side", *names[1:]))
 
 
-def pair_counts(batches):
+def first_of_each(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of the largest value of each key."""
+    by = np.lexsort((-values, keys))
+    return by[np.append(True, keys[by][1:] != keys[by][:-1])]
+
+
+def pair_counts(batches, nearest: bool = False):
     """Partial overlaps of the pairs of nodes that meet in lists which begin with the same node, taken together by matrix products.
 
-    Only pairs of different components are counted, of sizes that can link, and where the node whose first shingles end earlier
-    can share enough.
+    Only pairs of different components are counted, of sizes that can link, where the node whose first shingles end earlier
+    can share enough and, if sketches are given, these allow a link.  With ``nearest`` only the pair with the largest slack of each node
+    (of each block of rows) is given, with that as ``overlap``.
     """
-    def counted(side, shingle, *columns):
+    def counted(sketches, side, shingle, *columns):
         column = np.unique(shingle, return_inverse=True)[1]
         width = int(column.max()) + 1
         sides = []
@@ -307,6 +383,9 @@ def pair_counts(batches):
         (row_a, column_a, *a), (row_b, column_b, *b) = sides[0], sides[-1]
         one = len(sides) == 1
         nodes, n, component, last, most = b
+        if sketches:
+            sketches_b = Sketches([sketches[x] for x in nodes.tolist()])
+            sketches_a = sketches_b if one else Sketches([sketches[x] for x in a[0].tolist()])
         step = max(1, (1 << 24) // (len(a[0]) + len(nodes)))
 
         def part(row, column, number, left):
@@ -329,9 +408,18 @@ def pair_counts(batches):
             needed = PERCENT * (own_n + n)
             good = (overlap > 0) & (own_component != component) & (100 * np.minimum(own_n, n) >= PERCENT * np.maximum(own_n, n))
             good &= ((own_last <= last) & ((100 + PERCENT) * own_most >= needed)) | ((last <= own_last) & ((100 + PERCENT) * most >= needed))
-            if one:
+            if one and not nearest:
                 good &= smaller
             u, v = np.nonzero(good)
+            if sketches and len(u):
+                left_over = slack(sketches_a, a[1], sketches_b, n, u + begin, v)
+                hopeful = left_over >= 0
+                u, v = u[hopeful], v[hopeful]
+                if nearest and len(u):
+                    left_over = left_over[hopeful]
+                    mine = first_of_each(u, left_over) if one else np.union1d(first_of_each(u, left_over), first_of_each(v, left_over))
+                    u, v = u[mine], v[mine]
+                    overlap[u, v] = left_over[mine]
             if len(u):
                 first = smaller[u, v]
                 found = [(np.where(first, x[u, 0], y[v]), np.where(first, y[v], x[u, 0])) for x, y in ((own, nodes), (own_n.astype(np.int32), n.astype(np.int32)), (own_last, last))]
@@ -339,8 +427,11 @@ def pair_counts(batches):
 
     names = ("side", "shingle", "n", "rep", "component", "last", "most")
     parts: list[list[np.ndarray]] = []
+    sketches: dict[int, bytes] = {}
     meeting = None
     for batch in batches:
+        given = batch.column("sketch") if "sketch" in batch.schema.names else pa.nulls(batch.num_rows, pa.binary())
+        of_lists = given.is_null().to_numpy(zero_copy_only=False)
         meetings = batch.column("meeting").to_numpy()
         columns = [batch.column(c).to_numpy() for c in names]
         cuts = [0, *(np.flatnonzero(np.diff(meetings)) + 1).tolist(), len(meetings)]
@@ -348,12 +439,18 @@ def pair_counts(batches):
             if begin == end:
                 continue
             if parts and meetings[begin] != meeting:
-                yield from counted(*(np.concatenate(c) for c in zip(*parts)))
-                parts = []
+                yield from counted(sketches, *(np.concatenate(c) for c in zip(*parts)))
+                parts, sketches = [], {}
             meeting = meetings[begin]
-            parts.append([c[begin:end] for c in columns])
+            mine = np.flatnonzero(~of_lists[begin:end]) + begin
+            sketches.update(zip(columns[names.index("rep")][mine].tolist(), given.take(pa.array(mine)).to_pylist()))
+            parts.append([c[begin:end][of_lists[begin:end]] for c in columns])
     if parts:
-        yield from counted(*(np.concatenate(c) for c in zip(*parts)))
+        yield from counted(sketches, *(np.concatenate(c) for c in zip(*parts)))
+
+
+def nearest_pairs(batches):
+    return pair_counts(batches, nearest=True)
 
 
 def _ordered(frame: DataFrame) -> DataFrame:
@@ -372,12 +469,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fragments = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(shared_lists(named, shingle_counts(docs, counters), fragments), "join-lists")
 
-    # texts of every representative that shares a shingle with another one
     lasts = lists.filter("shingle is null").groupBy("a", "n").agg(F.min("a_before").alias("last"))
     lists = lists.filter("shingle is not null")
     listed = written(lists.groupBy("a", "n").agg(F.count(F.lit(1)).alias("listed")), "join-listed")
-    wanted = listed.select("a", "n").join(ids, ["a", "n"]).select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "join-texts")
+    sketches = signed.filter("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "sketch").dropDuplicates(["rep"])
+    sketches = written(sketches.join(listed.join(ids, ["a", "n"]).select("rep"), "rep", "left_semi"), "join-sketches")
 
     # first round: neighbours in the lists, each node with its best one
     near = lists.filter(f"a_before is not null and 100 * n_before >= {PERCENT} * n")
@@ -386,7 +482,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mine = best.join(ids.withColumnRenamed("rep", "y"), ["a", "n"]).select("y", "overlap", F.col("other.a_before").alias("a"), F.col("other.n_before").alias("n"))
     best = mine.join(ids.withColumnRenamed("rep", "x"), ["a", "n"])
     tried = written(_ordered(best).groupBy("u", "v").agg(F.max("overlap").alias("overlap")), "join-first")
-    linked = written(compared(tried.select("u", "v"), texts), "join-first-links")
+    linked = written(compared(written(sketched(tried, sketches), "join-first-sketched"), named), "join-first-links")
     known = components(linked)
 
     # second round: pairs from different components in lists that hold several
@@ -395,10 +491,30 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "a", "n", "rep", F.coalesce("component", "rep").alias("component"), "last", (F.col("n") - prefix_length_column("n") + F.col("listed")).alias("most"))
     placed = lists.select("shingle", "a", "n").join(homes, ["a", "n"]).select("shingle", "n", "rep", "component", "last", "most")
     whole = Window.partitionBy("shingle")
-    first = F.min(F.struct("n", "rep")).over(whole)["rep"].alias("leader")
-    mixed = placed.select("*", first, F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")).filter("low < high")
-    open_lists = written(mixed.drop("low", "high"), "join-open-lists")
-    counts = counting_groups(open_lists).repartition("meeting").sortWithinPartitions("meeting").mapInArrow(pair_counts, PAIR_COUNTS)
+    names = ["shingle", "n", "rep", "component", "last", "most", "leader"]
+
+    def still_open(frame: DataFrame) -> DataFrame:
+        mixed = frame.select("*", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"))
+        return written(mixed.filter("low < high").select(*names), "join-open-lists")
+
+    def meetings(frame: DataFrame) -> DataFrame:
+        holders = frame.select(F.lit(0).cast("long").alias("shingle"), *names[1:]).distinct()
+        carried = frame.select(*names, F.lit(None).cast("binary").alias("sketch")).unionByName(holders.join(sketches.select("rep", "sketch"), "rep"))
+        return counting_groups(carried).repartition("meeting").sortWithinPartitions("meeting")
+
+    open_lists = still_open(placed.select("*", F.min(F.struct("n", "rep")).over(whole)["rep"].alias("leader")))
+
+    # each node with the nearest one of another component
+    near = _ordered(meetings(open_lists).mapInArrow(nearest_pairs, PAIR_COUNTS)).join(tried, ["u", "v"], "left_anti")
+    ends = near.select(F.col("u").alias("w"), "u", "v", "overlap").union(near.select("v", "u", "v", "overlap"))
+    nearest = written(ends.groupBy("w").agg(F.max(F.struct("overlap", "u", "v")).alias("best")).select("best.u", "best.v").distinct(), "join-nearest")
+    linked = linked.union(written(compared(nearest, named), "join-nearest-links"))
+    tried = tried.select("u", "v").union(nearest)
+    known = components(linked)
+    open_lists = still_open(open_lists.join(known, F.col("rep") == F.col("node"), "left").select(
+        *[F.coalesce(known["component"], open_lists["component"]).alias(c) if c == "component" else open_lists[c] for c in names]))
+
+    counts = meetings(open_lists).mapInArrow(pair_counts, PAIR_COUNTS)
     summed = counts.groupBy("x", "y", "n_x", "n_y", "last_x", "last_y").agg(F.sum("overlap").alias("overlap"))
 
     def reaches(number: Column) -> Column:
@@ -407,7 +523,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest_x, rest_y = (F.col("overlap") + F.col(f"n_{side}") - prefix_length_column(f"n_{side}") for side in "xy")
     hopeful = _ordered(summed.filter(((F.col("last_x") <= F.col("last_y")) & reaches(rest_x)) | ((F.col("last_y") <= F.col("last_x")) & reaches(rest_y))))
     second = written(hopeful.join(tried, ["u", "v"], "left_anti").select("u", "v"), "join-second")
-    more = compared(second, texts)
+    more = compared(second, named)
     final = components(linked.union(more))
 
     members = signed.join(nodes, ["a", "b", "n_shingles"], "left").join(final, F.col("rep") == F.col("node"), "left")
