@@ -506,7 +506,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # each node with the nearest one of another component
     near = _ordered(meetings(open_lists).mapInArrow(nearest_pairs, PAIR_COUNTS)).join(tried, ["u", "v"], "left_anti")
-    ends = near.select(F.col("u").alias("w"), "u", "v", "overlap").union(near.select("v", "u", "v", "overlap"))
+    ends = near.select(F.explode(F.array("u", "v")).alias("w"), "u", "v", "overlap")
     nearest = written(ends.groupBy("w").agg(F.max(F.struct("overlap", "u", "v")).alias("best")).select("best.u", "best.v").distinct(), "join-nearest")
     linked = linked.union(written(compared(nearest, named), "join-nearest-links"))
     tried = tried.select("u", "v").union(nearest)
