@@ -237,6 +237,18 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_only_cut_texts_go_to_python(spark):
+    """The last step sends no row and no whole text through Python, and texts with repeats once."""
+    shared = "é" * 250
+    rows = [(1, "a" + shared + "b"), (2, "ab" + shared), (3, shared), (4, None), (5, "é alone"), (6, shared[:-1])]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t), "x") for i, t in rows], "doc_id long, text string, n_chars long, spans string").repartition(3)
+    clean = suffix_dedup.without_repeats(docs)
+    for frame in (clean, suffix_dedup.report(docs)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in clean.collect()) == [(1, "ab", 2, "x"), (2, "ab", 2, "x"), (4, None, None, "x"), (5, "é alone", 7, "x")]
+
+
 def test_anchors_do_not_depend_on_tiles(monkeypatch):
     raw = np.frombuffer(("".join(overlapping(2)) * 2).encode(), dtype=np.uint8)
     whole = list(suffix_dedup.anchor_runs(raw))
