@@ -463,3 +463,22 @@ def test_document_gate_reads_documents_twice(spark):
         "snapshotKey", F.parse_json(F.udf(seen)("body")).alias("doc"))
     assert publishing.document_violations(raw, approved=False).count() > 0
     assert read.value == 2
+
+
+def test_rows_of_one_snapshot_stay_spread_in_the_gate(spark, monkeypatch):
+    """Heads meet the rows where these lie; dealt by the snapshot's key all rows would be in one task."""
+    written, real = [], publishing.materialise
+    monkeypatch.setattr(publishing, "materialise", lambda frame: written.append(real(frame)) or written[-1])
+    rows = opportunities(spark, [opportunity(projectId=f"2027|a|b|{i}") for i in range(60)]).repartition(6)
+    tables = publishing.seal(SnapshotTables(real(header(spark, counts=(60, 0, 0, 0))), real(feeds(spark)), real(rows)), APPROVED_AT, None)
+    assert publishing.stored_violations(tables).count() == 0
+    assert [frame.rdd.getNumPartitions() for frame in written if "found" in frame.columns] == [6]
+
+
+def test_violations_are_looked_for_in_all_partitions_at_once(spark):
+    rows = spark.range(0, 64, 1, 64).where("id % 7 = 9").select(F.lit("p").alias("path"), F.lit("m").alias("message"))
+    spark.sparkContext.setJobGroup("at once", "")
+    publishing.require_none(rows, "Test")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("at once")) <= 2
+    with pytest.raises(publishing.Refused, match="p: m"):
+        publishing.require_none(rows.sparkSession.range(3).select(F.lit("p").alias("path"), F.lit("m").alias("message")), "Test")
