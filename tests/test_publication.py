@@ -482,3 +482,45 @@ def test_violations_are_looked_for_in_all_partitions_at_once(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("at once")) <= 2
     with pytest.raises(publishing.Refused, match="p: m"):
         publishing.require_none(rows.sparkSession.range(3).select(F.lit("p").alias("path"), F.lit("m").alias("message")), "Test")
+
+
+def _bytes_in(folder):
+    from pathlib import Path
+
+    return sum(file.stat().st_size for file in Path(folder.removeprefix("file:")).rglob("*") if file.is_file())
+
+
+def test_documents_are_kept_compressed_and_bound_by_their_text(spark, tmp_path, monkeypatch):
+    """Documents that are read once and kept for all tables take a part of their text; a compressed file counts with the text it holds."""
+    import gzip
+
+    from tidemark.session import ensure_checkpoint_dir
+
+    text = json.dumps({"schemaVersion": 2, "feeds": [], "opportunities": [{"name": f"name {i % 50}"} for i in range(40_000)]})
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(text.encode()))
+    kept = ensure_checkpoint_dir(spark)
+    before = _bytes_in(kept)
+    tables = read_snapshots(spark, str(tmp_path))
+    assert tables.opportunities.count() == 80_000 and _bytes_in(kept) - before < len(text) / 2
+    monkeypatch.setattr(S, "MAX_SNAPSHOT_BYTES", len(text) - 1)
+    with pytest.raises(ValueError, match="b.json.gz: exceeds the size limit"):
+        read_snapshots(spark, str(tmp_path / "b.json.gz"))
+
+
+def test_documents_are_put_together_after_one_exchange_of_narrow_rows(spark, tmp_path):
+    """Texts are made where their document is; what is dealt out by document has no texts."""
+    import re
+
+    from tidemark import bench_views
+
+    tables = {
+        "orders": spark.range(200).selectExpr("id as o_orderkey", "id % 3 as o_custkey", "'O' as o_orderstatus", "'1-URGENT' as o_orderpriority", "timestamp_ntz'1998-01-02' as o_orderdate"),
+        "customer": spark.range(3).selectExpr("id as c_custkey", "0 as c_nationkey", "'BUILDING' as c_mktsegment"),
+        "nation": spark.sql("select 0 as n_nationkey, 'N' as n_name, 0 as n_regionkey"), "region": spark.sql("select 0 as r_regionkey, 'R' as r_name")}
+    for name, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    documents = bench_views.board_documents(spark, str(tmp_path))
+    plan = documents._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(b#", plan)) == 1 and "collect_list" not in plan[plan.index("Exchange hashpartitioning(b#"):]
+    assert rows_of(documents.select("snapshotKey", F.size(F.try_variant_get("doc", "$.opportunities", "array<variant>")))) == [("b0", 64), ("b1", 64), ("b2", 64), ("b3", 8)]
